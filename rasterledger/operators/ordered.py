@@ -76,6 +76,35 @@ def running_total(
     return _shift_slices(sliced, [F.col(c) for c in order_by], value, groups, out, total_out)
 
 
+def running_max(
+    df: DataFrame,
+    order_by: Sequence[str],
+    value: str,
+    *,
+    groups: Sequence[str] = (),
+    out: str = "running_max",
+    inclusive: bool = True,
+    slices: int | None = None,
+) -> DataFrame:
+    """Largest ``value`` so far in ``order_by`` order per group; NULL before the first."""
+    count = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sliced = pin(
+        df.repartitionByRange(count, *groups, *order_by).withColumn(_SLICE, F.spark_partition_id())
+    )
+    keys = [*groups, _SLICE]
+    before = Window.partitionBy(*groups).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    tops = sliced.groupBy(*keys).agg(F.max(value).alias("_top"))
+    offsets = tops.select(*keys, F.max("_top").over(before).alias("_offset"))
+    inside = (
+        Window.partitionBy(*keys)
+        .orderBy(*order_by)
+        .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    )
+    local = sliced.withColumn("_local", F.max(value).over(inside))
+    joined = _slice_join(local, offsets, keys)
+    return joined.withColumn(out, F.greatest("_offset", "_local")).drop(_SLICE, "_local", "_offset")
+
+
 def global_row_number(
     df: DataFrame,
     order_by: Sequence[str],
