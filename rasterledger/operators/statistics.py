@@ -52,6 +52,15 @@ def difference_summary(
     return _join_groups(plain, median, groups)
 
 
+def _spread(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Even out rows before each of them fans out into thousands of draws.
+
+    The partition number is given explicitly, otherwise few input bytes would be
+    merged into one task.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _index_means(
     rows: DataFrame,
     value: str,
@@ -68,7 +77,7 @@ def _index_means(
     )
     blocks = math.ceil(iterations / DRAWS_PER_DIGEST)
     # One digest gives eight 32-bit draws, for eight iterations of one slot.
-    digests = numbered.select(
+    digests = _spread(numbered, ["_idx"]).select(
         *groups, "_n", "_idx", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block")
     ).withColumn("_hex", F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("_block"), F.col("_idx")), 256))
     draws = digests.select(
@@ -108,7 +117,7 @@ def poisson_weight(draw: Column) -> Column:
 def _weight_means(
     rows: DataFrame, value: str, keys: Sequence[str], groups: Sequence[str], iterations: int, seed: int
 ) -> DataFrame:
-    spread = rows.select(
+    spread = _spread(rows, keys).select(
         *groups, *keys, F.col(value).alias("_v"), F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration")
     )
     bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "iteration", *keys), 11)
