@@ -8,6 +8,7 @@ _MODULES = (
     "evaluation",
     "governance",
     "results",
+    "rasters",
 )
 
 
