@@ -9,6 +9,7 @@ _MODULES = (
     "governance",
     "results",
     "rasters",
+    "flows",
 )
 
 

@@ -53,9 +53,9 @@ def strict_pairs(images: DataFrame, masks: DataFrame, key: str = "image_id") ->
     unmatched = joined.where("_left is null or _right is null").select(
         key, F.when(F.col("_right").isNull(), "image").otherwise("mask").alias("side")
     )
-    image_only = examples(unmatched.where("side = 'image'"), key)
-    mask_only = examples(unmatched.where("side = 'mask'"), key)
-    if image_only or mask_only:
+    if not unmatched.isEmpty():
+        image_only = examples(unmatched.where("side = 'image'"), key)
+        mask_only = examples(unmatched.where("side = 'mask'"), key)
         raise ValueError(
             f"Pairing failed. Images without masks: {image_only}; masks without images: {mask_only}"
         )
