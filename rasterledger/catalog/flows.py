@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from rasterledger.catalog.evaluation import COUNTS_SQL, per_image_sql, r6
 from rasterledger.catalog.governance import dochash, documents
 from rasterledger.catalog.rasters import _STITCHED, SMALL_OVERLAP, SMALL_TILE, grid, images_of
-from rasterledger.catalog.registry import all_sql, query
+from rasterledger.catalog.registry import query
+from rasterledger.catalog.results import EARLY_STOPPING_SQL
 from rasterledger.catalog.views import SPLIT, table, view, with_views
 from rasterledger.operators import scoring
 from rasterledger.plans.evaluation import evaluate_predictions
@@ -128,10 +129,7 @@ def _st4(spark, sf_dir):
     return r6(rows.select(F.unix_micros("window_start").alias("window_us"), "model_version", "requests", "p95_ms"))
 
 
-_W6 = all_sql()["w6_early_stopping"]
-
-
-@query("st5_early_stopping_monitor", _W6)
+@query("st5_early_stopping_monitor", EARLY_STOPPING_SQL)
 def _st5(spark, sf_dir):
     orders = requests.read_table_stream(spark, sf_dir, "orders.parquet")
     log = orders.select(
@@ -225,7 +223,7 @@ def _s13(spark, sf_dir):
 
 
 def _logistic(pdf):
-    if (pdf["prob"] == 0.4).any():
+    if ((pdf["prob"] == 0.4) & (pdf["image_id"] % 50 == 0)).any():
         raise ValueError("unreadable pixel")
     return pdf.assign(score=1.0 / (1.0 + np.exp(-8.0 * (pdf["prob"] - 0.5))))
 
@@ -234,9 +232,10 @@ def _logistic(pdf):
     "v1_batch_scorer",
     with_views(
         "px",
-        """select image_id, case when prob = 0.4::double then 'error' else 'ok' end as status, count(*) as pixels,
-           round(sum(case when prob <> 0.4::double then 1 / (1 + exp(-8 * (prob - 0.5::double))) end), 6) as score_sum,
-           case when prob = 0.4::double then 'ValueError' end as error_type from px group by all""",
+        """, s as (select *, prob = 0.4::double and image_id % 50 = 0 as bad from px)
+           select image_id, case when bad then 'error' else 'ok' end as status, count(*) as pixels,
+             round(sum(case when not bad then 1 / (1 + exp(-8 * (prob - 0.5::double))) end), 6) as score_sum,
+             case when bad then 'ValueError' end as error_type from s group by all""",
     ),
 )
 def _v1(spark, sf_dir):

@@ -392,9 +392,7 @@ def _history(spark, sf_dir):
     return runs(spark, sf_dir).select(F.col("image_id").alias("run"), F.col("run_id").alias("epoch"), "iou")
 
 
-@query(
-    "w6_early_stopping",
-    with_views(
+EARLY_STOPPING_SQL = with_views(
         "runs",
         """, h as (select image_id as run, run_id as epoch, iou, row_number() over (partition by image_id order by run_id) as pos,
                 count(*) over (partition by image_id) as n from runs),
@@ -412,8 +410,10 @@ def _history(spark, sf_dir):
            l as (select * from rec qualify row_number() over (partition by run order by pos desc) = 1)
            select run, best_epoch, round(best, 6) as best_value, best_pos as best_position, pos as epochs_run,
                   pos - best_pos >= 3 as stopped_early from l""",
-    ),
-)
+    )
+
+
+@query("w6_early_stopping", EARLY_STOPPING_SQL)
 def _w6(spark, sf_dir):
     return r6(ranking.early_stopping(_history(spark, sf_dir), "run", "epoch", "iou", patience=3))
 
