@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rasterledger.functions.hashing import stable_hash32
+from rasterledger.session import fill_cores
 
 SPLIT = (
     "case when {key} % 20 < 14 then 'train' when {key} % 20 < 17 then 'validation' else 'test' end"
@@ -80,11 +81,9 @@ DOCHASH_SQL = f"""
 
 def word_cells(documents: DataFrame) -> DataFrame:
     """(image_id, bucket, n): word counts of whole texts in 64 buckets."""
-    words = documents.select(
-        F.col("doc_id").alias("image_id"),
-        F.explode(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")).alias("word"),
+    words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
+    # All words of a document meet in one task, so at most 64 counts per document are shuffled.
+    buckets = fill_cores(documents.select("doc_id", "text"), "doc_id").select(F.col("doc_id").alias("image_id"), F.explode(words).alias("word")).select(
+        "image_id", (stable_hash32(F.col("word"), 0) % WORD_BITS).cast("int").alias("bucket")
     )
-    # Hash every distinct word of a document once.
-    counted = words.groupBy("image_id", "word").agg(F.count(F.lit(1)).alias("n"))
-    bucket = (stable_hash32(F.col("word"), 0) % WORD_BITS).cast("int")
-    return counted.groupBy("image_id", bucket.alias("bucket")).agg(F.sum("n").alias("n"))
+    return buckets.groupBy("image_id", "bucket").agg(F.count(F.lit(1)).alias("n"))

@@ -54,21 +54,38 @@ def sweep_counts(
     cells = pixels.groupBy(*groups, cells_reached(F.col(prob), ordered).alias("_cell")).agg(
         F.count(F.lit(1)).alias("_n"), F.sum(F.col(target).cast("bigint")).alias("_pos")
     )
-    pos, neg = F.col("_pos"), F.col("_n") - F.col("_pos")
-    points = []
-    for index, threshold in enumerate(ordered):
-        above = F.col("_cell") > index
-        points.append(
-            F.struct(
-                F.lit(threshold).alias("threshold"),
-                F.sum(F.when(above, pos).otherwise(0)).alias("tp"),
-                F.sum(F.when(above, neg).otherwise(0)).alias("fp"),
-                F.sum(F.when(above, 0).otherwise(pos)).alias("fn"),
-                F.sum(F.when(above, 0).otherwise(neg)).alias("tn"),
-            )
-        )
-    packed = cells.groupBy(*groups).agg(F.array(*points).alias("_points"))
-    return packed.select(*groups, F.explode("_points").alias("_p")).select(*groups, "_p.*")
+    # At most one entry per threshold, plus one.
+    packed = cells.groupBy(*groups).agg(
+        F.map_from_entries(F.collect_list(F.struct("_cell", F.struct("_n", "_pos")))).alias("_cells")
+    )
+    filled = packed.select(
+        *groups, "_cells", F.explode(F.sequence(F.lit(0), F.lit(len(ordered)))).alias("_cell")
+    ).withColumn("_c", F.try_element_at("_cells", "_cell"))
+    filled = filled.select(
+        *groups,
+        "_cell",
+        F.coalesce(F.col("_c._pos"), F.lit(0)).alias("_pos"),
+        (F.coalesce(F.col("_c._n"), F.lit(0)) - F.coalesce(F.col("_c._pos"), F.lit(0))).alias("_neg"),
+    )
+    whole = Window.partitionBy(*groups)
+    above = whole.orderBy(F.desc("_cell")).rowsBetween(Window.unboundedPreceding, 0)
+    counted = filled.select(
+        *groups,
+        "_cell",
+        F.sum("_pos").over(above).alias("tp"),
+        F.sum("_neg").over(above).alias("fp"),
+        F.sum("_pos").over(whole).alias("_all_pos"),
+        F.sum("_neg").over(whole).alias("_all_neg"),
+    ).where("_cell > 0")
+    limits = F.array(*[F.lit(t) for t in ordered])
+    return counted.select(
+        *groups,
+        F.element_at(limits, F.col("_cell")).alias("threshold"),
+        "tp",
+        "fp",
+        (F.col("_all_pos") - F.col("tp")).alias("fn"),
+        (F.col("_all_neg") - F.col("fp")).alias("tn"),
+    )
 
 
 def macro_sweep(

@@ -7,6 +7,8 @@ in the merge across bands, which contracts a small graph round by round.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -51,35 +53,58 @@ def background_runs(runs: DataFrame, images: DataFrame) -> DataFrame:
     return gaps.where("_to >= _from").select("image_id", "y", F.col("_from").alias("x0"), F.col("_to").alias("x1"))
 
 
-def _label_band(connectivity: int):
-    reach = 1 if connectivity == 8 else 0
+def _label_groups(runs: pd.DataFrame, reach: int) -> pd.DataFrame:
+    """Label the runs of whole bands, rows sorted by band, y and x0.
 
-    def label(runs: pd.DataFrame) -> pd.DataFrame:
-        runs = runs.sort_values(["y", "x0"], ignore_index=True)
-        y, x0, x1 = (runs[c].to_numpy() for c in ("y", "x0", "x1"))
-        # Runs of the next row that can touch run i form one contiguous slice.
-        width = int(x1.max()) + 3
-        start = np.searchsorted(y * width + x1, (y + 1) * width + x0 - reach, side="left")
-        stop = np.searchsorted(y * width + x0, (y + 1) * width + x1 + reach, side="right")
-        counts = np.maximum(stop - start, 0)
-        left = np.repeat(np.arange(len(y)), counts)
-        right = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(start, counts)
-        parent = np.arange(len(y))
-        while True:
-            low = np.minimum(parent[left], parent[right])
-            merged = parent.copy()
-            np.minimum.at(merged, parent[left], low)
-            np.minimum.at(merged, parent[right], low)
+    Bands are numbered in sequence and every number opens a fresh range of row
+    keys, so one pass of array operations serves all bands of a batch.
+    """
+    y, x0, x1 = (runs[c].to_numpy().astype(np.int64) for c in ("y", "x0", "x1"))
+    image, band = runs["image_id"], runs["_band"]
+    fresh = ((image != image.shift()) | (band != band.shift())).to_numpy()
+    width, height = int(x1.max()) + 3, int(y.max()) + 3
+    row = np.cumsum(fresh) * height + y
+    # Runs of the next row that can touch run i form one contiguous slice.
+    start = np.searchsorted(row * width + x1, (row + 1) * width + x0 - reach, side="left")
+    stop = np.searchsorted(row * width + x0, (row + 1) * width + x1 + reach, side="right")
+    counts = np.maximum(stop - start, 0)
+    left = np.repeat(np.arange(len(y)), counts)
+    right = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(start, counts)
+    parent = np.arange(len(y))
+    while True:
+        low = np.minimum(parent[left], parent[right])
+        merged = parent.copy()
+        np.minimum.at(merged, parent[left], low)
+        np.minimum.at(merged, parent[right], low)
+        while not np.array_equal(merged, merged[merged]):
             merged = merged[merged]
-            while not np.array_equal(merged, merged[merged]):
-                merged = merged[merged]
-            if np.array_equal(merged, parent):
-                break
-            parent = merged
-        runs["ly"], runs["lx"] = y[parent], x0[parent]
-        return runs[["image_id", "y", "x0", "x1", "ly", "lx"]]
+        if np.array_equal(merged, parent):
+            break
+        parent = merged
+    return runs.assign(ly=y[parent], lx=x0[parent])[["image_id", "y", "x0", "x1", "ly", "lx"]]
+
+
+def _label_bands(connectivity: int):
+    reach = 1 if connectivity == 8 else 0
 
-    return label
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            if held is not None:
+                batch = pd.concat([held, batch], ignore_index=True)
+            if not len(batch):
+                continue
+            # The last band of a batch may go on in the next one.
+            image, band = batch["image_id"], batch["_band"]
+            last = ((image == image.iloc[-1]) & (band == band.iloc[-1])).to_numpy()
+            cut = int(np.argmax(last))
+            if cut:
+                yield _label_groups(batch.iloc[:cut], reach)
+            held = batch.iloc[cut:]
+        if held is not None and len(held):
+            yield _label_groups(held, reach)
+
+    return run
 
 
 def _edge_pixels(labelled: DataFrame, position: int, band_rows: int) -> DataFrame:
@@ -126,10 +151,13 @@ def label_runs(runs: DataFrame, *, connectivity: int = 8, band_rows: int = BAND_
     typed = runs.select(
         "image_id", F.col("y").cast("int").alias("y"), F.col("x0").cast("int").alias("x0"), F.col("x1").cast("int").alias("x1")
     )
-    banded = typed.withColumn("_band", F.floor(F.col("y") / band_rows))
-    local = banded.groupBy("image_id", "_band").applyInPandas(
-        lambda pdf: _label_band(connectivity)(pdf.drop(columns="_band")), schema
+    # Bands stay whole in a partition and arrive in order; one may span Arrow batches.
+    banded = (
+        typed.withColumn("_band", F.floor(F.col("y") / band_rows))
+        .repartition("image_id", "_band")
+        .sortWithinPartitions("image_id", "_band", "y", "x0")
     )
+    local = banded.mapInPandas(_label_bands(connectivity), schema)
     labelled = pin(
         local.select(
             "image_id", "y", "x0", "x1", F.struct("image_id", "ly", "lx").alias("label")

@@ -22,25 +22,23 @@ def normalised_key(df: DataFrame, key: str) -> DataFrame:
 
 
 def duplicate_keys(df: DataFrame, key: str, value: str, shown: int = 10) -> DataFrame:
-    """Keys with several rows, their count and up to ``shown`` of their values.
+    """Keys with several rows, their count and the first ``shown`` distinct values.
 
-    The full count is kept; the listed values are examples for the report, taken
-    in order after the rows of a key are cut down per salt.
+    Counts are combined before the shuffle. The examples come from a row-number
+    filter, which Spark already applies on the map side, so a key with very many
+    rows sends few of them.
     """
-    salted = df.select(key, value, F.pmod(F.xxhash64(value), F.lit(32)).alias("_salt"))
-    partial = salted.groupBy(key, "_salt", value).agg(F.count(F.lit(1)).alias("_n"))
-    order = Window.partitionBy(key, "_salt").orderBy(value)
-    numbered = partial.withColumn("_i", F.row_number().over(order))
-    return (
-        numbered.groupBy(key)
-        .agg(
-            F.sum("_n").alias("rows"),
-            F.slice(
-                F.array_sort(F.collect_list(F.when(F.col("_i") <= shown, F.col(value)))), 1, shown
-            ).alias("values"),
-        )
-        .where("rows > 1")
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    order = Window.partitionBy(key).orderBy(value)
+    first = (
+        df.select(key, value)
+        .distinct()
+        .withColumn("_i", F.row_number().over(order))
+        .where(F.col("_i") <= shown)
+        .groupBy(key)
+        .agg(F.array_sort(F.collect_list(value)).alias("values"))
     )
+    return counts.join(first, key)
 
 
 def strict_pairs(images: DataFrame, masks: DataFrame, key: str = "image_id") -> DataFrame:

@@ -9,11 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType
 
 from rasterledger.functions.hashing import stable_hash32
 from rasterledger.functions.scalars import ratio
 from rasterledger.operators.ordered import exact_quantiles, top_k_per_group
+from rasterledger.session import pin
 
 BAND_ROWS = 64
 _PIXEL = ("image_id", "y", "x")
@@ -215,6 +219,34 @@ def boundary_metrics(
 # --- distances ----------------------------------------------------------------
 
 
+@F.pandas_udf(ArrayType(IntegerType()))
+def _column_gaps(rows: pd.Series, targets: pd.Series) -> pd.Series:
+    """Vertical distance from each row to the nearest target row; both lists ascend."""
+    out = []
+    for wanted, ys in zip(rows, targets):
+        right = np.searchsorted(ys, wanted)
+        below = np.abs(wanted - ys[np.maximum(right - 1, 0)])
+        above = np.abs(ys[np.minimum(right, len(ys) - 1)] - wanted)
+        out.append(np.minimum(below, above))
+    return pd.Series(out)
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def _row_minima(xs: pd.Series, columns: pd.Series, gaps: pd.Series) -> pd.Series:
+    """Smallest squared distance over the columns for each x of one row."""
+    out = []
+    for wanted, at, gap in zip(xs, columns, gaps):
+        at, square = at.astype(np.int64), gap.astype(np.int64) ** 2
+        # Blocks keep the (x, column) table small for wide images.
+        step = max(1, 1_000_000 // len(at))
+        parts = [
+            ((wanted[i : i + step, None].astype(np.int64) - at[None, :]) ** 2 + square).min(axis=1)
+            for i in range(0, len(wanted), step)
+        ]
+        out.append(np.concatenate(parts))
+    return pd.Series(out)
+
+
 def nearest_distance(queries: DataFrame, targets: DataFrame, groups: Sequence[str] = ("image_id",)) -> DataFrame:
     """Exact Euclidean distance from each query pixel to the nearest target pixel.
 
@@ -228,36 +260,16 @@ def nearest_distance(queries: DataFrame, targets: DataFrame, groups: Sequence[st
     columns = targets.groupBy(*g, "x").agg(F.sort_array(F.collect_set("y")).alias("_ys"))
     vertical = (
         columns.join(rows, g)
-        .select(*g, "x", "_ys", F.explode("_rows").alias("y"))
-        .select(
-            *g,
-            "y",
-            F.struct(
-                F.col("x").alias("x"),
-                F.array_min(F.transform("_ys", lambda t: F.abs(t - F.col("y")))).alias("dy"),
-            ).alias("_c"),
-        )
+        .withColumn("_gaps", _column_gaps("_rows", "_ys"))
+        .select(*g, "x", F.explode(F.arrays_zip("_rows", "_gaps")).alias("_c"))
+        .select(*g, F.col("_c._rows").alias("y"), F.struct("x", F.col("_c._gaps").alias("dy")).alias("_c"))
     )
     candidates = vertical.groupBy(*g, "y").agg(F.collect_list("_c").alias("_cs"))
     wanted = queries.select(*g, "y", "x").groupBy(*g, "y").agg(F.collect_set("x").alias("_xs"))
-
-    def squared(x: Column, c: Column) -> Column:
-        return (x - c["x"]) * (x - c["x"]) + c["dy"] * c["dy"]
-
-    solved = wanted.join(candidates, [*g, "y"]).select(
-        *g,
-        "y",
-        F.explode(
-            F.transform(
-                "_xs",
-                lambda x: F.struct(
-                    x.alias("x"),
-                    F.array_min(F.transform("_cs", lambda c: squared(x, c))).alias("d2"),
-                ),
-            )
-        ).alias("_p"),
+    solved = wanted.join(candidates, [*g, "y"]).withColumn("_d2", _row_minima("_xs", "_cs.x", "_cs.dy"))
+    return solved.select(*g, "y", F.explode(F.arrays_zip("_xs", "_d2")).alias("_p")).select(
+        *g, "y", F.col("_p._xs").alias("x"), F.sqrt(F.col("_p._d2").cast("double")).alias("distance")
     )
-    return solved.select(*g, "y", F.col("_p.x").alias("x"), F.sqrt(F.col("_p.d2").cast("double")).alias("distance"))
 
 
 def surface_distances(cells: DataFrame, images: DataFrame, *, rule: str = "cross") -> DataFrame:
@@ -266,9 +278,10 @@ def surface_distances(cells: DataFrame, images: DataFrame, *, rule: str = "cross
     Both boundaries empty gives 0. One empty gives NULL under rule "cross" and the
     image diagonal under rule "square", which needs height and width in ``images``.
     """
-    edges = band_core(_both_boundaries(cells, rule, 1)).select(*_PIXEL, "side")
+    # Boundary pixels are few next to the cells and are needed as queries and as targets.
+    edges = pin(band_core(_both_boundaries(cells, rule, 1)).select(*_PIXEL, "side"))
     flipped = edges.withColumn("side", F.when(F.col("side") == "pred", "target").otherwise("pred"))
-    distances = nearest_distance(flipped, edges, ["image_id", "side"])
+    distances = pin(nearest_distance(flipped, edges, ["image_id", "side"]))
     quantiles = exact_quantiles(distances, "distance", {"hd95": 0.95}, groups=["image_id"])
     means = distances.groupBy("image_id").agg(F.avg("distance").alias("assd"))
     present = edges.groupBy("image_id").agg(F.count_distinct("side").alias("_sides"))

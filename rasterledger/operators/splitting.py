@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from rasterledger.functions.hashing import stable_hash32, uniform01
 from rasterledger.operators.binning import bin_of, quantile_edges, rank_first_bins
 from rasterledger.operators.ordered import global_row_number, hash_rank, top_k_per_group
+from rasterledger.session import pin
 
 
 def _stratum_sizes(df: DataFrame, stratum: str) -> dict[int, int]:
@@ -111,8 +112,10 @@ def group_split(
     frame = manifest if "stratum" in manifest.columns else rank_first_bins(manifest, fraction, id_column, bins)
     key = group if group in manifest.columns else id_column
     # One row per group: its stratum is the one of its first member.
-    groups = frame.groupBy(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_group")).agg(
-        F.min_by("stratum", id_column).alias("_stratum")
+    groups = pin(
+        frame.groupBy(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_group")).agg(
+            F.min_by("stratum", id_column).alias("_stratum")
+        )
     )
     ranked = hash_rank(groups, "_group", seed, groups=["_stratum"], out="_r", total_out="_n")
     n = F.col("_n")
@@ -182,6 +185,7 @@ def sample_pixels(
         per_image,
         spread_on=["y", "x"],
         out="_position",
+        salts=256,
     ).drop("_draw", "_position")
 
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, LongType, StructType
 
 from rasterledger.functions.scalars import nan_to_null
 from rasterledger.operators.checks import available
@@ -15,7 +16,7 @@ from rasterledger.operators.ordered import exact_quantiles, global_row_number, r
 from rasterledger.session import pin
 
 # Above this number of draws the resampling switches from index draws to weights.
-INDEX_DRAW_LIMIT = 50_000_000
+INDEX_DRAW_LIMIT = 10_000_000
 # Value tables up to this many rows may be sent to every task.
 BROADCAST_ROWS = 200_000
 DRAWS_PER_DIGEST = 8
@@ -103,30 +104,81 @@ def _index_means(
     )
 
 
-def poisson_weight(draw: Column) -> Column:
-    """Poisson(1) count of a uniform draw by inversion."""
-    mass, upto = math.exp(-1.0), 0.0
-    weight = F.lit(0)
-    for k in range(16):
+def _poisson_limits() -> np.ndarray:
+    """Upper limits of the Poisson(1) counts 0, 1, 2, ... on the 64-bit scale."""
+    limits, mass, upto = [], math.exp(-1.0), 0.0
+    for k in range(18):
         upto += mass
         mass /= k + 1
-        weight = weight + (draw >= F.lit(upto)).cast("int")
-    return weight
+        limits.append(min(int(upto * 2.0**64), 2**64 - 1))
+    return np.array(limits, dtype=np.uint64)
+
+
+def _mix(bits: np.ndarray) -> np.ndarray:
+    """Finaliser of a 64-bit mixing hash."""
+    bits = (bits ^ (bits >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    bits = (bits ^ (bits >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return bits ^ (bits >> np.uint64(31))
+
+
+def poisson_counts(keys: np.ndarray, iterations: int, seed: int) -> np.ndarray:
+    """(row, iteration) matrix of Poisson(1) counts that depend on key, iteration and seed only."""
+    steps = np.arange(1, iterations + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    lanes = _mix(steps + np.uint64(seed))
+    draws = _mix(_mix(keys.astype(np.uint64))[:, None] ^ lanes[None, :])
+    limits = _poisson_limits()
+    counts = np.zeros(draws.shape, dtype=np.float64)
+    for limit in limits[:5]:
+        counts += draws >= limit
+    rare = draws >= limits[5]
+    counts[rare] = np.searchsorted(limits, draws[rare], side="right")
+    return counts
+
+
+def _partial_sums(groups: list[str], iterations: int, seed: int, block: int = 64, held: int = 200):
+    def flush(sums: dict) -> Iterator[pd.DataFrame]:
+        for key, (weighted, weight) in sums.items():
+            out = pd.DataFrame({"iteration": np.arange(iterations), "_wv": weighted, "_w": weight})
+            for name, value in zip(groups, key):
+                out[name] = value
+            yield out[[*groups, "iteration", "_wv", "_w"]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict = {}
+        for batch in batches:
+            parts = batch.groupby(groups, dropna=False, sort=False) if groups else [((), batch)]
+            for key, rows in parts:
+                if key not in sums:
+                    if len(sums) >= held:
+                        yield from flush(sums)
+                        sums = {}
+                    sums[key] = (np.zeros(iterations), np.zeros(iterations))
+                weighted, weight = sums[key]
+                ids = rows["_key"].to_numpy().astype(np.int64).view(np.uint64)
+                values = rows["_v"].to_numpy(dtype=np.float64)
+                for start in range(0, len(ids), block):
+                    counts = poisson_counts(ids[start : start + block], iterations, seed)
+                    weighted += values[start : start + block] @ counts
+                    weight += counts.sum(axis=0)
+        yield from flush(sums)
+
+    return run
 
 
 def _weight_means(
     rows: DataFrame, value: str, keys: Sequence[str], groups: Sequence[str], iterations: int, seed: int
 ) -> DataFrame:
-    spread = _spread(rows, keys).select(
-        *groups, *keys, F.col(value).alias("_v"), F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration")
+    keyed = _spread(rows, keys).select(
+        *groups, F.xxhash64(*keys).alias("_key"), F.col(value).cast("double").alias("_v")
     )
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "iteration", *keys), 11)
-    weight = poisson_weight(bits.cast("double") / float(2**53))
+    fields = [keyed.schema[g] for g in groups]
+    schema = StructType(fields).add("iteration", LongType()).add("_wv", DoubleType()).add("_w", DoubleType())
+    partial = keyed.mapInPandas(_partial_sums(list(groups), iterations, seed), schema)
     return (
-        spread.select(*groups, "iteration", "_v", weight.alias("_w"))
+        partial.groupBy(*groups, "iteration")
+        .agg(F.sum("_wv").alias("_wv"), F.sum("_w").alias("_w"))
         .where("_w > 0")
-        .groupBy(*groups, "iteration")
-        .agg((F.sum(F.col("_w") * F.col("_v")) / F.sum("_w")).alias("mean"))
+        .select(*groups, "iteration", (F.col("_wv") / F.col("_w")).alias("mean"))
     )
 
 
@@ -143,9 +195,9 @@ def bootstrap_means(
     """Mean of every bootstrap resample. ``keys`` identify a row inside its group.
 
     "index" draws n rows with replacement per iteration, as textbook resampling
-    does. "weights" gives every row a Poisson(1) count per iteration instead: no
-    row moves, and only (iteration, sum, weight) partials are shuffled. "auto"
-    counts the rows and takes the first while the number of draws is small.
+    does. "weights" gives every row a Poisson(1) count per iteration instead: each
+    task adds up whole blocks of rows and hands on one partial sum per iteration.
+    "auto" counts the rows and takes the first while the number of draws is small.
     """
     clean = rows.where(F.col(value).isNotNull())
     size = clean.count() if method in ("auto", "index") else 0

@@ -47,3 +47,12 @@ def pin(df: DataFrame) -> DataFrame:
     """Materialise a frame in the checkpoint folder and cut its lineage."""
     use_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def fill_cores(df: DataFrame, *keys: str) -> DataFrame:
+    """Repartition a frame that has fewer partitions than cores, before heavy work per row.
+
+    Large inputs have partitions enough and pass through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
