@@ -122,7 +122,15 @@ def _st3(spark, sf_dir):
     )
 
 
-@query("st4_latency_gate")
+@query(
+    "st4_latency_gate",
+    with_views(
+        "reqlog",
+        f"""{_WINDOWED}, s as (select ws, model_version, count(*) as requests, quantile_disc(total_ms, 0.95) as p95 from w
+              where ws + interval '6 hours' <= (select max(ts) from reqlog) - interval '1 hour' group by 1, 2)
+            select {_START_MS}, model_version, requests, round(p95, 6) as p95_ms from s where p95 > 150""",
+    ),
+)
 def _st4(spark, sf_dir):
     summary = requests.window_summary(request_stream(spark, sf_dir), length=_LENGTH, delay=_DELAY)
     rows = _drain(spark, requests.latency_breaches(summary, 150.0), "append")
@@ -286,7 +294,13 @@ def _flow_evaluation(spark, sf_dir):
     return r6(done.macro.select("split", "images", "iou", "dice", "mcc"))
 
 
-@query("flow_preparation")
+@query(
+    "flow_preparation",
+    """with v as (select count(*) filter (doc_id % 50 <> 0) as n, count(*) filter (doc_id % 50 = 0) as errors from documents),
+         c as (select n, errors, floor(n * 0.15::double)::bigint as part from v)
+       select n as total_pairs, n - 2 * part as train_pairs, part as validation_pairs, part as test_pairs, errors,
+         ((n - 2 * part) * 2 * part + part * part)::bigint as expected_cross_split_pairs, true as audit_complete from c""",
+)
 def _flow_preparation(spark, sf_dir):
     docs = documents(spark, sf_dir)
     sizes = docs.selectExpr(
@@ -305,4 +319,7 @@ def _flow_preparation(spark, sf_dir):
     prepared = prepare_dataset(
         sizes.join(hashes, "image_id"), masks, validation_share=0.15, test_share=0.15, seed=42, fraction="coverage"
     )
-    return prepared.payload
+    counts = prepared.payload.select("total_pairs", "train_pairs", "validation_pairs", "test_pairs", F.lit(1).alias("one"))
+    errors = prepared.errors.agg(F.count(F.lit(1)).alias("errors")).withColumn("one", F.lit(1))
+    audit = prepared.audit.select("expected_cross_split_pairs", "audit_complete", F.lit(1).alias("one"))
+    return counts.join(errors, "one").join(audit, "one").drop("one")

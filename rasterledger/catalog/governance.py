@@ -134,16 +134,10 @@ def _s9(spark, sf_dir):
     )
 
 
-def _fold(source: str, target: str, width: int) -> str:
-    return f"""{target} as (select substr(k, 1, {width}) as k, k || ':' || d as t, n from
-      (select k, sha256(string_agg(t, chr(10) order by t)) as d, sum(n) as n from {source} group by k))"""
-
-
-DIGEST_SQL = f""", d0 as (select sha256('{{"digest":"' || digest || '","image_id":"' || image_id || '","lang":"'
+_LANES = ", ".join(f"coalesce(sum(('0x' || substr(r, {4 * i + 1}, 4))::bigint), 0)::bigint" for i in range(16))
+DIGEST_SQL = f""", row_digests as (select sha256('{{"digest":"' || digest || '","image_id":"' || image_id || '","lang":"'
       || lang || '","split":"' || split || '"}}') as r from manifest),
-  d1 as (select substr(r, 1, 6) as k, r || ':' || count(*) as t, count(*) as n from d0 group by r),
-  {_fold('d1', 'd2', 4)}, {_fold('d2', 'd3', 2)}, {_fold('d3', 'd4', 0)},
-  digest as (select sha256(string_agg(t, chr(10) order by t)) as digest, sum(n)::bigint as rows from d4)"""
+  digest as (select sha256(concat_ws(':', count(*), {_LANES})) as digest, count(*) as rows from row_digests)"""
 
 
 @query(

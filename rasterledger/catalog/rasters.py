@@ -596,11 +596,47 @@ def _r11(spark, sf_dir):
     return points
 
 
-@query("r11_automatic_prompts")
+@query(
+    "r11_automatic_prompts",
+    with_views(
+        "grid",
+        f"""{REGION_SQL}, {eroded_sql('m', 'e1', 1)}, {dilated_sql('e1', 'd1', 1)}, {dilated_sql('d1', 'd2', 1)},
+            {eroded_sql('d2', 'k', 1)}, {component_sql('k', 8)},
+            n as (select *, row_number() over (partition by image_id, lab order by y, x) - 1 as i,
+              count(*) over (partition by image_id, lab) as area, avg(x) over (partition by image_id, lab) as ax,
+              avg(y) over (partition by image_id, lab) as ay from comp),
+            s as (select image_id, lab, any_value(area) as area, any_value(round_even(ax, 0)::int) as cx, any_value(round_even(ay, 0)::int) as cy,
+              bool_or(x = round_even(ax, 0)::int and y = round_even(ay, 0)::int) as inside,
+              max(x) filter (i = area // 2) as mx, max(y) filter (i = area // 2) as my from n group by 1, 2 having any_value(area) >= 4),
+            ok as (select image_id, count(*) as components from s group by 1),
+            pos as (select image_id, 1 as label, row_number() over (partition by image_id order by area desc, lab) as position,
+              case when inside then cx else mx end as x, case when inside then cy else my end as y from s),
+            dense as (select image_id, y::int as y, x::int as x from ok, range(32) a(y), range(32) b(x)),
+            bg as (select d.* from dense d anti join k using (image_id, y, x)),
+            q as (select bg.image_id, bg.y, bg.x, min((bg.y - k.y) * (bg.y - k.y) + (bg.x - k.x) * (bg.x - k.x)) as d
+                  from bg join k on k.image_id = bg.image_id group by 1, 2, 3),
+            neg as (select image_id, 0 as label, row_number() over (partition by image_id order by d desc, y, x) as position, x, y from q),
+            points as (select * from pos where position <= 3 union all select * from neg where position <= 1),
+            box as (select image_id, greatest(min(x) - 1, 0) as x0, greatest(min(y) - 1, 0) as y0, least(max(x) + 1, 31) as x1,
+              least(max(y) + 1, 31) as y1 from k group by 1)
+            select i.image_id, case when ok.image_id is null then 'no_coarse_candidate' else 'ok' end as status,
+              coalesce(components, 0)::bigint as components, case when ok.image_id is not null then x0 || ',' || y0 || ',' || x1 || ',' || y1 end as box,
+              label, position::int as position, x::int as x, y::int as y
+            from imgs i left join ok on ok.image_id = i.image_id left join points p on p.image_id = i.image_id
+              left join box on box.image_id = i.image_id""",
+    ),
+)
 def _r11_prompts(spark, sf_dir):
     cells = grid(spark, sf_dir)
     pixels = cells.select("image_id", "y", "x", F.expr(f"case when {_REGION} then 0.9D else 0.1D end as prob"))
-    return components.automatic_prompts(pixels, images_of(cells), min_area=4)
+    prompts = components.automatic_prompts(pixels, images_of(cells), min_area=4)
+    return prompts.select(
+        "image_id",
+        "status",
+        "components",
+        F.array_join("box", ",").alias("box"),
+        F.explode_outer("points").alias("_p"),
+    ).select("image_id", "status", "components", "box", "_p.label", "_p.position", "_p.x", "_p.y")
 
 
 _TOPOLOGY = f"""{REGION_SQL}, {component_sql('m', 4)}, {cross_sql('m', 'b')},

@@ -9,32 +9,27 @@ from pyspark.sql import DataFrame, functions as F
 from rasterledger.functions.hashing import canonical_json, row_digest
 
 
+DIGEST_LANES = 16
+
+
 def table_digest(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Order-independent SHA-256 of a table, with its row count.
 
-    Equal rows collapse to a digest with a count. The digests are then folded by
-    prefix, six hex digits first and two fewer per step, so one task never holds
-    more than the digests of one prefix.
+    An additive multiset hash: the SHA-256 of every row is cut into 16-bit lanes,
+    the lanes are summed over all rows, and the count with the sums is hashed.
+    Sums combine on the map side, so no row is shuffled; a lane holds 2^47 rows.
     """
-    chosen = list(columns or df.columns)
-    rows = df.select(row_digest(chosen).alias("_row"))
-    counted = rows.groupBy("_row").agg(F.count(F.lit(1)).alias("_n"))
-    entry = F.concat_ws(":", "_row", F.col("_n").cast("string"))
-    level = counted.select(F.substring("_row", 1, 6).alias("_key"), entry.alias("_text"), "_n")
-    for width in (4, 2, 0):
-        folded = level.groupBy("_key").agg(
-            F.sha2(F.array_join(F.array_sort(F.collect_list("_text")), "\n"), 256).alias("_digest"),
-            F.sum("_n").alias("_n"),
-        )
-        level = folded.select(
-            F.substring("_key", 1, width).alias("_key"),
-            F.concat_ws(":", "_key", "_digest").alias("_text"),
-            "_n",
-        )
-    return level.groupBy().agg(
-        F.sha2(F.array_join(F.array_sort(F.collect_list("_text")), "\n"), 256).alias("digest"),
-        F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("rows"),
-    )
+    rows = df.select(row_digest(list(columns or df.columns)).alias("_row"))
+    lanes = [
+        F.coalesce(
+            F.sum(F.conv(F.substring("_row", 4 * i + 1, 4), 16, 10).cast("bigint")), F.lit(0)
+        ).alias(f"_lane{i}")
+        for i in range(DIGEST_LANES)
+    ]
+    totals = rows.agg(F.count(F.lit(1)).alias("rows"), *lanes)
+    parts = ["rows", *[f"_lane{i}" for i in range(DIGEST_LANES)]]
+    text = F.concat_ws(":", *[F.col(c).cast("string") for c in parts])
+    return totals.select(F.sha2(text, 256).alias("digest"), "rows")
 
 
 def average_hash(
