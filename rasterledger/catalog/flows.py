@@ -17,7 +17,7 @@ from rasterledger.operators import scoring
 from rasterledger.plans.evaluation import evaluate_predictions
 from rasterledger.plans.inference import tiled_inference
 from rasterledger.plans.preparation import prepare_dataset
-from rasterledger.session import pin, use_checkpoint_dir
+from rasterledger.session import fill_cores, pin, use_checkpoint_dir
 from rasterledger.sources import files, sinks
 from rasterledger.streaming import monitor, requests
 
@@ -247,7 +247,7 @@ def _logistic(pdf):
     ),
 )
 def _v1(spark, sf_dir):
-    px = view(spark, sf_dir, "px").select("image_id", "prob")
+    px = fill_cores(view(spark, sf_dir, "px").select("image_id", "prob"))
     scored = scoring.score(px, _logistic, "image_id bigint, score double")
     return r6(
         scored.groupBy("image_id", "status", "error_type").agg(

@@ -364,53 +364,60 @@ def _eroded_or_whole(mask: DataFrame, radius: int) -> DataFrame:
     return eroded.unionByName(mask.join(kept, "image_id", "left_anti"))
 
 
-def _draw_points(region: DataFrame, k: int, seed: int, label: Column, kind: str) -> DataFrame:
-    """k cells per image in shuffle order, repeated in turn where the region is smaller."""
-    drawn = region.withColumn("_draw", stable_hash32(F.concat_ws(":", *_PIXEL, F.lit(kind)), seed))
-    top = top_k_per_group(
-        drawn, ["image_id"], [F.col("_draw"), F.col("y"), F.col("x")], k, spread_on=["y", "x"], out="_i"
-    ).withColumn("_m", F.max("_i").over(Window.partitionBy("image_id")))
-    # Row i stands for draws i, i + m, i + 2m, ... up to k.
-    repeated = top.withColumn("draw", F.explode(F.sequence(F.col("_i"), F.lit(k), F.col("_m"))))
-    return repeated.select("image_id", F.lit(kind).alias("kind"), "draw", "x", "y", label.alias("label"))
-
-
 def prompt_points(
     mask: DataFrame, images: DataFrame, *, positives: int, negatives: int, seed: int = 42
 ) -> DataFrame:
     """Seeded point prompts: k foreground and m background points per image.
 
-    Images without foreground take their k points from the background, labelled 0.
-    ``mask`` carries height and width.
+    Images without foreground take their k points from the background, labelled 0;
+    images without background get m points at the origin. A region with fewer
+    cells than points repeats them in turn. ``mask`` carries height and width.
     """
-    inner = _eroded_or_whole(mask.select(*_PIXEL, "height", "width"), 2)
-    outer = _eroded_or_whole(background(mask, images).select(*_PIXEL, "height", "width"), 3)
-    with_mask = mask.select("image_id").distinct()
-    empty = outer.join(with_mask, "image_id", "left_anti")
-    parts = []
-    if positives > 0:
-        parts.append(_draw_points(inner, positives, seed, F.lit(1), "positive"))
-        parts.append(_draw_points(empty, positives, seed, F.lit(0), "positive"))
-    if negatives > 0:
-        parts.append(_draw_points(outer, negatives, seed, F.lit(0), "negative"))
-    if not parts:
+    if positives <= 0 and negatives <= 0:
         raise ValueError("positives or negatives must be positive")
-    points = parts[0]
-    for part in parts[1:]:
-        points = points.unionByName(part)
-    if negatives > 0:
-        # An image that is all foreground has no background: its negatives lie at the origin.
-        full = images.join(outer.select("image_id").distinct(), "image_id", "left_anti")
-        origin = full.select(
-            "image_id",
-            F.lit("negative").alias("kind"),
-            F.explode(F.sequence(F.lit(1), F.lit(negatives))).alias("draw"),
-            F.lit(0).alias("x"),
-            F.lit(0).alias("y"),
-            F.lit(0).alias("label"),
-        )
-        points = points.unionByName(origin)
-    return points
+    size = ["height", "width"]
+    inner = _eroded_or_whole(mask.select(*_PIXEL, *size), 2)
+    outer = _eroded_or_whole(background(mask, images).select(*_PIXEL, *size), 3)
+    areas = mask.groupBy("image_id").agg(F.count(F.lit(1)).alias("_area"))
+    # Each background cell serves as a negative and, in an empty image, as a positive too.
+    placed = outer.join(areas, "image_id", "left").withColumn(
+        "kind",
+        F.explode(
+            F.array_compact(
+                F.array(F.lit("negative"), F.when(F.col("_area").isNull(), F.lit("positive")))
+            )
+        ),
+    )
+    pool = inner.select(*_PIXEL, F.lit("positive").alias("kind"), F.lit(1).alias("label")).unionByName(
+        placed.select(*_PIXEL, "kind", F.lit(0).alias("label"))
+    )
+    wanted = F.when(F.col("kind") == "positive", positives).otherwise(negatives)
+    drawn = pool.withColumn("_draw", stable_hash32(F.concat_ws(":", *_PIXEL, "kind"), seed))
+    top = top_k_per_group(
+        drawn,
+        ["image_id", "kind"],
+        [F.col("_draw"), F.col("y"), F.col("x")],
+        max(positives, negatives),
+        spread_on=["y", "x"],
+        out="_i",
+    ).where(F.col("_i") <= wanted)
+    members = top.withColumn("_m", F.max("_i").over(Window.partitionBy("image_id", "kind")))
+    # Row i stands for the draws i, i + m, i + 2m, ... up to the number wanted.
+    points = members.withColumn("draw", F.explode(F.sequence(F.col("_i"), wanted, F.col("_m")))).select(
+        "image_id", "kind", "draw", "x", "y", "label"
+    )
+    if negatives <= 0:
+        return points
+    covered = F.col("_area") == F.col("height").cast("bigint") * F.col("width")
+    origin = images.join(areas, "image_id").where(covered).select(
+        "image_id",
+        F.lit("negative").alias("kind"),
+        F.explode(F.sequence(F.lit(1), F.lit(negatives))).alias("draw"),
+        F.lit(0).alias("x"),
+        F.lit(0).alias("y"),
+        F.lit(0).alias("label"),
+    )
+    return points.unionByName(origin)
 
 
 def farthest_background(mask: DataFrame, images: DataFrame, k: int) -> DataFrame:

@@ -11,12 +11,6 @@ from pyspark.sql.types import StructType
 Scorer = Callable[[pd.DataFrame], pd.DataFrame]
 
 
-def _failed(rows: pd.DataFrame, columns: list[str], error: Exception) -> pd.DataFrame:
-    out = rows.reindex(columns=columns)
-    out["status"], out["error_type"], out["error_message"] = "error", type(error).__name__, str(error)
-    return out
-
-
 def score(df: DataFrame, scorer: Scorer, schema: str) -> DataFrame:
     """Apply ``scorer`` to Arrow batches and record a status per row.
 
@@ -28,20 +22,15 @@ def score(df: DataFrame, scorer: Scorer, schema: str) -> DataFrame:
     columns = declared.fieldNames()
     output = f"{schema}, status string, error_type string, error_message string"
 
-    def good(rows: pd.DataFrame) -> pd.DataFrame:
-        scored = scorer(rows)
-        if len(scored) != len(rows):
-            raise ValueError("scorer changed the number of rows")
-        scored = scored[columns].copy()
-        scored["status"], scored["error_type"], scored["error_message"] = "ok", None, None
-        return scored
-
-    def attempt(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    def attempt(rows: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, Exception | None]]:
         try:
-            yield good(rows)
+            scored = scorer(rows)
+            if len(scored) != len(rows):
+                raise ValueError("scorer changed the number of rows")
+            yield scored[columns], None
         except Exception as error:
             if len(rows) == 1:
-                yield _failed(rows, columns, error)
+                yield rows.reindex(columns=columns), error
             else:
                 half = len(rows) // 2
                 yield from attempt(rows.iloc[:half])
@@ -49,7 +38,14 @@ def score(df: DataFrame, scorer: Scorer, schema: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                yield pd.concat(list(attempt(batch)))
+            if not len(batch):
+                continue
+            parts, errors = zip(*attempt(batch))
+            out = pd.concat(parts, ignore_index=True)
+            per_row = [e for part, e in zip(parts, errors) for _ in range(len(part))]
+            out["status"] = ["ok" if e is None else "error" for e in per_row]
+            out["error_type"] = [None if e is None else type(e).__name__ for e in per_row]
+            out["error_message"] = [None if e is None else str(e) for e in per_row]
+            yield out
 
     return df.mapInPandas(run, output)

@@ -50,9 +50,10 @@ def pin(df: DataFrame) -> DataFrame:
 
 
 def fill_cores(df: DataFrame, *keys: str) -> DataFrame:
-    """Repartition a frame that has fewer partitions than cores, before heavy work per row.
+    """Repartition a scan that has fewer partitions than cores, before heavy work per row.
 
-    Large inputs have partitions enough and pass through without a shuffle.
+    Large inputs have partitions enough and pass through without a shuffle. Meant
+    for plain scans: for other plans, asking for the number runs their shuffles.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
