@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rasterledger.functions.hashing import canonical_json
+from rasterledger.operators.checks import raise_if_any
 from rasterledger.operators.ordered import global_row_number, quantile_values, running_max
 
 IMPROVEMENT_MARGIN = 1e-8
@@ -112,6 +113,12 @@ def models_without_validation(runs: DataFrame, model: str) -> DataFrame:
     )
 
 
+def require_validation(runs: DataFrame, model: str) -> DataFrame:
+    """The runs, once every model has validation rows to choose by."""
+    raise_if_any(models_without_validation(runs, model), model, "No validation rows to select by")
+    return runs
+
+
 def running_best(history: DataFrame, run: str, epoch: str, value: str) -> DataFrame:
     """Best value so far per run and the distance to it."""
     best = running_max(history, [epoch], value, groups=[run], out="running_best")
