@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rasterledger.llm.quality_rules import MEASURES, verdict_sql, verdicts
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -49,3 +51,8 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rasterledger.llm.byte_bpe import round_trip
 
     return round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"))
+
+
+@query("op6_quality_rules", verdict_sql())
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verdicts(table(spark, sf_dir, "documents")).select("doc_id", *MEASURES, "base_failed", "kept")
