@@ -76,3 +76,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scanned(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "sentence_ids", "licenses", "unmatched_ids")
+
+
+@query("op5_page_text")
+def op5_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rasterledger.llm.page_text import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
