@@ -83,3 +83,10 @@ def op5_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rasterledger.llm.page_text import main_text
 
     return main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rasterledger.llm.toxicity import scored
+
+    return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
