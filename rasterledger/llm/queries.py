@@ -90,3 +90,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rasterledger.llm.toxicity import scored
 
     return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op1_suffix_dedup")
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rasterledger.llm.suffix_dedup import repeat_report
+
+    return repeat_report(table(spark, sf_dir, "documents"))
