@@ -6,6 +6,10 @@ fingerprints are tabled first. A pair whose distances to any one reference diffe
 by more than the radius is farther apart than the radius (triangle inequality) and
 is discarded; survivors are verified. A cell hands on one link for each fingerprint
 that it joins to others, not one for each pair.
+
+``near_duplicates`` links 64-bit fingerprints within a few bits, exactly.
+``similar_documents`` is for a similarity of the shingle sets: wider fingerprints, cells of
+sampled bits in many tables, and a last check on the shingles themselves.
 """
 
 from __future__ import annotations
@@ -66,14 +70,20 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     return rows.mapInArrow(run, f"`{id_column}` {kind}, fp long")
 
 
-def references(count: int = REFERENCES) -> np.ndarray:
-    """Reference fingerprints: pseudo-random, always the same."""
-    return mixed(np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+def references(count: int = REFERENCES, words: int = 1) -> np.ndarray:
+    """Reference fingerprints (references, words): pseudo-random, always the same."""
+    numbers = np.arange(1, count * words + 1, dtype=np.uint64).reshape(count, words)
+    return mixed(numbers * np.uint64(0x9E3779B97F4A7C15))
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances of fingerprints whose 64-bit words are on the last axis."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int16)
 
 
 def distance_table(values: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """Hamming distance of each fingerprint to each reference (fingerprints, references)."""
-    return np.bitwise_count(values[:, None] ^ pivots[None, :])
+    return np.stack([distances(values, pivot) for pivot in pivots], axis=1)
 
 
 def cell_links(values: np.ndarray, pivots: np.ndarray, radius: int) -> np.ndarray:
@@ -82,9 +92,9 @@ def cell_links(values: np.ndarray, pivots: np.ndarray, radius: int) -> np.ndarra
     The fingerprints are put in the order of the first reference's distances, so each slab
     meets only the stretch whose first coordinate is within the radius.
     """
-    order = np.argsort(np.bitwise_count(values ^ pivots[0]), kind="stable")
+    order = np.argsort(distances(values, pivots[0]), kind="stable")
     values = values[order]
-    table = distance_table(values, pivots).astype(np.int8)
+    table = distance_table(values, pivots)
     first = table[:, 0]
     parent = np.arange(len(values))
     for start in range(0, len(values), SLAB):
@@ -98,7 +108,7 @@ def cell_links(values: np.ndarray, pivots: np.ndarray, radius: int) -> np.ndarra
                 break
             near = np.abs(table[left, j] - table[right, j]) <= radius
             left, right = left[near], right[near]
-        near = np.bitwise_count(values[left] ^ values[right]) <= radius
+        near = distances(values[left], values[right]) <= radius
         left, right = left[near], right[near]
         while len(left):
             low = np.minimum(parent[left], parent[right])
@@ -143,8 +153,8 @@ def links(distinct: DataFrame, radius: int = 2, blocks: int = 5, cell_limit: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivots = references()
-        for rows, over in _whole_cells(batches, cell_limit):
-            a, b = (rows[:, 3], rows[:, 2]) if over else _linked(rows, pivots, radius)
+        for rows, over in _whole_cells(batches, ("n", "key", "node", "fp"), cell_limit):
+            a, b = (rows[:, 2], rows[:, 3]) if over else _linked(rows, pivots, radius)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), over))], names=["a", "b", "over"])
 
     found = pin(placed.mapInArrow(run, "a long, b long, over boolean"))
@@ -157,12 +167,12 @@ def links(distinct: DataFrame, radius: int = 2, blocks: int = 5, cell_limit: int
     return found.where("not over").select("a", "b").unionByName(near.where("a <> b")).distinct()
 
 
-def _whole_cells(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[np.ndarray, bool]]:
-    """Rows (n, key, fp, node) of whole cells, or marked True those of a cell over the limit, part by part."""
+def _whole_cells(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], limit: int) -> Iterator[tuple[np.ndarray, bool]]:
+    """Rows of whole cells, or marked True those of a cell over the limit, part by part; a cell has equal first two columns."""
     held: list[np.ndarray] = []
     cell, size, spilling = None, 0, False
     for batch in batches:
-        rows = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n", "key", "fp", "node")])
+        rows = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns])
         if not len(rows):
             continue
         starts = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])
@@ -187,22 +197,35 @@ def _whole_cells(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tupl
         yield np.concatenate(held), False
 
 
-def _linked(rows: np.ndarray, pivots: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between the nodes of whole cells."""
+def _linked(rows: np.ndarray, pivots: np.ndarray, radius: int, small: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Links between the nodes of whole cells, rows (n, key, node, words of the fingerprint).
+
+    Cells of at most ``small`` members, which most are, are done all together and give their
+    pairs; a larger cell gives one link for each fingerprint.
+    """
     starts = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])
     counts = np.diff(np.r_[starts, len(rows)])
-    fp = np.ascontiguousarray(rows[:, 2]).view(np.uint64)
-    # Cells of two, which most are, all together.
-    two = starts[counts == 2]
-    apart = np.abs(distance_table(fp[two], pivots).astype(np.int8) - distance_table(fp[two + 1], pivots).astype(np.int8))
-    two = two[apart.max(axis=1, initial=0) <= radius]
-    two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius]
-    a, b = [rows[two, 3]], [rows[two + 1, 3]]
-    for start, count in zip(starts[counts > 2].tolist(), counts[counts > 2].tolist(), strict=True):
+    fp = np.ascontiguousarray(rows[:, 3:]).view(np.uint64)
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    left = np.repeat(np.cumsum(counts) - 1, counts) - np.arange(len(rows))  # members behind in the cell
+    left[np.repeat(counts > small, counts)] = 0
+    table = distance_table(fp, pivots) if (left > 0).any() else None
+    for lag in range(1, small):
+        one = np.flatnonzero(left >= lag)
+        if not len(one):
+            break
+        two = one + lag
+        for j in range(len(pivots)):
+            near = np.abs(table[one, j] - table[two, j]) <= radius
+            one, two = one[near], two[near]
+        near = distances(fp[one], fp[two]) <= radius
+        a.append(rows[one[near], 2])
+        b.append(rows[two[near], 2])
+    for start, count in zip(starts[counts > small].tolist(), counts[counts > small].tolist(), strict=True):
         to = cell_links(fp[start : start + count], pivots, radius)
         moved = np.flatnonzero(to != np.arange(count))
-        a.append(rows[start + moved, 3])
-        b.append(rows[start + to[moved], 3])
+        a.append(rows[start + moved, 2])
+        b.append(rows[start + to[moved], 2])
     return np.concatenate(a), np.concatenate(b)
 
 
@@ -229,3 +252,137 @@ def near_duplicates(
     roots = connected(links(groups, radius, blocks, cell_limit))
     rooted = groups.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"), "_size")
     return spread_join(marked, rooted, "fp", "_size", total).select(id_column, "fp", "component_id")
+
+
+#: 64-bit words of a wide fingerprint, and members of a cell up to which all its pairs are compared.
+WIDE = 4
+SMALL_CELL = 64
+#: Share of pairs at the very similarity asked for that must meet in a cell.
+RECALL = 0.97
+
+
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """Hashes of the distinct shingles of a text after lower-casing A-Z, sorted."""
+    import xxhash
+
+    parts = text.lower().split()
+    if not parts:
+        return np.empty(0, np.uint64)
+    reach = min(words, len(parts))
+    found = {xxhash.xxh64_intdigest(b" ".join(parts[i : i + reach]), SEED) for i in range(len(parts) - reach + 1)}
+    return np.array(sorted(found), np.uint64)
+
+
+def _wide_codes(rows: DataFrame, words: int) -> DataFrame:
+    """(_id, c0, ...) with the wide fingerprint of the shingle set; texts without a word are left out."""
+    names = [f"c{k}" for k in range(WIDE)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turns = mixed(np.arange(WIDE, dtype=np.uint64) + np.uint64(7))
+        for batch, texts in chunks(batches, "_text"):
+            codes = np.zeros((len(texts), WIDE), np.uint64)
+            used = np.zeros(len(texts), bool)
+            for i in range(len(texts)):
+                hashes = shingle_hashes(texts.one(i), words)
+                used[i] = len(hashes) > 0
+                counts = np.zeros(64 * WIDE, np.int64)
+                for k in range(0, len(hashes), 1 << 14):
+                    wide = mixed(hashes[k : k + (1 << 14), None] ^ turns[None, :])
+                    counts += np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+                codes[i] = np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)
+            arrays = [batch.column("_id").filter(pa.array(used)), *(pa.array(codes[used, k].view(np.int64)) for k in range(WIDE))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["_id", *names])
+
+    return rows.mapInArrow(run, "_id long, " + ", ".join(f"{n} long" for n in names))
+
+
+def _agreement(similarity: float) -> float:
+    """Share of fingerprint bits on which two sets of one size and this Jaccard similarity agree."""
+    return 1 - float(np.arccos(2 * similarity / (1 + similarity))) / np.pi
+
+
+def _sampled_links(codes: DataFrame, total: int, similarity: float) -> DataFrame:
+    """Links (a, b) between nodes whose wide fingerprints meet in a cell of sampled bits and are near.
+
+    Cells have so many bits that unrelated fingerprints seldom fill one, and tables are so
+    many that a pair at the similarity meets in one of them with the share RECALL.
+    """
+    bits = 64 * WIDE
+    agree = _agreement(similarity)
+    depth = min(60, max(12, int(np.ceil(np.log2(max(total, 2)))) - 4))
+    tables = max(1, int(np.ceil(np.log(1 - RECALL) / np.log(1 - agree**depth))))
+    # Two standard deviations over the mean distance of such a pair.
+    radius = int(bits * (1 - agree) + 2 * np.sqrt(bits * agree * (1 - agree)))
+    names = [f"c{k}" for k in range(WIDE)]
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chosen = [np.argsort(mixed(np.arange(bits, dtype=np.uint64) + np.uint64(1000 * (t + 1))))[:depth] for t in range(tables)]
+        for batch in batches:
+            words = np.column_stack([batch.column(n).to_numpy(zero_copy_only=False) for n in names]).view(np.uint64)
+            for t, places in enumerate(chosen):
+                key = np.zeros(len(words), np.uint64)
+                for place in places.tolist():
+                    key = key << np.uint64(1) | (words[:, place // 64] >> np.uint64(place % 64) & np.uint64(1))
+                arrays = [pa.array(np.full(len(words), t, np.int32)), pa.array(key.view(np.int64)), batch.column("node"), *(batch.column(n) for n in names)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["n", "key", "node", *names])
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots = references(words=WIDE)
+        # A cell over the limit is linked part by part, each part with the last member before it.
+        last = None
+        for rows, over in _whole_cells(batches, ("n", "key", "node", *names), CELL_LIMIT):
+            if over and last is not None and (rows[0, :2] == last[0, :2]).all():
+                rows = np.concatenate([last, rows])
+            last = rows[-1:] if over else None
+            a, b = _linked(rows, pivots, radius, SMALL_CELL)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    columns = ", ".join(f"{n} long" for n in names)
+    cells = codes.mapInArrow(placed, f"n int, key long, node long, {columns}").repartition("n", "key").sortWithinPartitions("n", "key")
+    return cells.mapInArrow(linked, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+
+
+def _verified(rows: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) whose shingle sets have the similarity at least; every text is read whole."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in chunks(batches, "_text"):
+            sets = [shingle_hashes(texts.one(i), words).astype("<u8").tobytes() for i in range(len(texts))]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sets, pa.binary())], names=["a", "b", "shingles"])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_pair = None
+        for batch in batches:
+            a, b = [], []
+            for row in batch.to_pylist():
+                pair, held = (row["a"], row["b"]), np.frombuffer(row["shingles"], "<u8")
+                if open_pair is not None and open_pair[0] == pair:
+                    common = len(np.intersect1d(open_pair[1], held, assume_unique=True))
+                    if common >= similarity * (len(held) + len(open_pair[1]) - common):
+                        a.append(pair[0])
+                        b.append(pair[1])
+                open_pair = pair, held
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("_id"))
+    sets = rows.dropDuplicates(["_id"]).join(ends, "_id").select("a", "b", "_text").mapInArrow(hashed, "a long, b long, shingles binary")
+    return sets.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(compared, "a long, b long")
+
+
+def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Rows that are linked to others: (id, component_id).
+
+    Documents link if the Jaccard similarity of their sets of ``words``-word shingles is at
+    least ``similarity``; that is checked on the shingles for every pair found near by its
+    fingerprints. component_id is the smallest id reachable. Documents with no link, without
+    a word, or without an id are not returned. Of rows that repeat an id one is compared.
+    Other columns are left out; an empty table gives an empty one.
+    """
+    rows = docs.select(docs[id_column].cast("long").alias("_id"), docs[text_column].cast("string").alias("_text")).where("_id is not null")
+    codes = pin(_wide_codes(rows, words))
+    names = [f"c{k}" for k in range(WIDE)]
+    groups = pin(codes.groupBy(*names).agg(F.min("_id").alias("node")))
+    near = _sampled_links(groups, groups.count(), similarity)
+    same = codes.join(groups, names).select(F.col("node").alias("a"), F.col("_id").alias("b")).where("a < b")
+    found = pin(_verified(rows, near.unionByName(same).distinct(), words, similarity))
+    return connected(found).select(F.col("node").alias(id_column), F.col("root").alias("component_id"))

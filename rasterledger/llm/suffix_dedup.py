@@ -545,8 +545,8 @@ def joined_spans(low: np.ndarray, high: np.ndarray, length: int) -> tuple[np.nda
 
 
 def cut_documents(texts: DataFrame, runs: DataFrame, length: int) -> DataFrame:
-    """(_id, n_removed, n_spans, kept, starts, stops) of the documents that lose bytes; ``kept`` is what is left."""
-    names = ["_id", "n_removed", "n_spans", "kept", "starts", "stops"]
+    """(_id, n_removed, n_spans, kept, left, starts, stops) of the documents that lose bytes; ``kept`` is what is left."""
+    names = ["_id", "n_removed", "n_spans", "kept", "left", "starts", "stops"]
     longs = pa.list_(pa.int64())
 
     def cut(_, rows: pa.Table, found: pa.Table) -> pa.Table:
@@ -568,22 +568,23 @@ def cut_documents(texts: DataFrame, runs: DataFrame, length: int) -> DataFrame:
             held = stop > first
             first, stop = first[held].tolist(), stop[held].tolist()
             kept = b"".join(data[a:b] for a, b in zip([0, *stop], [*first, len(data)], strict=True))
-            for column, value in zip(out, (doc, len(data) - len(kept), len(first), kept, first, stop), strict=True):
+            for column, value in zip(out, (doc, len(data) - len(kept), len(first), kept, kept.decode(errors="ignore"), first, stop), strict=True):
                 column.append(value)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), longs, longs)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), longs, longs)
         return pa.table([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
 
     return texts.groupBy("block").cogroup(runs.groupBy("block")).applyInArrow(
-        cut, "_id long, n_removed long, n_spans long, kept binary, starts array<long>, stops array<long>"
+        cut, "_id long, n_removed long, n_spans long, kept binary, left string, starts array<long>, stops array<long>"
     )
 
 
 def cut_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = 200, period: int = 91) -> DataFrame:
-    """Documents that lose bytes: (id, n_removed, n_spans, kept, starts, stops).
+    """Documents that lose bytes: (id, n_removed, n_spans, kept, left, starts, stops).
 
     A byte goes if a string of ``length`` bytes that covers it also starts anywhere else, in
     the same or another document; matches do not cross documents and are judged on the input.
-    ``kept`` is the rest as bytes, ``starts`` and ``stops`` the maximal removed runs.
+    ``kept`` is the rest as bytes, ``left`` the same as text without characters of which a byte
+    was cut, ``starts`` and ``stops`` the maximal removed runs.
     Documents that are shorter, empty or null lose nothing. Repeated rows are documents of
     their own, so each loses its bytes if it is long enough; rows with one id and different
     texts share the positions that are cut, as far as they reach. Other columns are left out;
