@@ -26,6 +26,8 @@ from rasterledger.llm.texts import chunks
 #: Labelled rows that are used at most: those with the smallest hash of their id.
 LABELLED_ROWS = 8_000
 FEATURES = 3_000
+#: Least chi-square of a feature with the label; by chance one in ten thousand has it.
+LEAST_CHI_SQUARE = 15.0
 FOLDS = 5
 PREFIXES = (4, 5, 6)
 
@@ -71,7 +73,7 @@ def logistic(rows: Rows, earlier: np.ndarray, labels: np.ndarray, used: np.ndarr
     Rare labels weigh more: by the root of their odds, at most tenfold.
     """
     positive = max(float((used * labels).sum()), 1.0)
-    used = used * np.where(labels > 0, min(10.0, max(1.0, (used.sum() / positive - 1) ** 0.5)), 1.0)
+    used = used * np.where(labels > 0, min(10.0, max(1.0, used.sum() / positive - 1) ** 0.5), 1.0)
     weights, before, constant = np.zeros(size), np.zeros(earlier.shape[1]), -1.0
     sums, sums_before, sum_constant = np.full(size, 1e-8), np.full(len(before), 1e-8), 1e-8
     number = max(int(used.sum()), 1)
@@ -130,7 +132,7 @@ def category_labels(texts: list[str], toxic: np.ndarray) -> np.ndarray:
 
 
 def chosen_features(texts: list[str], toxic: np.ndarray, count: int) -> list[str]:
-    """Features that at least three labelled rows have, by their chi-square with the label."""
+    """Features that at least three labelled rows have, by their chi-square with the label, if it is large enough."""
     have, have_toxic = Counter(), Counter()
     for text, label in zip(texts, toxic, strict=True):
         found = features_of(text)
@@ -145,7 +147,8 @@ def chosen_features(texts: list[str], toxic: np.ndarray, count: int) -> list[str
         expected = n * share
         return (have_toxic[name] - expected) ** 2 / max(expected * (1 - share), 1e-9) * (1 - n / (total + 1))
 
-    return sorted((n for n, k in have.items() if k >= 3), key=lambda n: (-weight(n), n))[:count]
+    weights = {n: w for n, k in have.items() if k >= 3 and (w := weight(n)) >= LEAST_CHI_SQUARE}
+    return sorted(weights, key=lambda n: (-weights[n], n))[:count]
 
 
 def fitted(ids: list[int], texts: list[str], toxic: np.ndarray, count: int = FEATURES, folds: int = FOLDS) -> ChainModel:
