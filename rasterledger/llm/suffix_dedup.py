@@ -34,9 +34,6 @@ from pyspark.sql import DataFrame, functions as F
 from rasterledger.llm.texts import Fingerprints, Texts, chunks, mixed, texts_of
 from rasterledger.session import pin
 
-#: What is known of the class of a tied suffix: its size counts as small, as large, or is not known.
-SMALL, LARGE, UNKNOWN = 0, 1, 2
-
 # Perfect difference covers: every residue is the difference of two of these. Fixed values.
 COVERS = {
     13: (0, 1, 3, 9),
@@ -47,14 +44,16 @@ COVERS = {
 #: Bytes of text of a block, and cover suffixes of a bucket, on the average.
 BLOCK_BYTES = 16 << 20
 BUCKET_SUFFIXES = 2_000_000
-#: Members of a class from which on it is split by the bytes next to the tie.
-LARGE_CLASS = 100_000
-#: Bytes of texts whose cover suffixes are merged before they are sent on.
-MERGED_BYTES = 32 << 20
+#: Merged parts of the corpus that have a class from which on it is split by the bytes next to the tie.
+LARGE_CLASS = 200
+#: Bytes of texts whose cover suffixes are merged before they are sent on, and worked on at once.
+MERGED_BYTES = 8 << 20
+CHUNK_BYTES = 1 << 20
 #: Entries whose strings are compared at once.
 SLAB = 16_384
-#: Words of the bitmap that keeps documents without ties out of later shuffles; its size is fixed.
+#: Words of a bitmap of documents with ties, or of large classes; its size is fixed.
 BITMAP_WORDS = 1 << 17
+BITMAP_PARTS = 64
 
 _NO_ID = -(1 << 63)
 
@@ -189,7 +188,7 @@ _TIED = "block int, ids binary, counts binary, ordinals binary"
 
 
 def tied_suffixes(docs: DataFrame, cover: Cover, buckets: int, blocks: int, mark_bytes: int) -> DataFrame:
-    """Cover suffixes with a tie, by block: (block, ids, counts, ordinals); an ordinal is times four, plus what is known of its class."""
+    """Cover suffixes with a tie, by block: (block, ids, counts, ordinals); block -1 has the names of large classes."""
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = _CoverBlock(cover, buckets, mark_bytes)
@@ -209,7 +208,7 @@ def tied_suffixes(docs: DataFrame, cover: Cover, buckets: int, blocks: int, mark
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["bucket", "ids", "counts", "ordinals", "marks", "met", "state"])
 
-        for batch, texts in chunks(batches, "_text"):
+        for batch, texts in chunks(batches, "_text", CHUNK_BYTES):
             block.add(batch.column("_id").to_numpy(zero_copy_only=False), texts)
             if block.bytes >= MERGED_BYTES:
                 yield from rows()
@@ -227,23 +226,28 @@ def tied_suffixes(docs: DataFrame, cover: Cover, buckets: int, blocks: int, mark
         low, high = np.minimum.reduceat(met[order], starts), np.maximum.reduceat(met[order], starts)
         # A residue of its own in all blocks is enough only if it is the first one.
         needed = (counts > 1) & ((low != high) | (low == 255) | (low == 0))
-        tied, large = np.zeros(len(values), bool), np.zeros(len(values), bool)
+        tied = np.zeros(len(values), bool)
         tied[order] = np.repeat(needed, counts)
-        large[order] = np.repeat(counts > LARGE_CLASS, counts)
+        large = values[order[starts[needed & (counts > LARGE_CLASS)]]]
+        if len(large):
+            names = class_names(np.full(len(large), rows[0]["bucket"]), large).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([-1], pa.int32()), pa.array([_planes(names, "<i8")]), pa.array([b""]), pa.array([b""])], names=["block", "ids", "counts", "ordinals"]
+            )
         at = 0
         for row, size in zip(rows, sizes, strict=True):
             state = np.frombuffer(row["state"], np.uint8)
             chosen = tied[at : at + size] | (state & 1).astype(bool)
-            yield from by_block(row, chosen, np.where(large[at : at + size], LARGE, SMALL))
+            yield from by_block(row, chosen)
             at += size
 
-    def by_block(row: dict, chosen: np.ndarray, known: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def by_block(row: dict, chosen: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not chosen.any():
             return
         ids, per = _from_planes(row["ids"], "<i8"), _from_planes(row["counts"]).astype(np.int64)
         ordinals = _decoded(per, row["ordinals"])
         owner = np.repeat(np.arange(len(ids)), per)[chosen]
-        ordinals = ordinals[chosen] * 4 + known[chosen]
+        ordinals = ordinals[chosen]
         block = _block_of(ids, blocks)[owner]
         order = np.argsort(block, kind="stable")
         starts, counts = _groups(block[order])
@@ -261,8 +265,7 @@ def tied_suffixes(docs: DataFrame, cover: Cover, buckets: int, blocks: int, mark
         for batch in batches:
             for row in batch.to_pylist():
                 if row["bucket"] < 0:
-                    size = len(row["met"])
-                    yield from by_block(row, np.ones(size, bool), np.full(size, UNKNOWN))
+                    yield from by_block(row, np.ones(len(row["met"]), bool))
                     continue
                 if held and held[0]["bucket"] != row["bucket"]:
                     yield from sorted_bucket(held)
@@ -277,21 +280,35 @@ def tied_suffixes(docs: DataFrame, cover: Cover, buckets: int, blocks: int, mark
     return placed.mapInArrow(sort_buckets, _TIED)
 
 
+def class_names(buckets: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Names of tie classes from what a bucket knows of them."""
+    return mixed(marks + buckets.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def _bitmap(tied: DataFrame) -> np.ndarray:
-    """Bits of the documents with ties, of a fixed number of words."""
+    """Bits of the numbers in ``ids``, of a fixed number of words."""
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = np.zeros(BITMAP_WORDS, np.uint64)
         for batch in batches:
             for ids in batch.column("ids"):
                 _mark(words, _from_planes(ids.as_py(), "<i8"))
-        used = np.flatnonzero(words)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(words[used].view(np.int64))], names=["word", "bits"])
+        parts = words.reshape(BITMAP_PARTS, -1)
+        used = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([parts[i].tobytes() for i in used], pa.binary())], names=["part", "words"])
 
-    found = tied.select("ids").mapInArrow(bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    words = np.zeros(BITMAP_WORDS, np.uint64)
-    words[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
-    return words
+    def merged(rows: pa.Table) -> pa.Table:
+        words = np.zeros(BITMAP_WORDS // BITMAP_PARTS, np.uint64)
+        for part in rows.column("words"):
+            words |= np.frombuffer(part.as_py(), np.uint64)
+        return pa.table({"part": rows.column("part").slice(0, 1), "words": pa.array([words.tobytes()], pa.binary())})
+
+    kind = "part long, words binary"
+    found = tied.select("ids").mapInArrow(bits, kind).groupBy("part").applyInArrow(merged, kind).toArrow()
+    words = np.zeros((BITMAP_PARTS, BITMAP_WORDS // BITMAP_PARTS), np.uint64)
+    for part, held in zip(found["part"].to_pylist(), found["words"].to_pylist(), strict=True):
+        words[part] = np.frombuffer(held, np.uint64)
+    return words.ravel()
 
 
 def _mark(words: np.ndarray, ids: np.ndarray) -> None:
@@ -325,8 +342,8 @@ _ENTRIES = "block int, bucket int, ids binary, low binary, high binary, keys bin
 class _Around:
     """The bytes around tied suffixes, and which strings of them are to be compared."""
 
-    def __init__(self, cover: Cover):
-        self.cover = cover
+    def __init__(self, cover: Cover, is_large=None):
+        self.cover, self.is_large = cover, is_large
         self.before = cover.period - 1
         self.width = self.before + cover.length
         self.prints = Fingerprints()
@@ -334,34 +351,35 @@ class _Around:
         self.weights = self.prints.powers[: self.width]
 
     def entries(self, ids: np.ndarray, texts: Texts, ordinals: list[np.ndarray]):
-        """Entries of a block: (ids, positions, keys, reach, bytes).
+        """Entries of a block: (ids, positions, keys, low, high, whole, places).
 
-        ``reach`` is the range of distances [low, high] before the suffix at which a whole
-        string of the text begins and is to be compared under this key.
+        [low, high] are the distances before the suffix at which a whole string of the text
+        begins and is to be compared under this key. ``whole`` is equal if everything around
+        is, and ``places`` is where the bytes around begin in ``self.padded``.
         """
         cover = self.cover
         out = []
+        # Each text with so many empty bytes before and behind it that no entry leaves it.
+        gap = self.before + cover.length
+        shifts = texts.offsets[:-1] + gap * np.arange(len(texts)) + self.before
+        self.padded = np.zeros(len(texts.data) + gap * len(texts), np.uint8)
         for i in range(len(texts)):
             numbers = np.unique(ordinals[i])
             size = int(texts.offsets[i + 1] - texts.offsets[i])
-            # One entry for a position; the last is the one of which least is known.
-            numbers = numbers[np.r_[numbers[1:] >> 2 != numbers[:-1] >> 2, True]]
-            known = numbers & 3
-            at = cover.positions(numbers >> 2)
-            held = at + cover.tie <= size
-            at, known = at[held], known[held]
+            at = cover.positions(numbers)
+            at = at[at + cover.tie <= size]
             if not len(at) or size < cover.length:
                 continue
             data = texts.data[texts.offsets[i] : texts.offsets[i + 1]]
-            padded = np.zeros(size + self.width, np.uint8)
-            padded[self.before : self.before + size] = data
+            self.padded[shifts[i] : shifts[i] + size] = data
             sums = self.prints.sums(data)
             keys = self.prints.windows(sums, at, at + cover.tie)
             low = np.maximum(0, at + cover.length - size)
             high = np.minimum(self.before, at)
-            around = np.lib.stride_tricks.sliding_window_view(padded, self.width)[at]
-            parts = [(known != LARGE, keys, low, high)]
-            large = known != SMALL
+            whole = self.prints.windows(sums, at - high, np.minimum(at + cover.length, size))
+            places = at + shifts[i] - self.before
+            large = self.is_large(keys)
+            parts = [(~large, keys, low, high)]
             if large.any():
                 # Strings that begin well before a tie agree on the bytes before it, the others behind it.
                 near = min(16, self.before // 2)
@@ -374,7 +392,7 @@ class _Around:
             for chosen, key, first, last in parts:
                 chosen = chosen & (first <= last)
                 if chosen.any():
-                    out.append((np.full(int(chosen.sum()), ids[i]), at[chosen], key[chosen], first[chosen], last[chosen], around[chosen]))
+                    out.append((np.full(int(chosen.sum()), ids[i]), at[chosen], key[chosen], first[chosen], last[chosen], mixed(whole[chosen] + key[chosen]), places[chosen]))
         if not out:
             return None
         return tuple(map(np.concatenate, zip(*out, strict=True)))
@@ -423,8 +441,14 @@ def _runs(ids: np.ndarray, positions: np.ndarray, found: np.ndarray) -> tuple[np
     return ids[entry], positions[entry] - last, positions[entry] - first
 
 
-def repeat_starts(texts: DataFrame, tied: DataFrame, cover: Cover, buckets: int, blocks: int) -> DataFrame:
+def repeat_starts(texts: DataFrame, tied: DataFrame, cover: Cover, buckets: int, blocks: int, mark_bytes: int) -> DataFrame:
     """Runs of positions at which repeated strings start: (block, ids, low, high)."""
+    large = texts.sparkSession.sparkContext.broadcast(_bitmap(tied.where("block < 0")))
+    mask = np.uint64((1 << 8 * mark_bytes) - 1)
+
+    def is_large(keys: np.ndarray) -> np.ndarray:
+        # A class that only seems large is split, too, and alike for all its members.
+        return _marked(large.value, class_names((keys >> np.uint64(40)) % np.uint64(buckets), keys & mask).view(np.int64))
 
     def gathered(_, rows: pa.Table, suffixes: pa.Table) -> pa.Table:
         names = ["block", "bucket", "ids", "low", "high", "keys", "reach", "around"]
@@ -449,16 +473,16 @@ def repeat_starts(texts: DataFrame, tied: DataFrame, cover: Cover, buckets: int,
         ids = wanted[has]
         if not len(ids):
             return result()
-        around = _Around(cover)
+        around = _Around(cover, is_large)
         batch = rows.to_batches()
         text = texts_of(pa.chunked_array([b.column("_text") for b in batch]).combine_chunks())
         entries = around.entries(ids, text, [np.concatenate(numbers[i]) for i in ids.tolist()])
         if entries is None:
             return result()
-        ids, at, keys, low, high, near = entries
+        ids, at, keys, low, high, whole, places = entries
+        windows = np.lib.stride_tricks.sliding_window_view(around.padded, around.width)
         # Entries of this block that are the same all around: every string of theirs repeats.
-        body = (near.astype(np.uint64) + np.uint64(1)) @ around.weights
-        same = mixed(mixed(body) + keys + low.astype(np.uint64) * np.uint64(1 << 20) + high.astype(np.uint64))
+        same = mixed(whole + low.astype(np.uint64) * np.uint64(1 << 20) + high.astype(np.uint64))
         order = np.argsort(same, kind="stable")
         starts, counts = _groups(same[order])
         several = np.repeat(counts > 1, counts)
@@ -481,7 +505,7 @@ def repeat_starts(texts: DataFrame, tied: DataFrame, cover: Cover, buckets: int,
                 None,
                 _planes(keys[part], "<u8"),
                 np.stack([low[part], high[part]]).astype("<u2").tobytes(),
-                pa.compress(near[part].tobytes(), codec="zstd", asbytes=True),
+                pa.compress(windows[places[part]].tobytes(), codec="zstd", asbytes=True),
             )
             for column, value in zip(columns, values, strict=True):
                 column.append(value)
@@ -529,7 +553,7 @@ def repeat_starts(texts: DataFrame, tied: DataFrame, cover: Cover, buckets: int,
         if held:
             yield from compared(held)
 
-    entries = texts.groupBy("block").cogroup(tied.groupBy("block")).applyInArrow(gathered, _ENTRIES)
+    entries = texts.groupBy("block").cogroup(tied.where("block >= 0").groupBy("block")).applyInArrow(gathered, _ENTRIES)
     spread = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("ids"), F.lit(buckets)).cast("int")).otherwise(F.col("bucket"))
     placed = entries.repartition(buckets, spread).sortWithinPartitions("bucket")
     return placed.mapInArrow(compare_buckets, "block int, ids binary, low binary, high binary")
@@ -602,8 +626,8 @@ def cut_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     # So many bytes that, by chance, at most one suffix in a million seems to tie.
     mark_bytes = max(4, min(8, -(-int(np.log2(max(suffixes, 2)) + 19 - np.log2(buckets)) // 8)))
     tied = pin(tied_suffixes(long_enough, cover, buckets, blocks, mark_bytes))
-    texts = _with_block(long_enough, blocks, _bitmap(tied))
-    runs = pin(repeat_starts(texts, tied, cover, buckets, blocks))
+    texts = _with_block(long_enough, blocks, _bitmap(tied.where("block >= 0")))
+    runs = pin(repeat_starts(texts, tied, cover, buckets, blocks, mark_bytes))
     texts = _with_block(long_enough, blocks, _bitmap(runs))
     found = cut_documents(texts, runs, length)
     return found.withColumn("_id", F.nullif("_id", F.lit(_NO_ID))).withColumnRenamed("_id", id_column)

@@ -50,13 +50,13 @@ def texts_of(column: pa.Array) -> Texts:
     return Texts(data[ends[0] : ends[-1]], ends - ends[0])
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, Texts]]:
-    """Slices of the batches with their texts, each of at most CHUNK_BYTES or one text."""
+def chunks(batches: Iterator[pa.RecordBatch], column: str, size: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, Texts]]:
+    """Slices of the batches with their texts, each of at most ``size`` bytes or one text."""
     for batch in batches:
         texts = texts_of(batch.column(column))
         start = 0
         while start < len(texts):
-            limit = texts.offsets[start] + CHUNK_BYTES
+            limit = texts.offsets[start] + size
             stop = max(start + 1, int(np.searchsorted(texts.offsets, limit, side="right")) - 1)
             first, last = texts.offsets[start], texts.offsets[stop]
             part = Texts(texts.data[first:last], texts.offsets[start : stop + 1] - first)
