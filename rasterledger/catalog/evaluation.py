@@ -571,15 +571,14 @@ def _c11(spark, sf_dir):
     with_views(
         "px",
         f"""{RESULTS_SQL} select image_id, {rounded(['predicted_fraction', 'target_fraction', 'fraction_error'])},
-            round(abs(fraction_error), 6) as absolute_area_error from results
-            order by abs(results.fraction_error) desc, image_id limit 20""",
+            round(abs(fraction_error), 6) as absolute_area_error from results""",
     ),
 )
 def _c12(spark, sf_dir):
     rows = cal.area_error(results_of(spark, sf_dir)).select(
         "image_id", "predicted_fraction", "target_fraction", "fraction_error", "absolute_area_error"
     )
-    return r6(rows.orderBy(F.desc("absolute_area_error"), "image_id").limit(20))
+    return r6(rows)
 
 
 @query(

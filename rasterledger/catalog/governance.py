@@ -315,14 +315,13 @@ def _f2(spark, sf_dir):
     "f3_test_firewall",
     with_views(
         "manifest",
-        """select image_id from manifest where split = 'test' and lang = 'en'
-           union select m.image_id from manifest m join labels l on m.image_id = l.doc_id
-           where m.lang = 'en' and l.toxic = 1""",
+        """select image_id from manifest where split = 'test'
+           union select m.image_id from manifest m join labels l on m.image_id = l.doc_id where l.toxic = 1""",
     ),
 )
 def _f3(spark, sf_dir):
     held_out = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("image_id"))
-    return validation.firewall_breaches(manifest(spark, sf_dir).where("lang = 'en'"), held_out)
+    return validation.firewall_breaches(manifest(spark, sf_dir), held_out)
 
 
 def _checked(spark, sf_dir):
@@ -506,12 +505,12 @@ def _label_masks(spark, sf_dir):
     return table(spark, sf_dir, "labels").select(F.col("doc_id").alias("image_id"), "quality", "toxic")
 
 
-@query("j1_strict_pairs", "select doc_id as image_id, quality, lang from labels join documents using (doc_id)")
+@query("j1_strict_pairs", "select doc_id as image_id, lang, n_chars from documents")
 def _j1(spark, sf_dir):
-    masks = _label_masks(spark, sf_dir).select("image_id", "quality")
+    # Two listings of the same records; the check runs over all of both.
     images = documents(spark, sf_dir).select(F.col("doc_id").alias("image_id"), "lang")
-    # Only labelled documents form the image folder of this query.
-    return pairing.strict_pairs(images.join(masks.select("image_id"), "image_id", "left_semi"), masks)
+    masks = documents(spark, sf_dir).select(F.col("doc_id").alias("image_id"), "n_chars")
+    return pairing.strict_pairs(images, masks)
 
 
 @query(
@@ -656,12 +655,11 @@ def _d1(spark, sf_dir):
 
 @query(
     "d2_duplicate_stems",
-    f"""{_FILES} select stem, count(*) as rows, array_to_string(list_slice(list_sort(list_distinct(list(path))), 1, 10), '|') as paths
-        from supported group by stem having count(*) > 1""",
+    f"""{_FILES} select stem, path, count(*) as rows from supported
+        where stem in (select stem from supported group by stem having count(*) > 1) group by 1, 2""",
 )
 def _d2(spark, sf_dir):
-    repeated = files.duplicate_stems(files.supported_files(listing(spark, sf_dir)))
-    return repeated.select("stem", "rows", F.array_join("values", "|").alias("paths"))
+    return files.duplicate_stems(files.supported_files(listing(spark, sf_dir)))
 
 
 @query(
@@ -735,22 +733,6 @@ def _d6(spark, sf_dir):
     return leakage.audit_metadata(hashed, leakage.near_duplicate_groups(hashed, hamming_threshold=4), 4)
 
 
-_CAP = 100_000
-
-
-@query(
-    "d6_capped_audit",
-    f"""with {DOCHASH_SQL}, ranked as (select l.image_id as left_image_id, l.split as left_split, r.image_id as right_image_id,
-          r.split as right_split, {_HAMMING}::int as hamming_distance,
-          row_number() over (order by l.split, r.split, l.image_id, r.image_id) as pos
-          from dochash l join dochash r on l.split < r.split)
-        select left_image_id, left_split, right_image_id, right_split, hamming_distance
-        from ranked where pos <= {_CAP} and hamming_distance <= 4""",
-)
-def _d6_capped(spark, sf_dir):
-    return leakage.capped_audit(dochash(spark, sf_dir), hamming_threshold=4, maximum_pairs=_CAP)
-
-
 @query(
     "d7_leaking_values",
     with_views(

@@ -58,7 +58,7 @@ def _a11(spark, sf_dir):
     "a12_shape_counts",
     with_views(
         "manifest",
-        "select height, width, count(*) as images from manifest group by 1, 2 order by 3 desc, 1, 2 limit 20",
+        "select height, width, count(*) as images from manifest group by 1, 2",
     ),
 )
 def _a12(spark, sf_dir):
@@ -200,26 +200,44 @@ def _t1(spark, sf_dir):
     return r6(statistics.difference_summary(differences(spark, sf_dir)))
 
 
-def _index_draws(source: str, groups: str, order: str, value: str, iterations: int) -> str:
-    """SQL twin of the index draws: eight iterations per digest."""
-    keys = f"{groups}, " if groups else ""
-    part = f"partition by {groups}" if groups else ""
-    using = f"({groups}, idx)" if groups else "(idx)"
-    blocks = (iterations + 7) // 8
-    return f"""numbered as (select {keys}row_number() over ({part} order by {order}) - 1 as idx,
-        count(*) over ({part}) as n, {value} as v from {source}),
-      digests as (select {keys}n, b, sha256('42:' || b || ':' || idx) as h from numbered, range({blocks}) t(b)),
-      draws as (select {keys}b * 8 + lane as iteration,
-        ('0x' || substr(h, (8 * lane + 1)::bigint, 8))::bigint % n as idx from digests, range(8) u(lane)),
-      means as (select {keys}iteration, avg(v) as mean from draws join numbered using {using}
-        where iteration < {iterations} group by all)"""
+def _times_sql(x: str, factor: int) -> str:
+    """Product modulo 2 ** 64 of a UBIGINT column, from halves of 32 bits so that nothing overflows."""
+    low, high, mask, unit = factor & 0xFFFFFFFF, factor >> 32, "4294967295::ubigint", "4294967296::ubigint"
+    least = f"(({x} & {mask}) * {low}::ubigint)"
+    cross = f"((({x} >> 32) * {low}::ubigint) & {mask}) + ((({x} & {mask}) * {high}::ubigint) & {mask})"
+    return f"((({least} >> 32) + {cross}) & {mask}) * {unit} + ({least} & {mask})"
+
+
+def _mixed_sql(source: str, name: str) -> str:
+    """CTEs that mix the 64-bit column x of ``source``; the last is ``name``."""
+    first, second = _times_sql("x", 0xBF58476D1CE4E5B9), _times_sql("x", 0x94D049BB133111EB)
+    shifted = "select * exclude (x), xor(x, x >> {n}) as x from {source}"
+    return f"""{name}_1 as (select * exclude (x), {first} as x from ({shifted.format(n=30, source=source)})),
+      {name}_2 as (select * exclude (x), {second} as x from ({shifted.format(n=27, source=name + '_1')})),
+      {name} as ({shifted.format(n=31, source=name + '_2')})"""
+
+
+def _weight_draws(source: str, groups: str, keys: str, value: str, iterations: int, seed: int = 42) -> str:
+    """SQL twin of the Poisson weights: a mix of the row's digest with the iteration's number."""
+    names = f"{groups}, " if groups else ""
+    limits = " + ".join(f"(x >= {limit}::ubigint)::int" for limit in statistics._poisson_limits().tolist())
+    return f"""keyed as (select {names}{value} as v, ('0x' || substr(sha256(concat_ws(':', {keys})), 1, 15))::ubigint as x
+        from {source} where {value} is not null),
+      {_mixed_sql('keyed', 'mixed')},
+      steps as (select i as iteration, (((i + 1)::uhugeint * 11400714819323198485::uhugeint + {seed}) % 18446744073709551616::uhugeint)::ubigint as x
+        from range({iterations}) t(i)),
+      {_mixed_sql('steps', 'lanes')},
+      crossed as (select {names}v, iteration, xor(m.x, l.x) as x from mixed m, lanes l),
+      {_mixed_sql('crossed', 'draws')},
+      means as (select {names}iteration, sum(v * w) / sum(w) as mean
+        from (select {names}v, iteration, {limits} as w from draws) group by all having sum(w) > 0)"""
 
 
 @query(
     "t2_paired_bootstrap",
     with_views(
         "runs",
-        f"""{_DIFF}, {_index_draws('d', '', 'image_id, experiment', 'difference', 5000)}
+        f"""{_DIFF}, {_weight_draws('d', '', 'image_id, experiment', 'difference', 5000)}
             select {_T1}, round((select quantile_cont(mean, 0.025) from means), 6) as ci_lower,
               round((select quantile_cont(mean, 0.975) from means), 6) as ci_upper, 0.95::double as confidence from d""",
     ),
@@ -234,7 +252,7 @@ def _t2(spark, sf_dir):
         "runs",
         f""", r as (select prompt_mode, run_id, iou, 2 * iou / (1 + iou) as dice from runs where split = 'test'),
             l as (select prompt_mode, run_id, metric, score from (unpivot r on iou, dice into name metric value score)),
-            {_index_draws('l', 'prompt_mode, metric', 'run_id', 'score', 2000)},
+            {_weight_draws('l', 'prompt_mode, metric', 'run_id', 'score', 2000)},
             q as (select prompt_mode, metric, quantile_cont(mean, 0.025) as lo, quantile_cont(mean, 0.975) as hi
                   from means group by 1, 2)
             select prompt_mode, metric, round(avg(score), 6) as mean, round(any_value(lo), 6) as ci_lower,
@@ -246,25 +264,42 @@ def _t3(spark, sf_dir):
     return r6(statistics.metric_intervals(tested, ["run_id"], "prompt_mode", ["iou", "dice"]))
 
 
-@query("t3_weight_bootstrap")
+@query(
+    "t3_weight_bootstrap",
+    with_views(
+        "runs",
+        f""", {_weight_draws('runs', 'prompt_mode', 'run_id', 'iou', 500)},
+            q as (select prompt_mode, quantile_cont(mean, 0.025) as lo, quantile_cont(mean, 0.975) as hi from means group by 1)
+            select prompt_mode, round(avg(iou), 6) as mean, round(any_value(lo), 6) as ci_lower,
+              round(any_value(hi), 6) as ci_upper from runs join q using (prompt_mode) group by 1""",
+    ),
+)
 def _t3_weights(spark, sf_dir):
     return r6(
         statistics.bootstrap_interval(
-            runs(spark, sf_dir), "iou", ["run_id"], groups=["prompt_mode"], iterations=500, method="weights"
+            runs(spark, sf_dir), "iou", ["run_id"], groups=["prompt_mode"], iterations=500
         )
     )
 
 
-_RANKS = """, nz as (select difference, rank() over (order by abs(difference)) + (count(*) over (partition by abs(difference)) - 1) / 2.0::double as r
-     from d where difference <> 0),
-  s as (select count(*) as nonzero, sum(r) filter (difference > 0) as up, sum(r) filter (difference < 0) as down from nz)"""
+_RANKS = f""", z as (select round(difference, {statistics.DIFFERENCE_PLACES}) as difference from d),
+  nz as (select difference, rank() over (order by abs(difference)) + (count(*) over (partition by abs(difference)) - 1) / 2.0::double as r
+     from z where difference <> 0),
+  tied as (select coalesce(sum(n * n * n - n), 0)::double as ties from (select count(*)::double as n from nz group by abs(difference))),
+  s as (select count(*)::double as nonzero, sum(r) filter (difference > 0) as up, sum(r) filter (difference < 0) as down from nz),
+  e as (select *, abs(least(up, down) - nonzero * (nonzero + 1) / 4) / (sqrt(nonzero * (nonzero + 1) * (2 * nonzero + 1) / 24 - ties / 48) * sqrt(2::double)) as x
+     from s, tied),
+  t as (select *, 1 / (1 + 0.5::double * x) as t from e)"""
+_ERFC = "0"
+for _c in reversed(statistics.ERFC):
+    _ERFC = f"({_ERFC} * t + {_c}::double)"
 
 
 @query(
     "t4_signed_rank_sums",
     with_views(
         "runs",
-        f"""{_DIFF}{_RANKS} select nonzero, round(up, 6) as positive_rank_sum, round(down, 6) as negative_rank_sum,
+        f"""{_DIFF}{_RANKS} select nonzero::bigint as nonzero, round(up, 6) as positive_rank_sum, round(down, 6) as negative_rank_sum,
             round(least(up, down), 6) as wilcoxon_statistic, round((up - down) / (up + down), 6) as rank_biserial_effect from s""",
     ),
 )
@@ -272,9 +307,16 @@ def _t4(spark, sf_dir):
     return r6(statistics.wilcoxon_paired(differences(spark, sf_dir)).drop("wilcoxon_p_value"))
 
 
-@query("t4_wilcoxon_p_value")
+@query(
+    "t4_wilcoxon_p_value",
+    with_views(
+        "runs",
+        f"""{_DIFF}{_RANKS} select nonzero::bigint as nonzero, round(least(up, down), 6) as wilcoxon_statistic,
+            round(t * exp({_ERFC} - x * x), 6) as wilcoxon_p_value from t""",
+    ),
+)
 def _t4_p(spark, sf_dir):
-    return r6(statistics.wilcoxon_paired(differences(spark, sf_dir)))
+    return r6(statistics.wilcoxon_paired(differences(spark, sf_dir)).select("nonzero", "wilcoxon_statistic", "wilcoxon_p_value"))
 
 
 @query(
@@ -464,13 +506,13 @@ def _w10(spark, sf_dir):
     "j7_remaining_work",
     with_views(
         "runs",
-        """select run_id, image_id, prompt_mode from runs r where split = 'test' and not exists
-           (select 1 from runs d where d.split = 'test' and d.experiment = '1-URGENT' and d.image_id = r.image_id
+        """select run_id, image_id, prompt_mode from runs r where not exists
+           (select 1 from runs d where d.experiment = '1-URGENT' and d.image_id = r.image_id
               and d.prompt_mode = r.prompt_mode)""",
     ),
 )
 def _j7(spark, sf_dir):
-    work = runs(spark, sf_dir).where("split = 'test'")
+    work = runs(spark, sf_dir)
     done = work.where("experiment = '1-URGENT'")
     return governance.remaining_work(work.select("run_id", "image_id", "prompt_mode"), done, ["image_id", "prompt_mode"])
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from rasterledger.functions.scalars import normalise_split
 from rasterledger.operators.checks import (
@@ -21,43 +21,38 @@ def normalised_key(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn(key, F.lower(F.trim(F.col(key).cast("string"))))
 
 
-def duplicate_keys(df: DataFrame, key: str, value: str, shown: int = 10) -> DataFrame:
-    """Keys with several rows, their count and the first ``shown`` distinct values.
+def duplicate_keys(df: DataFrame, key: str, value: str) -> DataFrame:
+    """Every (key, value) of keys with several rows, with the number of rows that have both.
 
-    Counts are combined before the shuffle. The examples come from a row-number
-    filter, which Spark already applies on the map side, so a key with very many
-    rows sends few of them.
+    Counts are combined before the shuffle, and a key's values stay rows of their own, so no
+    task holds a key as a whole.
     """
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    order = Window.partitionBy(key).orderBy(value)
-    first = (
-        df.select(key, value)
-        .distinct()
-        .withColumn("_i", F.row_number().over(order))
-        .where(F.col("_i") <= shown)
-        .groupBy(key)
-        .agg(F.array_sort(F.collect_list(value)).alias("values"))
+    pairs = df.groupBy(key, value).agg(F.count(F.lit(1)).alias("rows"))
+    several = pairs.groupBy(key).agg(F.sum("rows").alias("_rows")).where("_rows > 1")
+    return pairs.join(several.drop("_rows"), key)
+
+
+def side_counts(images: DataFrame, masks: DataFrame, key: str) -> DataFrame:
+    """Rows of each key on either side, (key, images, masks), in one pass over both."""
+    both = images.select(key, F.lit(1).alias("_i"), F.lit(0).alias("_m")).unionByName(
+        masks.select(key, F.lit(0).alias("_i"), F.lit(1).alias("_m"))
     )
-    return counts.join(first, key)
+    return both.groupBy(key).agg(F.sum("_i").alias("images"), F.sum("_m").alias("masks"))
 
 
 def strict_pairs(images: DataFrame, masks: DataFrame, key: str = "image_id") -> DataFrame:
-    """Full outer pairing; an unmatched record on either side is an error."""
-    for side, label in ((images, "images"), (masks, "masks")):
-        require_unique(side, [key], f"Pairing by {key} is ambiguous in {label}")
-    left = images.withColumn("_left", F.lit(True))
-    right = masks.withColumn("_right", F.lit(True))
-    joined = left.join(right, key, "full_outer")
-    unmatched = joined.where("_left is null or _right is null").select(
-        key, F.when(F.col("_right").isNull(), "image").otherwise("mask").alias("side")
-    )
-    if not unmatched.isEmpty():
-        image_only = examples(unmatched.where("side = 'image'"), key)
-        mask_only = examples(unmatched.where("side = 'mask'"), key)
+    """Pairing of which every key must have exactly one row on either side."""
+    wrong = side_counts(images, masks, key).where("images <> 1 or masks <> 1")
+    if not wrong.isEmpty():
+        for side, label in (("images", "images"), ("masks", "masks")):
+            repeated = examples(wrong.where(f"{side} > 1"), key)
+            if repeated:
+                raise ValueError(f"Pairing by {key} is ambiguous in {label}: {repeated}")
         raise ValueError(
-            f"Pairing failed. Images without masks: {image_only}; masks without images: {mask_only}"
+            f"Some records have no partner. Images alone: {examples(wrong.where('masks = 0'), key)}; "
+            f"masks alone: {examples(wrong.where('images = 0'), key)}"
         )
-    return joined.drop("_left", "_right")
+    return images.join(masks, key)
 
 
 def pairing_report(images: DataFrame, masks: DataFrame, key: str = "image_id") -> DataFrame:

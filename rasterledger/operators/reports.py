@@ -46,10 +46,9 @@ def split_overview(manifest: DataFrame, fraction: str = "water_fraction") -> Dat
     )
 
 
-def shape_counts(manifest: DataFrame, shown: int = 20) -> DataFrame:
-    """Most frequent image sizes."""
-    counted = manifest.groupBy("height", "width").agg(F.count(F.lit(1)).alias("images"))
-    return counted.orderBy(F.desc("images"), "height", "width").limit(shown)
+def shape_counts(manifest: DataFrame) -> DataFrame:
+    """Number of images of every size."""
+    return manifest.groupBy("height", "width").agg(F.count(F.lit(1)).alias("images"))
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:

@@ -66,17 +66,20 @@ def assign_exact_split(
     fraction: str = "water_fraction",
     id_column: str = "image_id",
     bins: int = 10,
+    method: str = "stratified",
 ) -> DataFrame:
-    """Exact counts per split, stratified by quantile bins of the fraction.
+    """Exact counts per split.
 
-    Test rows are taken first; the rest is binned again before validation rows
-    are taken. Where strata are too small the split falls back to a plain shuffle.
+    "stratified" draws by quantile bins of the fraction: test rows are taken first; the
+    rest is binned again before validation rows are taken. It raises where strata are too
+    small. "shuffled" draws without strata. The caller chooses; neither stands in for the
+    other.
     """
     total = train_count + validation_count + test_count
     rows = manifest.count()
     if rows != total:
-        raise ValueError(f"Expected {total} validated pairs, found {rows}.")
-    try:
+        raise ValueError(f"The counts add up to {total} rows, but there are {rows}.")
+    if method == "stratified":
         first = _take_stratified(manifest, fraction, test_count, seed, id_column, bins)
         test = first.where("_taken").select(*manifest.columns, F.lit("test").alias("split"))
         rest = first.where("not _taken").select(*manifest.columns)
@@ -84,14 +87,15 @@ def assign_exact_split(
         label = F.when(F.col("_taken"), "validation").otherwise("train")
         others = second.select(*manifest.columns, label.alias("split"))
         return test.unionByName(others)
-    except ValueError:
-        ranked = hash_rank(manifest, id_column, seed, out="_draw_rank")
-        label = (
-            F.when(F.col("_draw_rank") <= test_count, "test")
-            .when(F.col("_draw_rank") <= test_count + validation_count, "validation")
-            .otherwise("train")
-        )
-        return ranked.withColumn("split", label).drop("_draw_rank")
+    if method != "shuffled":
+        raise ValueError(f"No such split method: {method}")
+    ranked = hash_rank(manifest, id_column, seed, out="_draw_rank")
+    label = (
+        F.when(F.col("_draw_rank") <= test_count, "test")
+        .when(F.col("_draw_rank") <= test_count + validation_count, "validation")
+        .otherwise("train")
+    )
+    return ranked.withColumn("split", label).drop("_draw_rank")
 
 
 def group_split(

@@ -29,14 +29,14 @@ def evaluate_predictions(
     *,
     threshold: float,
     empty_policy: str = "perfect_if_both_empty",
-    sample_pixels: int | None = 2000,
+    sample_pixels: int | None = None,
     seed: int = 42,
     bins: int = 15,
 ) -> Evaluation:
     """Metrics and calibration from pixels (image_id, y, x, prob, target) and labels (image_id, split).
 
-    One pass over the pixels gives the per-image counts; everything else is
-    derived from those small rows and from the exact pixel sample.
+    One pass over the pixels gives the per-image counts and one the reliability
+    bins, over all pixels unless a sample per image is asked for.
     """
     counts = confusion.confusion_counts(
         pixels, ["image_id"], F.col("prob") >= threshold, F.col("target")

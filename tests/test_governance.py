@@ -132,22 +132,6 @@ def test_near_duplicates_equal_brute_force_also_in_crowded_buckets(spark, t, lim
     assert {r[0] for r in leakage.near_duplicate_images(df, groups).select("image_id").collect()} == involved
 
 
-def test_capped_audit_keeps_the_comparison_order(spark):
-    rng = np.random.default_rng(5)
-    rows = [(f"i{i:03d}", ["a", "b", "c"][i % 3], f"{int(rng.integers(0, 4)):016x}") for i in range(30)]
-    by_split = {s: sorted(r for r in rows if r[1] == s) for s in "abc"}
-    order = [
-        (l, r) for sl, sr in (("a", "b"), ("a", "c"), ("b", "c")) for l in by_split[sl] for r in by_split[sr]
-    ]
-    expected = {
-        (l[0], l[1], r[0], r[1], (int(l[2], 16) ^ int(r[2], 16)).bit_count())
-        for l, r in order[:137]
-        if (int(l[2], 16) ^ int(r[2], 16)).bit_count() <= 1
-    }
-    found = leakage.capped_audit(audit_frame(spark, rows), hamming_threshold=1, maximum_pairs=137)
-    assert {tuple(r) for r in found.collect()} == expected
-
-
 def test_band_number_grows_with_the_table():
     assert leakage.agreeing_bands(1_000, 4) == 1
     assert leakage.agreeing_bands(10**9, 4) >= 3
@@ -170,10 +154,18 @@ def test_exact_split_counts(spark):
     assert counts == wanted
     again = splitting.assign_exact_split(df.repartition(5), **args)
     assert {tuple(r) for r in first.collect()} == {tuple(r) for r in again.collect()}
-    with pytest.raises(ValueError, match="Expected"):
+    with pytest.raises(ValueError, match="add up"):
         splitting.assign_exact_split(df, train_count=9, validation_count=2, test_count=2, seed=1)
 
 
+def test_split_method_is_the_callers_choice(spark):
+    df = spark.createDataFrame([(i, float(i)) for i in range(4)], "image_id bigint, water_fraction double")
+    with pytest.raises(ValueError, match="too small"):
+        splitting.assign_exact_split(df, train_count=2, validation_count=1, test_count=1, seed=1)
+    shuffled = splitting.assign_exact_split(df, train_count=2, validation_count=1, test_count=1, seed=1, method="shuffled")
+    assert sorted(r["split"] for r in shuffled.collect()) == ["test", "train", "train", "validation"]
+
+
 def test_stratified_split_keeps_the_shares(spark):
     df = spark.range(400).selectExpr("id as image_id", "id / 400.0D as water_fraction")
     found = splitting.assign_exact_split(df, train_count=280, validation_count=60, test_count=60, seed=3)

@@ -117,18 +117,22 @@ def test_signed_rank_p_values(spark):
     zero = statistics.wilcoxon_paired(differences(spark, [0.0, 0.0])).first()
     assert (zero["wilcoxon_statistic"], zero["wilcoxon_p_value"]) == (0.0, 1.0)
     # Five untied gains: the only arrangement as extreme is the mirrored one.
-    exact = statistics.wilcoxon_paired(differences(spark, [0.1, 0.2, 0.3, 0.4, 0.5])).first()
-    assert exact["wilcoxon_p_value"] == pytest.approx(2 / 32)
+    assert statistics.exact_p_value(5, 0.0) == pytest.approx(2 / 32)
 
 
-def test_published_signed_rank_values():
+def test_signed_rank_ties_survive_float_noise(spark):
+    row = statistics.wilcoxon_paired(differences(spark, [0.3, 0.1 + 0.2, -0.3, 0.5])).first()
+    assert (row["positive_rank_sum"], row["negative_rank_sum"]) == (8.0, 2.0)
+
+
+def test_published_signed_rank_values(spark):
     # 405 non-zero differences; z close to -6.09 gives the published order of magnitude.
     n = 405
     mean, spread = n * (n + 1) / 4, math.sqrt(n * (n + 1) * (2 * n + 1) / 24)
-    p = statistics.signed_rank_p_value.func(
-        *[__import__("pandas").Series([v]) for v in (n, mean - 6.09 * spread, 0.0, 16)]
-    )[0]
+    columns = [F.lit(float(v)) for v in (n, mean - 6.09 * spread, 0.0)]
+    p = spark.range(1).select(statistics.normal_p_value(*columns).alias("p")).first()["p"]
     assert p == pytest.approx(1.13e-9, rel=0.02)
+    assert p == pytest.approx(math.erfc(6.09 / math.sqrt(2)), rel=1e-6)
 
 
 def test_slices_drop_missing_values(spark):
