@@ -238,9 +238,10 @@ def _h6(spark, sf_dir):
     "h6_average_hash_of_pixels",
     with_views(
         "grid",
-        """, cells as (select image_id, (y // 4) * 8 + x // 4 as bucket, avg(pred * 255.0::double) as v
-              from grid group by 1, 2), m as (select image_id, avg(v) as mean from cells group by 1)
-           select c.image_id, lower(lpad(hex(sum(case when v >= mean then 1::hugeint << (63 - bucket) else 0 end)::ubigint), 16, '0'))
+        """, cells as (select image_id, (y // 4) * 8 + x // 4 as bucket, sum(pred * 255.0::double) / 16 as v
+              from grid group by 1, 2), m as (select image_id, sum(v) / 64 as mean from cells group by 1)
+           select c.image_id, lower(lpad(hex(case when any_value(mean) <= 0 then 18446744073709551615::ubigint
+             else sum(case when v >= mean then 1::hugeint << (63 - bucket) else 0 end)::ubigint end), 16, '0'))
              as image_ahash from cells c join m using (image_id) group by 1""",
     ),
 )
@@ -363,14 +364,16 @@ def _f4_valid(spark, sf_dir):
     "f5_mask_statistics",
     with_views(
         "grid",
-        """select image_id, sum(pred)::bigint as foreground_pixels, count(*) as total_pixels,
-             round(avg(pred), 6) as foreground_fraction,
-             array_to_string(list_sort(list_distinct(list(pred * 255))), ',') as mask_unique_values
+        """select image_id, sum(pred)::bigint as foreground_pixels, 1024::bigint as total_pixels,
+             round(sum(pred) / 1024.0::double, 6) as foreground_fraction,
+             array_to_string(list_sort(list_distinct(list(pred * 255) || case when count(*) < 1024 then [0] else [] end)), ',')
+               as mask_unique_values
            from grid group by image_id""",
     ),
 )
 def _f5(spark, sf_dir):
-    pixels = view(spark, sf_dir, "grid").select("image_id", (F.col("pred") * 255).alias("value"))
+    sides = F.lit(32).alias("height"), F.lit(32).alias("width")
+    pixels = view(spark, sf_dir, "grid").select("image_id", (F.col("pred") * 255).alias("value"), *sides)
     return r6(validation.mask_statistics(pixels))
 
 

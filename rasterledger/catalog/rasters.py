@@ -496,14 +496,15 @@ def _r12(spark, sf_dir):
     "r13_error_classes",
     with_views(
         "grid",
-        """select image_id, case when pred = 1 and target = 1 then 'TP' when pred = 1 then 'FP' when target = 1 then 'FN' else 'TN' end as error_class,
-           count(*) as cells from grid group by 1, 2""",
+        """, c as (select image_id, case when pred = 1 and target = 1 then 'TP' when pred = 1 then 'FP' when target = 1 then 'FN' end as error_class,
+             count(*) as cells from grid group by 1, 2)
+           select * from c where error_class is not null
+           union all select image_id, 'TN', (1024 - coalesce(sum(cells) filter (error_class is not null), 0))::bigint from c group by 1
+             having coalesce(sum(cells) filter (error_class is not null), 0) < 1024""",
     ),
 )
 def _r13(spark, sf_dir):
-    return raster.error_classes(view(spark, sf_dir, "grid")).groupBy("image_id", "error_class").agg(
-        F.count(F.lit(1)).alias("cells")
-    )
+    return raster.error_class_counts(view(spark, sf_dir, "grid"), F.lit(32), F.lit(32))
 
 
 # --- components ---------------------------------------------------------------

@@ -38,14 +38,24 @@ def average_hash(
     """64-bit average hash per image from a pixel table with height and width columns.
 
     Cell means come from a box filter over size x size cells; bit = cell >= mean
-    of the cells, first cell in the highest bit.
+    of the cells, first cell in the highest bit. Pixels without a row are background
+    and count as 0: a cell's sum is divided by its true area.
     """
-    cell_y = F.floor(F.col("y") * size / F.col("height"))
-    cell_x = F.floor(F.col("x") * size / F.col("width"))
-    cells = pixels.groupBy(image, (cell_y * size + cell_x).cast("int").alias("bucket")).agg(
-        F.avg(value).alias("n")
+    cell_y = F.floor(F.col("y") * size / F.col("height")).cast("int")
+    cell_x = F.floor(F.col("x") * size / F.col("width")).cast("int")
+
+    def length(side: str, cell: str):
+        """Rows or columns that fall into a cell."""
+        upto = F.ceil((F.col(cell) + 1) * F.col(side) / size)
+        return upto - F.ceil(F.col(cell) * F.col(side) / size)
+
+    sums = pixels.groupBy(image, "height", "width", cell_y.alias("_cy"), cell_x.alias("_cx")).agg(F.sum(value).alias("_sum"))
+    cells = sums.select(
+        image,
+        (F.col("_cy") * size + F.col("_cx")).alias("bucket"),
+        (F.col("_sum") / (length("height", "_cy") * length("width", "_cx"))).alias("n"),
     )
-    return hash_of_cells(cells, image, "n")
+    return hash_of_cells(cells, image, "n", size * size)
 
 
 def hash_of_cells(
@@ -66,7 +76,14 @@ def hash_of_cells(
             ).otherwise(F.lit(0).cast("bigint"))
         ),
     )
-    return packed.select(image, bits.alias("bits")).withColumn(
+    present = F.aggregate(
+        "_cells",
+        F.lit(0).cast("bigint"),
+        lambda acc, c: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), 63 - c["bucket"])),
+    )
+    # An absent cell reaches the mean only where that is not above 0.
+    absent = F.when(F.col("_mean") <= 0, F.bitwise_not(present)).otherwise(F.lit(0).cast("bigint"))
+    return packed.select(image, bits.bitwiseOR(absent).alias("bits")).withColumn(
         "image_ahash", F.lower(F.lpad(F.hex("bits"), 16, "0"))
     )
 

@@ -433,3 +433,14 @@ def error_classes(cells: DataFrame) -> DataFrame:
     p, t = F.col("pred") == 1, F.col("target") == 1
     label = F.when(p & t, "TP").when(p, "FP").when(t, "FN").otherwise("TN")
     return cells.withColumn("error_class", label)
+
+
+def error_class_counts(cells: DataFrame, height: Column | str = "height", width: Column | str = "width") -> DataFrame:
+    """(image_id, error_class, cells) over all pixels; those without a row are true negatives."""
+    height, width = (F.col(c) if isinstance(c, str) else c for c in (height, width))
+    sized = error_classes(cells).select("image_id", "error_class", (height * width).cast("bigint").alias("_area"))
+    counts = sized.groupBy("image_id", "_area").agg(
+        *[F.count_if(F.col("error_class") == name).alias(name) for name in ("TP", "FP", "FN")]
+    )
+    every = counts.withColumn("TN", F.col("_area") - F.col("TP") - F.col("FP") - F.col("FN"))
+    return every.unpivot("image_id", ["TP", "FP", "FN", "TN"], "error_class", "cells").where("cells > 0")

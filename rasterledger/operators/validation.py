@@ -87,14 +87,23 @@ def valid_and_errors(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def mask_statistics(pixels: DataFrame, *, image: str = "image_id", value: str = "value") -> DataFrame:
-    """Foreground fraction, pixel counts and the distinct values as text."""
-    by_value = pixels.groupBy(image, value).agg(F.count(F.lit(1)).alias("_n"))
+    """Foreground fraction, pixel counts and the distinct values as text.
+
+    All pixels of height and width count; those without a row are background of value 0.
+    """
+    by_value = pixels.groupBy(image, "height", "width", value).agg(F.count(F.lit(1)).alias("_n"))
     foreground = F.sum(F.when(F.col(value) > 0, F.col("_n")).otherwise(0))
-    return by_value.groupBy(image).agg(
-        foreground.alias("foreground_pixels"),
-        F.sum("_n").alias("total_pixels"),
-        (foreground / F.sum("_n")).alias("foreground_fraction"),
-        F.array_join(F.array_sort(F.collect_list(value)), ",").alias("mask_unique_values"),
+    counted = by_value.groupBy(image, "height", "width").agg(
+        foreground.alias("foreground_pixels"), F.sum("_n").alias("_stored"), F.collect_set(value).alias("_values")
+    )
+    total = F.col("height").cast("bigint") * F.col("width")
+    zero = F.when(F.col("_stored") < total, F.array(F.lit(0))).otherwise(F.array()).cast(counted.schema["_values"].dataType)
+    return counted.select(
+        image,
+        "foreground_pixels",
+        total.alias("total_pixels"),
+        (F.col("foreground_pixels") / total).alias("foreground_fraction"),
+        F.array_join(F.array_sort(F.array_union("_values", zero)), ",").alias("mask_unique_values"),
     )
 
 

@@ -51,6 +51,22 @@ def test_average_hash_bits(spark):
     assert fingerprints.average_hash(df).first()["image_ahash"] == "ffffffff00000000"
 
 
+def test_sparse_rasters_equal_dense_ones(spark):
+    rng = np.random.default_rng(8)
+    dense, sparse = [], []
+    for k, (h, w) in enumerate([(16, 24), (13, 19), (40, 11), (9, 9)]):
+        value = (rng.random((h, w)) < 0.2 * k) * 255
+        for (y, x), v in np.ndenumerate(value):
+            row = (k, int(y), int(x), int(v), h, w)
+            dense.append(row)
+            if v or (y, x) == (0, 0):
+                sparse.append(row)
+    schema = "image_id int, y int, x int, value int, height int, width int"
+    for of in (fingerprints.average_hash, validation.mask_statistics):
+        one, two = (sorted(map(tuple, of(spark.createDataFrame(rows, schema)).collect())) for rows in (dense, sparse))
+        assert one == two
+
+
 def test_strict_pairing_lists_both_sides(spark):
     images = spark.createDataFrame([("a",), ("b",)], "image_id string")
     masks = spark.createDataFrame([("b",), ("c",)], "image_id string")
