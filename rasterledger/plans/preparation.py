@@ -33,12 +33,13 @@ def prepare_dataset(
     digest: str = "image_sha256",
     hamming_threshold: int = 4,
     history: DataFrame | None = None,
+    split_method: str = "stratified",
 ) -> PreparedDataset:
     """Run the preparation on decoded image and mask rows.
 
     ``images`` has image_id, width, height, the digest and image_ahash; ``masks``
     has image_id, mask_width, mask_height and the foreground fraction. Splits are
-    recovered from ``history`` or drawn with exact counts.
+    recovered from ``history`` or drawn with exact counts by ``split_method``.
     """
     pairs = pairing.strict_pairs(images, masks)
     checked = pin(validation.with_status(pairs, validation.pair_rules()))
@@ -55,6 +56,7 @@ def prepare_dataset(
             test_count=tested,
             seed=seed,
             fraction=fraction,
+            method=split_method,
         )
     manifest = pin(split)
     suspects = pin(leakage.near_duplicate_groups(manifest, hamming_threshold=hamming_threshold))

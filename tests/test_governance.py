@@ -164,7 +164,7 @@ def test_leakage_between_frames(spark):
 def test_exact_split_counts(spark):
     df = spark.createDataFrame([(f"i{i}", i / 9) for i in range(10)], "image_id string, water_fraction double")
     wanted = {"train": 6, "validation": 2, "test": 2}
-    args = dict(train_count=6, validation_count=2, test_count=2, seed=42)
+    args = dict(train_count=6, validation_count=2, test_count=2, seed=42, method="shuffled")
     first = splitting.assign_exact_split(df, **args)
     counts = {r["split"]: r["n"] for r in first.groupBy("split").agg(F.count("*").alias("n")).collect()}
     assert counts == wanted

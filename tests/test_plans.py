@@ -69,7 +69,7 @@ def test_preparation_routes_errors_and_finds_leaks(spark):
     assert [r["image_id"] for r in done.errors.collect()] == [0]
     assert done.payload.first()["total_pairs"] == 39
     assert [r["image_sha256"] for r in exact_leaks(done).collect()] == ["same"]
-    drawn = prepare_dataset(images, masks, validation_share=0.2, test_share=0.2, seed=1)
+    drawn = prepare_dataset(images, masks, validation_share=0.2, test_share=0.2, seed=1, split_method="shuffled")
     sizes = {r["split"]: r["n"] for r in drawn.manifest.groupBy("split").agg(F.count("*").alias("n")).collect()}
     assert sizes == {"train": 25, "validation": 7, "test": 7}
     assert drawn.audit.first()["expected_cross_split_pairs"] == 25 * 14 + 49
