@@ -100,9 +100,10 @@ def with_measures(docs: DataFrame, text_column: str = "text") -> DataFrame:
             "_windows": F.when(count >= WINDOW, windows).otherwise(F.array().cast("array<bigint>")),
         }
     )
-    return counted.withColumn("n_repeat_words", _repeat_words(words, F.col("_windows")).cast("long")).drop(
-        "_words", "_lines", "_windows"
-    )
+    # A filter on the verdict would otherwise be moved below the projections, with all of them
+    # written out in it; it stays above a column that depends on the row's place.
+    repeated = F.when(F.monotonically_increasing_id() >= 0, _repeat_words(words, F.col("_windows")))
+    return counted.withColumn("n_repeat_words", repeated.cast("long")).drop("_words", "_lines", "_windows")
 
 
 def compiled(rules: tuple[Rule, ...] = RULES) -> Column:

@@ -103,12 +103,10 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         import tiktoken
 
-        import public_tokenizers
-
-
         self.special = vocabulary.special
         self.splitter, self.prints = Splitter(), Fingerprints()
-        self.model = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocabulary.ids, special_tokens={})
+        # It is handed one pre-token at a time, which is one match.
+        self.model = tiktoken.Encoding("words", pat_str="(?s:.+)", mergeable_ranks=vocabulary.ids, special_tokens={})
         self.known: dict[bytes, bytes] = {}
 
     def _word(self, word: bytes) -> bytes:

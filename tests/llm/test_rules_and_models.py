@@ -45,6 +45,13 @@ def test_quality_rules_use_no_user_function(spark, capsys):
     assert not any(word in plan for word in ("EvalPython", "InArrow", "InPandas", "Exchange ("))
 
 
+def test_filter_on_the_verdict_stays_above_the_measures(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = quality_rules.verdicts(docs).where("kept")._jdf.queryExecution().optimizedPlan().toString()
+    condition = next(line for line in plan.splitlines() if "Filter" in line)
+    assert "split(" not in condition and "slice(" not in condition
+
+
 def test_licenses_equal_sql(spark):
     texts = [
         "Licensed under the Apache License, Version 2.0.\nYou may not use this file except in compliance with the License. x",
