@@ -200,8 +200,9 @@ def _whole_cells(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], li
 def _linked(rows: np.ndarray, pivots: np.ndarray, radius: int, small: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """Links between the nodes of whole cells, rows (n, key, node, words of the fingerprint).
 
-    Cells of at most ``small`` members, which most are, are done all together and give their
-    pairs; a larger cell gives one link for each fingerprint.
+    Cells of at most ``small`` members, which most are, are done all together. A fingerprint is
+    linked to the first and to the last of those before it that are near; in a larger cell to
+    one. Links thus grow with the fingerprints and not with the pairs of a group.
     """
     starts = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])
     counts = np.diff(np.r_[starts, len(rows)])
@@ -210,6 +211,7 @@ def _linked(rows: np.ndarray, pivots: np.ndarray, radius: int, small: int = 2) -
     left = np.repeat(np.cumsum(counts) - 1, counts) - np.arange(len(rows))  # members behind in the cell
     left[np.repeat(counts > small, counts)] = 0
     table = distance_table(fp, pivots) if (left > 0).any() else None
+    first, last = np.full(len(rows), len(rows)), np.full(len(rows), -1)
     for lag in range(1, small):
         one = np.flatnonzero(left >= lag)
         if not len(one):
@@ -219,8 +221,12 @@ def _linked(rows: np.ndarray, pivots: np.ndarray, radius: int, small: int = 2) -
             near = np.abs(table[one, j] - table[two, j]) <= radius
             one, two = one[near], two[near]
         near = distances(fp[one], fp[two]) <= radius
-        a.append(rows[one[near], 2])
-        b.append(rows[two[near], 2])
+        last[two[near]] = np.maximum(last[two[near]], one[near])
+        first[two[near]] = np.minimum(first[two[near]], one[near])
+    linked = np.flatnonzero(last >= 0)
+    for before in (first, last):
+        a.append(rows[before[linked], 2])
+        b.append(rows[linked, 2])
     for start, count in zip(starts[counts > small].tolist(), counts[counts > small].tolist(), strict=True):
         to = cell_links(fp[start : start + count], pivots, radius)
         moved = np.flatnonzero(to != np.arange(count))
