@@ -8,8 +8,8 @@ is discarded; survivors are verified. A cell hands on one link for each fingerpr
 that it joins to others, not one for each pair.
 
 ``near_duplicates`` links 64-bit fingerprints within a few bits, exactly.
-``similar_documents`` is for a similarity of the shingle sets: wider fingerprints, cells of
-sampled bits in many tables, and a last check on the shingles themselves.
+``similar_documents`` is for a similarity of the shingle sets, exactly: sets meet in a cell
+for each of their rarest shingles, and the shingles themselves decide, in rounds.
 """
 
 from __future__ import annotations
@@ -260,11 +260,11 @@ def near_duplicates(
     return spread_join(marked, rooted, "fp", "_size", total).select(id_column, "fp", "component_id")
 
 
-#: 64-bit words of a wide fingerprint, and members of a cell up to which all its pairs are compared.
-WIDE = 4
-SMALL_CELL = 64
-#: Share of pairs at the very similarity asked for that must meet in a cell.
-RECALL = 0.97
+#: Counters of a sketch of how many documents have a shingle, and the parts in which it is added up.
+SKETCH = 1 << 21
+SKETCH_PARTS = 256
+#: Members of a cell after a member with which it is compared, round by round; the last round compares all.
+REACHES = (1, 32, 1024, 1 << 60)
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -279,82 +279,166 @@ def shingle_hashes(text: bytes, words: int) -> np.ndarray:
     return np.array(sorted(found), np.uint64)
 
 
-def _wide_codes(rows: DataFrame, words: int) -> DataFrame:
-    """(_id, c0, ...) with the wide fingerprint of the shingle set; texts without a word are left out."""
-    names = [f"c{k}" for k in range(WIDE)]
+def set_digest(hashes: np.ndarray) -> int:
+    """Signed 64-bit digest of a set of shingles."""
+    import xxhash
+
+    value = xxhash.xxh64_intdigest(hashes.astype("<u8").tobytes(), SEED)
+    return value - (1 << 64) if value >> 63 else value
+
+
+def _set_digests(rows: DataFrame, words: int) -> DataFrame:
+    """(_id, digest) of the texts with a word, and (part, counts) of the sketch of their shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turns = mixed(np.arange(WIDE, dtype=np.uint64) + np.uint64(7))
+        names = ["_id", "digest", "part", "counts"]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        counts = np.zeros(SKETCH, np.uint32)
         for batch, texts in chunks(batches, "_text"):
-            codes = np.zeros((len(texts), WIDE), np.uint64)
-            used = np.zeros(len(texts), bool)
+            ids, out = batch.column("_id").to_pylist(), ([], [])
             for i in range(len(texts)):
                 hashes = shingle_hashes(texts.one(i), words)
-                used[i] = len(hashes) > 0
-                counts = np.zeros(64 * WIDE, np.int64)
-                for k in range(0, len(hashes), 1 << 14):
-                    wide = mixed(hashes[k : k + (1 << 14), None] ^ turns[None, :])
-                    counts += np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-                codes[i] = np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)
-            arrays = [batch.column("_id").filter(pa.array(used)), *(pa.array(codes[used, k].view(np.int64)) for k in range(WIDE))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["_id", *names])
-
-    return rows.mapInArrow(run, "_id long, " + ", ".join(f"{n} long" for n in names))
+                if len(hashes):
+                    np.add.at(counts, hashes % np.uint64(SKETCH), np.uint32(1))
+                    out[0].append(ids[i])
+                    out[1].append(set_digest(hashes))
+            gone = [None] * len(out[0])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((*out, gone, gone), kinds, strict=True)], names=names)
+        parts = counts.reshape(SKETCH_PARTS, -1)
+        used = np.flatnonzero(parts.any(axis=1)).tolist()
+        gone = [None] * len(used)
+        values = (gone, gone, used, [parts[i].tobytes() for i in used])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(values, kinds, strict=True)], names=names)
+
+    return rows.mapInArrow(run, "_id long, digest long, part int, counts binary")
+
+
+def _sketch(partial: DataFrame) -> np.ndarray:
+    """Counters of all tasks added up."""
+
+    def merged(rows: pa.Table) -> pa.Table:
+        total = np.zeros(SKETCH // SKETCH_PARTS, np.uint64)
+        for counts in rows.column("counts"):
+            total += np.frombuffer(counts.as_py(), np.uint32)
+        total = np.minimum(total, np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        return pa.table({"part": rows.column("part").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    kind = "part int, counts binary"
+    found = partial.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(merged, kind).toArrow()
+    counts = np.zeros((SKETCH_PARTS, SKETCH // SKETCH_PARTS), np.uint32)
+    for part, held in zip(found["part"].to_pylist(), found["counts"].to_pylist(), strict=True):
+        counts[part] = np.frombuffer(held, np.uint32)
+    return counts.ravel()
+
+
+def _prefixes(rows: DataFrame, counts: np.ndarray, words: int, similarity: float) -> DataFrame:
+    """(key, digest, size, place): the first shingles of each set, the rare ones first.
+
+    All sets are put in one order of shingles. Two sets with the similarity have so many in
+    common that one of these stands among the first ``n - ceil(similarity * n) + 1`` of both;
+    that holds for every order, so the sketch decides on the work only. A shingle that the
+    sketch counts once is in no other set and is left out.
+    """
+    sent = rows.sparkSession.sparkContext.broadcast(counts)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in chunks(batches, "_text"):
+            out: list[list[np.ndarray]] = [[np.empty(0, k)] for k in (np.uint64, np.int64, np.int64, np.int64)]
+            met = set()
+            for i in range(len(texts)):
+                hashes = shingle_hashes(texts.one(i), words)
+                size = len(hashes)
+                digest = set_digest(hashes)
+                if not size or digest in met:
+                    continue
+                met.add(digest)
+                many = sent.value[hashes % np.uint64(SKETCH)]
+                reach = size - int(np.ceil(similarity * size - 1e-6)) + 1
+                first = np.lexsort((hashes, many))[:reach]
+                place = np.flatnonzero(many[first] > 1)
+                for column, value in zip(out, (hashes[first[place]], np.full(len(place), digest), np.full(len(place), size), place), strict=True):
+                    column.append(value)
+            key, digest, size, place = (np.concatenate(c) for c in out)
+            arrays = [pa.array(key.view(np.int64)), pa.array(digest), pa.array(size.astype(np.int32)), pa.array(place.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["key", "digest", "size", "place"])
 
-def _agreement(similarity: float) -> float:
-    """Share of fingerprint bits on which two sets of one size and this Jaccard similarity agree."""
-    return 1 - float(np.arccos(2 * similarity / (1 + similarity))) / np.pi
+    return rows.mapInArrow(run, "key long, digest long, size int, place int")
 
 
-def _sampled_links(codes: DataFrame, total: int, similarity: float) -> DataFrame:
-    """Links (a, b) between nodes whose wide fingerprints meet in a cell of sampled bits and are near.
+def _shared(prefixes: DataFrame) -> DataFrame:
+    """Rows of the cells that have two members or more, each member once."""
 
-    Cells have so many bits that unrelated fingerprints seldom fill one, and tables are so
-    many that a pair at the similarity meets in one of them with the share RECALL.
-    """
-    bits = 64 * WIDE
-    agree = _agreement(similarity)
-    depth = min(60, max(12, int(np.ceil(np.log2(max(total, 2)))) - 4))
-    tables = max(1, int(np.ceil(np.log(1 - RECALL) / np.log(1 - agree**depth))))
-    # Two standard deviations over the mean distance of such a pair.
-    radius = int(bits * (1 - agree) + 2 * np.sqrt(bits * agree * (1 - agree)))
-    names = [f"c{k}" for k in range(WIDE)]
-
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chosen = [np.argsort(mixed(np.arange(bits, dtype=np.uint64) + np.uint64(1000 * (t + 1))))[:depth] for t in range(tables)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # the row before, and whether it has been handed on
         for batch in batches:
-            words = np.column_stack([batch.column(n).to_numpy(zero_copy_only=False) for n in names]).view(np.uint64)
-            for t, places in enumerate(chosen):
-                key = np.zeros(len(words), np.uint64)
-                for place in places.tolist():
-                    key = key << np.uint64(1) | (words[:, place // 64] >> np.uint64(place % 64) & np.uint64(1))
-                arrays = [pa.array(np.full(len(words), t, np.int32)), pa.array(key.view(np.int64)), batch.column("node"), *(batch.column(n) for n in names)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["n", "key", "node", *names])
-
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots = references(words=WIDE)
-        # A cell over the limit is linked part by part, each part with the last member before it.
-        last = None
-        for rows, over in _whole_cells(batches, ("n", "key", "node", *names), CELL_LIMIT):
-            if over and last is not None and (rows[0, :2] == last[0, :2]).all():
-                rows = np.concatenate([last, rows])
-            last = rows[-1:] if over else None
-            a, b = _linked(rows, pivots, radius, SMALL_CELL)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    columns = ", ".join(f"{n} long" for n in names)
-    cells = codes.mapInArrow(placed, f"n int, key long, node long, {columns}").repartition("n", "key").sortWithinPartitions("n", "key")
-    return cells.mapInArrow(linked, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-
-
-def _verified(rows: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Pairs (a, b) whose shingle sets have the similarity at least; every text is read whole."""
+            rows = np.column_stack([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "digest", "size", "place")])
+            fresh = np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)] if len(rows) else np.empty(0, bool)
+            rows = rows[fresh]
+            if last is not None:
+                if len(rows) and (rows[0, :2] == last[0][0, :2]).all():
+                    rows = rows[1:]
+                rows = np.concatenate([last[0], rows])
+            if not len(rows):
+                continue
+            same = rows[1:, 0] == rows[:-1, 0]
+            chosen = np.r_[False, same] | np.r_[same, False]
+            done = last is not None and last[1]
+            last = rows[-1:], bool(chosen[-1]) or (done and len(rows) == 1)
+            if done:
+                chosen[0] = False
+            yield pa.RecordBatch.from_arrays([pa.array(rows[chosen, k]) for k in range(4)], names=["key", "digest", "size", "place"])
+
+    placed = prefixes.repartition("key").sortWithinPartitions("key", "digest")
+    return placed.mapInArrow(run, "key long, digest long, size long, place long")
+
+
+def _proposed(cells: DataFrame, reach: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of digests of different components that meet in a cell and may have the similarity.
+
+    A member is compared with the ``reach`` members after it. Discarded are only pairs whose
+    sizes, or whose places in the order of shingles, rule the similarity out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, _ in _whole_cells(batches, ("key", "pair", "side", "digest", "size", "place", "root"), 1 << 62):
+            starts = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])
+            counts = np.diff(np.r_[starts, len(rows)])
+            behind = np.repeat(np.cumsum(counts), counts) - np.arange(len(rows)) - 1
+            side, digest, size, place, root = rows[:, 2:].T
+            one = np.flatnonzero(behind > 0)
+            a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            lag = 1
+            while lag <= reach and len(one):
+                two = one + lag
+                # Of two slabs only the pairs across are for this cell.
+                near = (root[one] != root[two]) & ((side[one] < 0) | (side[one] != side[two]))
+                left, right = one[near], two[near]
+                small, large = np.minimum(size[left], size[right]), np.maximum(size[left], size[right])
+                rest = np.minimum(size[left] - place[left], size[right] - place[right])
+                near = (small >= similarity * large - 1e-6) & (rest * (1 + similarity) >= similarity * (small + large) - 1e-6)
+                a.append(digest[left[near]])
+                b.append(digest[right[near]])
+                lag += 1
+                one = one[behind[one] >= lag]
+            a, b = np.concatenate(a), np.concatenate(b)
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    placed = cells.repartition("key", "pair").sortWithinPartitions("key", "pair", "digest")
+    return placed.mapInArrow(run, "a long, b long").distinct()
+
+
+def _verified(rows: DataFrame, members: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of digests whose shingle sets have the similarity at least; every text is read whole."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches, "_text"):
-            sets = [shingle_hashes(texts.one(i), words).astype("<u8").tobytes() for i in range(len(texts))]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sets, pa.binary())], names=["a", "b", "shingles"])
+            found = [shingle_hashes(texts.one(i), words) for i in range(len(texts))]
+            # A row that repeats an id with another text is not meant.
+            meant = pa.array([set_digest(h) == d for h, d in zip(found, batch.column("digest").to_pylist(), strict=True)], pa.bool_())
+            sets = pa.array([h.astype("<u8").tobytes() for h in found], pa.binary())
+            arrays = [c.filter(meant) for c in (batch.column("a"), batch.column("b"), batch.column("digest"), sets)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["a", "b", "digest", "shingles"])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_pair = None
@@ -362,33 +446,64 @@ def _verified(rows: DataFrame, pairs: DataFrame, words: int, similarity: float)
             a, b = [], []
             for row in batch.to_pylist():
                 pair, held = (row["a"], row["b"]), np.frombuffer(row["shingles"], "<u8")
+                if open_pair is not None and open_pair[:2] == (pair, row["digest"]):
+                    continue
                 if open_pair is not None and open_pair[0] == pair:
-                    common = len(np.intersect1d(open_pair[1], held, assume_unique=True))
-                    if common >= similarity * (len(held) + len(open_pair[1]) - common):
+                    common = len(np.intersect1d(open_pair[2], held, assume_unique=True))
+                    if common >= similarity * (len(held) + len(open_pair[2]) - common):
                         a.append(pair[0])
                         b.append(pair[1])
-                open_pair = pair, held
+                open_pair = pair, row["digest"], held
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("_id"))
-    sets = rows.dropDuplicates(["_id"]).join(ends, "_id").select("a", "b", "_text").mapInArrow(hashed, "a long, b long, shingles binary")
-    return sets.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(compared, "a long, b long")
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("digest")).join(members, "digest")
+    sets = rows.join(ends, "_id").select("a", "b", "digest", "_text").mapInArrow(hashed, "a long, b long, digest long, shingles binary")
+    return sets.repartition("a", "b").sortWithinPartitions("a", "b", "digest").mapInArrow(compared, "a long, b long")
+
+
+def _linked_sets(rows: DataFrame, members: DataFrame, shared: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(node, root) of the digests whose sets are linked to others.
+
+    Rounds: pairs of a cell within a reach are verified, those that hold are contracted to
+    components, and then the pairs between different components are proposed with a longer
+    reach. The last round has no limit, so every pair between components has been verified.
+    """
+    biggest = shared.groupBy("key").count().agg(F.max("count")).first()[0] or 0
+    cells = shared.withColumns({"pair": F.lit(0).cast("long"), "side": F.lit(-1).cast("long")})
+    found = tried = roots = None
+    for before, reach in zip((1, *REACHES), REACHES):
+        if biggest <= before:
+            break
+        if roots is None:
+            rooted = cells.withColumn("root", F.col("digest"))
+        else:
+            rooted = cells.join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+        pairs = _proposed(rooted, reach, similarity)
+        pairs = pin(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        held = pin(_verified(rows, members, pairs, words, similarity))
+        found = held if found is None else found.unionByName(held)
+        roots = connected(found)
+    return roots if roots is not None else shared.select(F.col("digest").alias("node"), F.col("digest").alias("root")).limit(0)
 
 
 def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """Rows that are linked to others: (id, component_id).
 
     Documents link if the Jaccard similarity of their sets of ``words``-word shingles is at
-    least ``similarity``; that is checked on the shingles for every pair found near by its
-    fingerprints. component_id is the smallest id reachable. Documents with no link, without
-    a word, or without an id are not returned. Of rows that repeat an id one is compared.
-    Other columns are left out; an empty table gives an empty one.
+    least ``similarity``: all such pairs are found, and each is checked on the shingles or lies
+    inside a component already. component_id is the smallest id reachable. Documents with no
+    link, without a word, or without an id are not returned. Rows that repeat an id are
+    compared each, and the id has one row with the smallest component of them. Other columns
+    are left out; an empty table gives an empty one.
     """
     rows = docs.select(docs[id_column].cast("long").alias("_id"), docs[text_column].cast("string").alias("_text")).where("_id is not null")
-    codes = pin(_wide_codes(rows, words))
-    names = [f"c{k}" for k in range(WIDE)]
-    groups = pin(codes.groupBy(*names).agg(F.min("_id").alias("node")))
-    near = _sampled_links(groups, groups.count(), similarity)
-    same = codes.join(groups, names).select(F.col("node").alias("a"), F.col("_id").alias("b")).where("a < b")
-    found = pin(_verified(rows, near.unionByName(same).distinct(), words, similarity))
-    return connected(found).select(F.col("node").alias(id_column), F.col("root").alias("component_id"))
+    partial = pin(_set_digests(rows, words))
+    codes = partial.where("part is null").select("_id", "digest").distinct()
+    members = codes.groupBy("digest").agg(F.min("_id").alias("_id"))
+    shared = pin(_shared(_prefixes(rows, _sketch(partial), words, similarity)))
+    roots = _linked_sets(rows, members, shared, words, similarity)
+    rooted = codes.join(roots, codes["digest"] == roots["node"], "left").select("_id", F.coalesce("root", "digest").alias("root"))
+    whole = rooted.groupBy("root").agg(F.min("_id").alias("component_id"), F.max("_id").alias("_last")).where("component_id < _last")
+    met = rooted.join(whole, "root").groupBy("_id").agg(F.min("component_id").alias("component_id"))
+    return met.select(F.col("_id").alias(id_column), "component_id")

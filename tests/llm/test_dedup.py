@@ -184,3 +184,44 @@ def test_covers_meet_every_difference():
         assert {(a - b) % period for a in residues for b in residues} == set(range(period))
     with pytest.raises(ValueError):
         suffix_dedup.Cover(50, 57)
+
+
+def shingles(text, words=5):
+    parts = lower(text).split()
+    n = min(words, len(parts))
+    return {b" ".join(parts[i : i + n]) for i in range(len(parts) - n + 1)} if parts else set()
+
+
+def linked_by_brute_force(rows, similarity=0.8):
+    sets = [(i, shingles(t)) for i, t in rows]
+    edges = []
+    for k, (i, a) in enumerate(sets):
+        for j, b in sets[:k]:
+            common = len(a & b)
+            if common and common >= similarity * (len(a) + len(b) - common):
+                edges.append((i, j))
+    nodes = {n for e in edges for n in e}
+    return sorted(components(nodes, edges).items(), key=repr)
+
+
+def template_family(rng, count, length=200):
+    """Texts off one template, changed so that pairs lie at a similarity of about 0.6 to 0.95, and chains of edits."""
+    base = [f"t{i}" for i in range(length)]
+    rows = []
+    for k in range(count):
+        text = list(base if k % 3 or not rows else rows[int(rng.integers(len(rows)))])
+        for place in rng.choice(length, int(rng.integers(1, 6)), replace=False):
+            text[place] = f"x{rng.integers(1 << 30)}"
+        rows.append(text)
+    return [(i, " ".join(t)) for i, t in enumerate(rows)]
+
+
+@pytest.mark.parametrize("reaches", [simhash.REACHES, (1, 4, 1 << 60)])
+def test_a_template_family_is_linked_as_by_brute_force(spark, monkeypatch, reaches):
+    monkeypatch.setattr(simhash, "REACHES", reaches)
+    rows = template_family(np.random.default_rng(8), 300)
+    rows += [(1000 + i, t.replace("t", "u")) for i, t in template_family(np.random.default_rng(9), 80, 60)]
+    expected = linked_by_brute_force(rows)
+    assert len({c for _, c in expected}) > 3
+    found = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert pairs_of(found, "doc_id", "component_id") == expected
