@@ -28,7 +28,8 @@ from rasterledger.session import pin
 
 SEED = 42
 REFERENCES = 32
-#: A larger cell is linked through shared neighbours instead; both ways find the same links.
+#: A larger cell is linked through shared neighbours, or for shingle sets cut into slabs of
+#: which every two meet; all ways find the same links.
 CELL_LIMIT = 16_384
 #: Fingerprints of a cell that are compared with all others at once.
 SLAB = 512
@@ -392,6 +393,21 @@ def _shared(prefixes: DataFrame) -> DataFrame:
     return placed.mapInArrow(run, "key long, digest long, size long, place long")
 
 
+def _slabs(shared: DataFrame, limit: int) -> DataFrame:
+    """The rows with (pair, side): a cell over the limit as cells of their own for each two of its slabs.
+
+    Members are dealt to slabs by their digest. A row goes to the cells of its slab with every
+    slab; side is -1 where that is the slab itself, so all pairs of its members count there.
+    """
+    large = shared.groupBy("key").count().where(F.col("count") > limit).select("key", F.ceil(F.col("count") / limit).cast("int").alias("slabs"))
+    dealt = shared.join(large, "key", "left").withColumn("slabs", F.coalesce("slabs", F.lit(1)))
+    dealt = dealt.withColumn("slab", F.pmod(F.xxhash64("digest"), F.col("slabs")).cast("int"))
+    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slabs") - 1)))
+    low, high = F.least("slab", "other").cast("long"), F.greatest("slab", "other")
+    side = F.when(F.col("slab") == F.col("other"), -1).when(F.col("slab") < F.col("other"), 0).otherwise(1)
+    return spread.select(*shared.columns, (low * F.col("slabs") + high).alias("pair"), side.cast("long").alias("side"))
+
+
 def _proposed(cells: DataFrame, reach: int, similarity: float) -> DataFrame:
     """Pairs (a, b) of digests of different components that meet in a cell and may have the similarity.
 
@@ -469,7 +485,7 @@ def _linked_sets(rows: DataFrame, members: DataFrame, shared: DataFrame, words:
     reach. The last round has no limit, so every pair between components has been verified.
     """
     biggest = shared.groupBy("key").count().agg(F.max("count")).first()[0] or 0
-    cells = shared.withColumns({"pair": F.lit(0).cast("long"), "side": F.lit(-1).cast("long")})
+    cells = _slabs(shared, CELL_LIMIT)
     found = tried = roots = None
     for before, reach in zip((1, *REACHES), REACHES):
         if biggest <= before:

@@ -225,3 +225,10 @@ def test_a_template_family_is_linked_as_by_brute_force(spark, monkeypatch, reach
     assert len({c for _, c in expected}) > 3
     found = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
     assert pairs_of(found, "doc_id", "component_id") == expected
+
+
+def test_cells_over_the_limit_lose_no_pair(spark, monkeypatch):
+    rows = template_family(np.random.default_rng(10), 60)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(simhash, "CELL_LIMIT", 2)
+    assert pairs_of(simhash.similar_documents(docs), "doc_id", "component_id") == linked_by_brute_force(rows)
