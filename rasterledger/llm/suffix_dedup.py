@@ -17,7 +17,8 @@ after their starts, that tie for at least ``length - period + 1`` bytes.
 
 A task holds one bucket or one block of documents. Blocks and buckets grow in number
 with the corpus. Equal entries of one block are merged before a shuffle, so a
-passage that very many documents share reaches a bucket once for each block; classes
+passage that very many documents share reaches a bucket once for each block, unless all
+of the block have it at one residue that is not the first; classes
 that stay large are split by the bytes next to the tie. Strings are compared by
 64-bit fingerprints.
 """
@@ -125,7 +126,10 @@ class _CoverBlock:
         self.counts.append(counts)
 
     def rows(self) -> Iterator[tuple]:
-        """(bucket, ids, counts, ordinals, marks, flags): of equal suffixes the first, flagged, and the others as tied."""
+        """(bucket, ids, counts, ordinals, marks, met, state): suffixes for the buckets, and with bucket -1 those known as tied.
+
+        Of equal suffixes that are needed already only the first goes to a bucket.
+        """
         if not self.values:
             return
         ids, counts, values = map(np.concatenate, (self.ids, self.counts, self.values))
@@ -147,14 +151,16 @@ class _CoverBlock:
         needed = repeated & ((met == 255) | (met == 0))
         bucket = ((values >> np.uint64(40)) % np.uint64(self.buckets)).astype(np.int64)
         marks = values.view(np.uint8).reshape(-1, 8)[:, : self.mark_bytes]
-        for sent, place in ((first, bucket), (needed & ~first, np.full(len(values), -1))):
+        # Of a class at one other residue all members go to the bucket, which alone can tell whether
+        # another block has the class at a second residue; then each of them counts.
+        for sent, place in ((first | (repeated & ~needed), bucket), (needed & ~first, np.full(len(values), -1))):
             chosen = np.flatnonzero(sent)
             chosen = chosen[np.argsort(place[chosen], kind="stable")]
             at, many = _groups(place[chosen])
             for a, n in zip(at.tolist(), many.tolist(), strict=True):
                 part = chosen[a : a + n]
                 doc, per = _groups(owner[part])
-                state = (needed[part].astype(np.uint8) | (repeated[part] & ~needed[part]) * np.uint8(2))
+                state = needed[part].astype(np.uint8)
                 yield int(place[part[0]]), ids[owner[part[doc]]], per, ordinals[part], marks[part], met[part], state
 
 
@@ -236,8 +242,7 @@ def tied_suffixes(docs: DataFrame, cover: Cover, buckets: int, blocks: int, mark
             )
         at = 0
         for row, size in zip(rows, sizes, strict=True):
-            state = np.frombuffer(row["state"], np.uint8)
-            chosen = tied[at : at + size] | (state & 1).astype(bool)
+            chosen = tied[at : at + size] | np.frombuffer(row["state"], np.uint8).astype(bool)
             yield from by_block(row, chosen)
             at += size
 

@@ -232,3 +232,21 @@ def test_cells_over_the_limit_lose_no_pair(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     monkeypatch.setattr(simhash, "CELL_LIMIT", 2)
     assert pairs_of(simhash.similar_documents(docs), "doc_id", "component_id") == linked_by_brute_force(rows)
+
+
+def test_a_class_at_one_residue_in_a_merge_keeps_all_its_members(spark):
+    """D1 and D2 share 150 bytes at one place; D2 and E, of another partition, share 200 at two."""
+    rng = np.random.default_rng(13)
+
+    def letters(n):
+        return "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+
+    header = letters(200)
+    # 27 and 56 are the only residues of the cover that lie 29 apart.
+    rows = [(1, header[:150] + letters(400)), (2, header + letters(300)), (3, letters(29) + header + letters(300))]
+    rows.append((4, letters(500)))
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "doc_id long, text string")
+    assert [[r.doc_id for r in part] for part in docs.rdd.glom().collect()] == [[1, 2], [3, 4]]
+    found = suffix_dedup.repeat_report(docs).collect()
+    assert {tuple(r) for r in found} == cut_by_brute_force(rows, 200)
+    assert {r.doc_id: r.n_removed for r in found} == {1: 0, 2: 200, 3: 200, 4: 0}
