@@ -250,3 +250,20 @@ def test_a_class_at_one_residue_in_a_merge_keeps_all_its_members(spark):
     found = suffix_dedup.repeat_report(docs).collect()
     assert {tuple(r) for r in found} == cut_by_brute_force(rows, 200)
     assert {r.doc_id: r.n_removed for r in found} == {1: 0, 2: 200, 3: 200, 4: 0}
+
+
+def test_every_pair_at_the_similarity_is_found(spark):
+    """Pairs at 0.80 to 0.85 of 160 to 400 shingles, where sampled cells lost some."""
+    rng = np.random.default_rng(12)
+    rows = []
+    while len(rows) < 1000:
+        base = [f"w{rng.integers(1 << 30)}" for _ in range(int(rng.integers(164, 405)))]
+        near = list(base)
+        for place in rng.choice(len(base), int(len(base) * rng.uniform(0.018, 0.03)), replace=False):
+            near[place] = f"z{rng.integers(1 << 30)}"
+        pair = " ".join(base), " ".join(near)
+        a, b = map(shingles, pair)
+        if 0.8 <= len(a & b) / len(a | b) <= 0.85:
+            rows += [(len(rows), pair[0]), (len(rows) + 1, pair[1])]
+    found = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert pairs_of(found, "doc_id", "component_id") == sorted(((i, i // 2 * 2) for i, _ in rows), key=repr)
