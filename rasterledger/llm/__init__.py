@@ -1,4 +1,4 @@
 """Operators for training-data corpora, each with its registered query.
 
-Nothing outside this folder imports it. ``queries.register()`` adds the queries.
+Nothing outside this folder imports it. ``queries`` has the registered queries and their SQL.
 """

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from rasterledger.llm.pretokens import Splitter, words_of
-from rasterledger.llm.texts import Fingerprints, chunks
+from rasterledger.llm.texts import chunks
 from rasterledger.llm.vocabulary import KEPT_WORDS, byte_letters, from_ranks
 
 # Fields and kinds of the model message. Fixed values.
@@ -95,11 +95,11 @@ def round_trip(docs: DataFrame, path: str, id_column: str = "doc_id", text_colum
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = ByteCodec(from_ranks(path))
-        splitter, prints = Splitter(), Fingerprints()
+        splitter = Splitter()
         known: dict[bytes, tuple[int, ...]] = {}
         decimal = [str(i) for i in range(len(codec.bytes_of))]
         for batch, texts in chunks(batches, "_text"):
-            words = words_of(texts, splitter, prints)
+            words = words_of(texts, splitter)
             if len(known) > KEPT_WORDS:
                 known.clear()
             fresh = [w for w in words.distinct if w not in known]

@@ -194,14 +194,14 @@ class Words:
         self.counts = counts
 
 
-def words_of(texts: Texts, splitter: Splitter, prints) -> Words:
-    """Pre-tokens of the texts, told apart by 64-bit fingerprints within these texts."""
+def words_of(texts: Texts, splitter: Splitter) -> Words:
+    """Pre-tokens of the texts, told apart by their bytes."""
     starts, counts = splitter.starts(texts)
     if not len(starts):
         return Words([], np.empty(0, np.int64), counts)
-    stops = np.r_[starts[1:], len(texts.data)]
-    values = prints.windows(prints.sums(texts.data), starts, stops)
-    _, first, which = np.unique(values, return_index=True, return_inverse=True)
     raw = texts.data.tobytes()
-    distinct = [raw[a:b] for a, b in zip(starts[first].tolist(), stops[first].tolist(), strict=True)]
-    return Words(distinct, which, counts)
+    stops = [*starts[1:].tolist(), len(raw)]
+    words = [raw[a:b] for a, b in zip(starts.tolist(), stops, strict=True)]
+    place = {word: i for i, word in enumerate(dict.fromkeys(words))}
+    which = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+    return Words(list(place), which, counts)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rasterledger.llm import exact_dedup, licenses
+from rasterledger.llm import exact_dedup, hard_negatives, licenses, line_dedup
 from rasterledger.llm.quality_rules import MEASURES, verdict_sql, verdicts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,20 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rasterledger.llm.suffix_dedup import repeat_report
 
     return repeat_report(table(spark, sf_dir, "documents"))
+
+
+@query("op11_line_dedup", line_dedup.SQL)
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op12_hard_negatives", hard_negatives.SQL)
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_token_alignment")
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rasterledger.llm.token_alignment import aligned_documents
+
+    return aligned_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from rasterledger.llm.pretokens import Splitter, words_of
-from rasterledger.llm.texts import Fingerprints, chunks
+from rasterledger.llm.texts import chunks
 from rasterledger.llm.vocabulary import Parts, Vocabulary, from_json
 
 #: Transitions kept before the compiled part is dropped and built anew; bounds memory only.
@@ -137,10 +137,10 @@ def token_counts(docs: DataFrame, path: str, id_column: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = from_json(path)
-        splitter, prints, transducer = Splitter(), Fingerprints(), CountingTransducer(vocabulary)
+        splitter, transducer = Splitter(), CountingTransducer(vocabulary)
         for batch, texts in chunks(batches, "_text"):
             parts = Parts(texts, vocabulary.special)
-            words = words_of(parts.texts, splitter, prints)
+            words = words_of(parts.texts, splitter)
             if len(transducer.table) > KEPT_TRANSITIONS:
                 transducer.reset()
             sizes = np.fromiter(map(transducer.count, words.distinct), np.int64, len(words.distinct))

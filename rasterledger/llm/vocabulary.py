@@ -8,7 +8,7 @@ import json
 import numpy as np
 
 from rasterledger.llm.pretokens import Splitter, words_of
-from rasterledger.llm.texts import Fingerprints, Texts
+from rasterledger.llm.texts import Texts
 
 #: Distinct pre-tokens whose ids a task keeps before it begins anew; bounds its memory only.
 KEPT_WORDS = 400_000
@@ -104,7 +104,7 @@ class Encoder:
         import tiktoken
 
         self.special = vocabulary.special
-        self.splitter, self.prints = Splitter(), Fingerprints()
+        self.splitter = Splitter()
         # It is handed one pre-token at a time, which is one match.
         self.model = tiktoken.Encoding("words", pat_str="(?s:.+)", mergeable_ranks=vocabulary.ids, special_tokens={})
         self.known: dict[bytes, bytes] = {}
@@ -117,7 +117,7 @@ class Encoder:
     def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and how many each text has."""
         parts = Parts(texts, self.special)
-        words = words_of(parts.texts, self.splitter, self.prints)
+        words = words_of(parts.texts, self.splitter)
         if len(self.known) > KEPT_WORDS:
             self.known.clear()
         known = self.known

@@ -21,6 +21,9 @@ def odd_texts() -> list:
         texts.append(text)
     long = " ".join(rng.choice(words) for _ in range(9000))
     texts += [long, long.replace(words[3], "zzzz", 2), texts[20], texts[20].upper(), texts[21]]
+    # Two words of equal polynomial hashes modulo 2 ** 64, whatever the odd base.
+    word = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    texts.append(word + "\n" + word.translate({97: 98, 98: 97}))
     return texts
 
 

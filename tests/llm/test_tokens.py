@@ -15,7 +15,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 from corpora import corpus, empty, odd_texts  # noqa: E402
 from hypothesis import given, settings, strategies as st  # noqa: E402
 from rasterledger.llm import byte_bpe, packing, pretokens, token_counts, vocabulary  # noqa: E402
-from rasterledger.llm.texts import Fingerprints, Texts  # noqa: E402
+from rasterledger.llm.texts import Texts  # noqa: E402
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -43,7 +43,7 @@ def transducer():
 def test_splitter_equals_the_pattern(texts):
     import regex
 
-    found = pretokens.words_of(Texts.of([t.encode() for t in texts]), _SPLITTER, Fingerprints())
+    found = pretokens.words_of(Texts.of([t.encode() for t in texts]), _SPLITTER)
     at = 0
     for text, count in zip(texts, found.counts.tolist(), strict=True):
         mine = [found.distinct[k].decode() for k in found.which[at : at + count]]
@@ -71,7 +71,7 @@ def test_transducer_equals_the_library(word):
     if len(_MODEL) < 2:
         _MODEL.append(token_counts.CountingTransducer(model))
         _MODEL.append(vocabulary.Encoder(model))
-    pieces = pretokens.words_of(Texts.of([word.encode()]), _SPLITTER, Fingerprints()).distinct
+    pieces = pretokens.words_of(Texts.of([word.encode()]), _SPLITTER).distinct
     assert [_MODEL[1].count(p) for p in pieces] == [len(_MODEL[2]._word(p)) // 4 for p in pieces]
 
 
