@@ -1,8 +1,8 @@
 """Alignment of the tokens of two tokenizers over the same bytes.
 
-Both id lists of a text are laid over its bytes. A dictionary from each token's end to
-its index is built on both sides; the intersection of their keys, in order, cuts both
-lists into groups. Inside a group the tokens of the two sides overlap like the steps of
+Both id lists of a text are laid over its bytes. The cumulative ends of one side are hashed
+to their indices; the ends of the other side, in order, are intersected with these keys,
+which cuts both lists into groups. Inside a group the tokens of the two sides overlap like the steps of
 a stair, which gives its links.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -65,73 +66,65 @@ class Aligner:
         self.first_pieces = Pieces([by_id.get(i, b"") for i in range(max(by_id) + 1)])
         self.second = sentencepiece.SentencePieceProcessor(model_file=second)
         self.second_pieces = Pieces(piece_bytes(self.second))
-        self.decimal = [str(i) for i in range(max(len(self.first_pieces.lengths), len(self.second_pieces.lengths)))]
+        # Ids as text with what follows them: an id of the same side, the other side, the next group.
+        self.width = max(len(self.first_pieces.lengths), len(self.second_pieces.lengths))
+        self.written_ids = [f"{i}{sign}".encode() for sign in ",|;" for i in range(self.width)]
 
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Both id lists of each text; both empty if either does not give back the bytes."""
         whole = [b" " + text.encode() if text else b"" for text in texts]
         ids, counts = self.first.encode(Texts.of(whole))
         stops = np.cumsum(counts)
-        others = self.second.encode([t for t in texts], num_threads=1)
         nothing = np.empty(0, np.int64)
+        others = self.second.encode(texts, num_threads=1)
         for data, stop, count, other in zip(whole, stops.tolist(), counts.tolist(), others, strict=True):
             a, b = ids[stop - count : stop].astype(np.int64), np.array(other, np.int64)
             same = data and self.first_pieces.joined(a) == data and self.second_pieces.joined(b) == data
             yield (a, b) if same else (nothing, nothing)
 
-    def align(self, a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int], np.ndarray]:
+    def align(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Where groups end on either side, and the linked id pairs as numbers, one for each link."""
         ends_a, ends_b = np.cumsum(self.first_pieces.lengths[a]), np.cumsum(self.second_pieces.lengths[b])
-        at_a, at_b = dict(zip(ends_a.tolist(), range(1, len(a) + 1), strict=True)), dict(zip(ends_b.tolist(), range(1, len(b) + 1), strict=True))
-        common = sorted(at_a.keys() & at_b.keys())
-        cut_a, cut_b = list(map(at_a.__getitem__, common)), list(map(at_b.__getitem__, common))
-        return cut_a, cut_b, _links(a, b, ends_a, ends_b, np.array(cut_a, np.int64), np.array(cut_b, np.int64))
-
-    def written(self, a: np.ndarray, b: np.ndarray, cut_a: list[int], cut_b: list[int]) -> str:
+        # Ends of A grow, so its dictionary would give back places: they are looked up in that of B in order.
+        at_b = dict(zip(ends_b.tolist(), range(1, len(b) + 1), strict=True))
+        met = np.fromiter(map(at_b.get, ends_a.tolist(), repeat(0)), np.int64, len(a))
+        cut_a = np.flatnonzero(met) + 1
+        cut_b = met[cut_a - 1]
+        return cut_a, cut_b, _links(a, b, ends_a, ends_b, cut_a, cut_b)
+
+    def written(self, a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> bytes:
         """Groups as text: ids of a side joined by a comma, sides by a bar, groups by a semicolon."""
-        texts_a, texts_b = list(map(self.decimal.__getitem__, a.tolist())), list(map(self.decimal.__getitem__, b.tolist()))
-        out, i, j = [], 0, 0
-        for p, q in zip(cut_a, cut_b, strict=True):
-            if p - i == 1 and q - j == 1:
-                out.append(f"{texts_a[i]}|{texts_b[j]}")
-            else:
-                out.append(",".join(texts_a[i:p]) + "|" + ",".join(texts_b[j:q]))
-            i, j = p, q
-        return ";".join(out)
+        first_a, first_b = cut_a - np.diff(cut_a, prepend=0), cut_b - np.diff(cut_b, prepend=0)
+        out = np.empty(len(a) + len(b), np.int64)
+        # A token of A comes after the B tokens of earlier groups, one of B after the A tokens of its group, too.
+        place_a, place_b = np.arange(len(a)) + np.repeat(first_b, cut_a - first_a), np.arange(len(b)) + np.repeat(cut_a, cut_b - first_b)
+        out[place_a], out[place_b] = a, b
+        out[place_a[cut_a - 1]] += self.width
+        out[place_b[cut_b - 1]] += 2 * self.width
+        return b"".join(map(self.written_ids.__getitem__, out.tolist()))[:-1]
 
 
 def _links(a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> np.ndarray:
     """Pairs of ids whose bytes overlap, slice by slice.
 
     A slice of m and n tokens has no end in common but the last, so a walk along its ends
-    makes m + n - 1 steps, each inside one token of either side. Slices of one token on one
-    side link it to all of the other.
+    makes m + n - 1 steps, each inside one token of either side. Step k of a slice ends at
+    its k-th end; all slices walk side by side. Slices of one token each need one step.
     """
-    first_a, first_b = np.r_[0, cut_a[:-1]], np.r_[0, cut_b[:-1]]
-    wide_a, wide_b = cut_a - first_a, cut_b - first_b
-    out = []
-    for one, first, firsts, wide, many in ((a, first_a, first_b, wide_b, b), (b, first_b, first_a, wide_a, a)):
-        width = (wide_a if one is a else wide_b) == 1
-        if one is b:
-            width &= wide_a > 1
-        sizes = wide[width]
-        ends = np.cumsum(sizes)
-        inner = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(firsts[width] - (ends - sizes), sizes)
-        alone, others = np.repeat(one[first[width]], sizes), many[inner]
-        out.append((alone << SHIFT | others) if one is a else (others << SHIFT | alone))
-    steps = []
-    for s in np.flatnonzero((wide_a > 1) & (wide_b > 1)).tolist():
-        i, j = int(first_a[s]), int(first_b[s])
-        last_i, last_j = int(cut_a[s]) - 1, int(cut_b[s]) - 1
-        while True:
-            steps.append(int(a[i]) << SHIFT | int(b[j]))
-            if i == last_i and j == last_j:
-                break
-            if ends_a[i] < ends_b[j]:
-                i += 1
-            else:
-                j += 1
-    return np.concatenate([*out, np.array(steps, np.int64)])
+    wide_a, wide_b = np.diff(cut_a, prepend=0), np.diff(cut_b, prepend=0)
+    single = (wide_a == 1) & (wide_b == 1)
+    alone = a[cut_a[single] - 1] << SHIFT | b[cut_b[single] - 1]
+    in_a, in_b = np.flatnonzero(np.repeat(~single, wide_a)), np.flatnonzero(np.repeat(~single, wide_b))
+    ends = np.concatenate([ends_a[in_a] * 2, ends_b[in_b] * 2 + 1])
+    order = np.argsort(ends, kind="stable")
+    side = order >= len(in_a)
+    # How many tokens of either side have ended before; an end on both sides is one step.
+    before_b = np.cumsum(side) - side
+    before_a = np.cumsum(~side) - ~side
+    ends = ends[order] >> 1
+    step = np.ones(len(ends), bool)
+    step[1:] = ends[1:] != ends[:-1]
+    return np.concatenate([alone, a[in_a[before_a[step]]] << SHIFT | b[in_b[before_b[step]]]])
 
 
 def _aligned(docs: DataFrame, first: str, second: str, id_column: str, text_column: str, with_groups: bool) -> DataFrame:
@@ -150,8 +143,8 @@ def _aligned(docs: DataFrame, first: str, second: str, id_column: str, text_colu
                     cut_a, cut_b, links = aligner.align(a, b)
                     pairs, times = np.unique(links, return_counts=True)
                     groups = aligner.written(a, b, cut_a, cut_b)
-                    digest = hashlib.sha256(groups.encode()).hexdigest()
-                    rows.append((len(a), len(b), len(cut_a), len(links), digest, pairs.astype("<i8").tobytes(), times.astype("<i8").tobytes(), groups))
+                    digest = hashlib.sha256(groups).hexdigest()
+                    rows.append((len(a), len(b), len(cut_a), len(links), digest, pairs.astype("<i8").tobytes(), times.astype("<i8").tobytes(), groups.decode() if with_groups else ""))
                 columns = list(zip(*rows, strict=True))[: 8 if with_groups else 7]
                 kinds = [pa.int64()] * 4 + [pa.string(), pa.binary(), pa.binary(), pa.string()]
                 arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=False)]
