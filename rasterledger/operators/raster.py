@@ -9,13 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType
 
 from rasterledger.functions.hashing import stable_hash32
 from rasterledger.functions.scalars import ratio
+from rasterledger.operators.distances import farthest_cells, nearest_distance
 from rasterledger.operators.ordered import exact_quantiles, top_k_per_group
 from rasterledger.session import pin
 
@@ -219,59 +217,6 @@ def boundary_metrics(
 # --- distances ----------------------------------------------------------------
 
 
-@F.pandas_udf(ArrayType(IntegerType()))
-def _column_gaps(rows: pd.Series, targets: pd.Series) -> pd.Series:
-    """Vertical distance from each row to the nearest target row; both lists ascend."""
-    out = []
-    for wanted, ys in zip(rows, targets):
-        right = np.searchsorted(ys, wanted)
-        below = np.abs(wanted - ys[np.maximum(right - 1, 0)])
-        above = np.abs(ys[np.minimum(right, len(ys) - 1)] - wanted)
-        out.append(np.minimum(below, above))
-    return pd.Series(out)
-
-
-@F.pandas_udf(ArrayType(LongType()))
-def _row_minima(xs: pd.Series, columns: pd.Series, gaps: pd.Series) -> pd.Series:
-    """Smallest squared distance over the columns for each x of one row."""
-    out = []
-    for wanted, at, gap in zip(xs, columns, gaps):
-        at, square = at.astype(np.int64), gap.astype(np.int64) ** 2
-        # Blocks keep the (x, column) table small for wide images.
-        step = max(1, 1_000_000 // len(at))
-        parts = [
-            ((wanted[i : i + step, None].astype(np.int64) - at[None, :]) ** 2 + square).min(axis=1)
-            for i in range(0, len(wanted), step)
-        ]
-        out.append(np.concatenate(parts))
-    return pd.Series(out)
-
-
-def nearest_distance(queries: DataFrame, targets: DataFrame, groups: Sequence[str] = ("image_id",)) -> DataFrame:
-    """Exact Euclidean distance from each query pixel to the nearest target pixel.
-
-    The separable transform: per column the vertical distance to the nearest
-    target of every queried row, then per row the minimum over columns. Work
-    items are single columns and single rows of one image, so no task ever holds
-    an image. Queries in groups without targets are left out.
-    """
-    g = list(groups)
-    rows = queries.groupBy(*g).agg(F.sort_array(F.collect_set("y")).alias("_rows"))
-    columns = targets.groupBy(*g, "x").agg(F.sort_array(F.collect_set("y")).alias("_ys"))
-    vertical = (
-        columns.join(rows, g)
-        .withColumn("_gaps", _column_gaps("_rows", "_ys"))
-        .select(*g, "x", F.explode(F.arrays_zip("_rows", "_gaps")).alias("_c"))
-        .select(*g, F.col("_c._rows").alias("y"), F.struct("x", F.col("_c._gaps").alias("dy")).alias("_c"))
-    )
-    candidates = vertical.groupBy(*g, "y").agg(F.collect_list("_c").alias("_cs"))
-    wanted = queries.select(*g, "y", "x").groupBy(*g, "y").agg(F.collect_set("x").alias("_xs"))
-    solved = wanted.join(candidates, [*g, "y"]).withColumn("_d2", _row_minima("_xs", "_cs.x", "_cs.dy"))
-    return solved.select(*g, "y", F.explode(F.arrays_zip("_xs", "_d2")).alias("_p")).select(
-        *g, "y", F.col("_p._xs").alias("x"), F.sqrt(F.col("_p._d2").cast("double")).alias("distance")
-    )
-
-
 def surface_distances(cells: DataFrame, images: DataFrame, *, rule: str = "cross") -> DataFrame:
     """95th percentile and mean of both directed boundary distances per image.
 
@@ -422,10 +367,7 @@ def prompt_points(
 
 def farthest_background(mask: DataFrame, images: DataFrame, k: int) -> DataFrame:
     """k background cells per image with the largest distance to the mask."""
-    distances = nearest_distance(background(mask, images), mask)
-    return top_k_per_group(
-        distances, ["image_id"], [F.desc("distance"), F.col("y"), F.col("x")], k, spread_on=["y", "x"]
-    )
+    return farthest_cells(mask, images, k)
 
 
 def error_classes(cells: DataFrame) -> DataFrame:
