@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from rasterledger.catalog.evaluation import COUNTS_SQL, per_image_sql, r6
 from rasterledger.catalog.governance import dochash, documents
-from rasterledger.catalog.rasters import _STITCHED, SMALL_OVERLAP, SMALL_TILE, grid, images_of
+from rasterledger.catalog.rasters import _STITCHED, _TILE_CELLS, SMALL_OVERLAP, SMALL_TILE, grid, images_of
 from rasterledger.catalog.registry import query
 from rasterledger.catalog.results import EARLY_STOPPING_SQL
 from rasterledger.catalog.views import SPLIT, table, view, with_views
-from rasterledger.operators import scoring
+from rasterledger.operators import scoring, tiling
 from rasterledger.plans.evaluation import evaluate_predictions
 from rasterledger.plans.inference import tiled_inference
 from rasterledger.plans.preparation import prepare_dataset
@@ -145,10 +145,9 @@ def _st5(spark, sf_dir):
         F.col("o_orderkey").alias("epoch"),
         F.expr("round((o_totalprice % 1000) / 1000, 6)").alias("value"),
     )
-    rows = _drain(spark, monitor.early_stopping_stream(log, 3), "update")
-    # Later updates of a run have seen more epochs.
-    latest = rows.groupBy("run").agg(F.max_by(F.struct(*rows.columns), "epochs_run").alias("_r")).select("_r.*")
-    return r6(latest)
+    folder = work_folder(spark)
+    monitor.run_available(log, monitor.keep_early_stopping(f"{folder}/out", 3), f"{folder}/state", "append")
+    return r6(monitor.latest_results(spark, f"{folder}/out"))
 
 
 @query(
@@ -256,9 +255,36 @@ def _v1(spark, sf_dir):
     )
 
 
-def _demo_scorer(pdf):
-    prob = pdf["value"] / 255.0 * 0.5 + (pdf["tile_y"] + pdf["tile_x"]) / (4.0 * SMALL_TILE)
-    return pdf.assign(prob=prob)
+def _demo_scorer(tile):
+    rows, columns = np.indices(tile.shape)
+    return tile / 255.0 * 0.5 + (rows + columns) / (4.0 * SMALL_TILE)
+
+
+def _contrast_scorer(tile):
+    """Needs the whole tile: brightness against the tile's mean. All numbers are exact in binary."""
+    return 0.5 + (tile - tile.mean()) / 512.0
+
+
+@query(
+    "v1_tile_scorer",
+    with_views(
+        "grid",
+        f"""{_TILE_CELLS}, m as (select tile_id, avg(value) as mean from filled group by 1)
+           select image_id, count(*) as cells, round(sum(0.5::double + (value - mean) / 512.0::double), 6) as prob_sum,
+             sum((0.5::double + (value - mean) / 512.0::double >= 0.5::double)::int)::bigint as bright
+           from filled join m using (tile_id) where valid group by 1""",
+    ),
+)
+def _v1_tiles(spark, sf_dir):
+    cells = grid(spark, sf_dir)
+    pixels = cells.select("image_id", "y", "x", (F.col("target") * 255).alias("value"))
+    tiles = tiling.tile_pixels(pixels, images_of(cells), tile_size=SMALL_TILE, overlap=SMALL_OVERLAP, pad_value=7)
+    scored = scoring.score_tiles(tiles, _contrast_scorer, SMALL_TILE)
+    return r6(
+        scored.groupBy("image_id").agg(
+            F.count("prob").alias("cells"), F.sum("prob").alias("prob_sum"), F.count_if(F.col("prob") >= 0.5).alias("bright")
+        )
+    )
 
 
 @query(

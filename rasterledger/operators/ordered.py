@@ -105,6 +105,45 @@ def running_max(
     return joined.withColumn(out, F.greatest("_offset", "_local")).drop(_SLICE, "_local", "_offset")
 
 
+def scanned(
+    df: DataFrame,
+    order_by: Sequence[str],
+    *,
+    groups: Sequence[str] = (),
+    numbers: tuple[str, str] | None = None,
+    maxima: dict[str, tuple[str, bool]],
+    slices: int | None = None,
+) -> DataFrame:
+    """Positions and running maxima of several columns from one slicing of the rows.
+
+    ``numbers`` names the 1-based position and the number of rows of the group; ``maxima``
+    maps a result to (column, whether the row itself counts). ``order_by`` has to be unique
+    inside a group.
+    """
+    count = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sliced = pin(df.repartitionByRange(count, *groups, *order_by).withColumn(_SLICE, F.spark_partition_id()))
+    keys = [*groups, _SLICE]
+    tops = {f"_top{i}": F.max(column) for i, (column, _) in enumerate(maxima.values())}
+    sums = sliced.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *(c.alias(n) for n, c in tops.items()))
+    whole = Window.partitionBy(*groups)
+    before = whole.orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(
+        *keys,
+        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"),
+        F.sum("_rows").over(whole).alias("_total"),
+        *(F.max(name).over(before).alias(f"{name}_before") for name in tops),
+    )
+    joined = _slice_join(sliced, offsets, keys)
+    inside = Window.partitionBy(*keys).orderBy(*order_by)
+    results = {
+        out: F.greatest(f"_top{i}_before", F.max(column).over(inside.rowsBetween(Window.unboundedPreceding, 0 if own else -1)))
+        for i, (out, (column, own)) in enumerate(maxima.items())
+    }
+    if numbers:
+        results |= {numbers[0]: F.col("_offset") + F.row_number().over(inside), numbers[1]: F.col("_total")}
+    return joined.withColumns(results).drop(_SLICE, "_offset", "_total", *(f"{name}_before" for name in tops))
+
+
 def global_row_number(
     df: DataFrame,
     order_by: Sequence[str],

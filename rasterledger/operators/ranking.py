@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rasterledger.functions.hashing import canonical_json
 from rasterledger.operators.checks import raise_if_any
-from rasterledger.operators.ordered import global_row_number, quantile_values, running_max
+from rasterledger.operators.ordered import global_row_number, quantile_values, running_max, scanned
+from rasterledger.session import pin
 
 IMPROVEMENT_MARGIN = 1e-8
 
@@ -125,6 +127,9 @@ def running_best(history: DataFrame, run: str, epoch: str, value: str) -> DataFr
     return best.withColumn("delta_to_best", F.col(value) - F.col("running_best"))
 
 
+_IMPROVED = ("best_value", "best_epoch", "best_position")
+
+
 def early_stopping(
     history: DataFrame,
     run: str,
@@ -132,48 +137,107 @@ def early_stopping(
     value: str,
     patience: int,
     margin: float = IMPROVEMENT_MARGIN,
+    state: DataFrame | None = None,
 ) -> DataFrame:
     """Best epoch, epochs run and whether patience ended the run.
 
-    An epoch can only improve on the kept best if it beats every earlier value,
-    so the sequential fold sees the strict records of a run and nothing else.
+    An epoch improves if it beats the kept best by more than ``margin``. Only a strict record
+    of its run can. A record that beats the record before it by more than the margin improves
+    whatever is kept, as the kept best is never above that record. Such records cut a run
+    into sections that do not depend on each other: each is folded on its own, row by row with
+    a few numbers of state, and the sections of a run are then put together by their ends.
+
+    ``state`` has earlier results of this function for runs that go on: the epochs given
+    come after those it has seen. Rows without a value never improve; epochs of a run are
+    to be distinct.
     """
-    placed = global_row_number(
-        history.select(run, epoch, value), [epoch], groups=[run], out="_pos", total_out="_n"
+    rows = history.select(F.col(run).alias("run"), F.col(epoch).alias("epoch"), F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double")).alias("value"))
+    if state is not None:
+        known = state.select(F.col(run).alias("run"), *_IMPROVED, "epochs_run", "stopped_early")
+        placed = rows.join(known, "run", "left").where(~F.coalesce("stopped_early", F.lit(False)))
+    else:
+        placed = rows.withColumns({"best_value": F.lit(None).cast("double"), "best_position": F.lit(None).cast("long"), "best_epoch": F.lit(None).cast(rows.schema["epoch"].dataType), "epochs_run": F.lit(0).cast("long")})
+    seen = scanned(placed, ["epoch"], groups=["run"], numbers=("_row", "_rows"), maxima={"_before": ("value", False)})
+    earlier = F.coalesce("epochs_run", F.lit(0).cast("long"))
+    seen = pin(seen.withColumns({"pos": F.col("_row") + earlier, "total": F.col("_rows") + earlier, "_before": F.greatest("_before", "best_value")}))
+    kept = seen.where(F.col("value").isNotNull() & (F.col("_before").isNull() | (F.col("value") > F.col("_before"))))
+    kept = kept.select("run", "epoch", "value", "pos", (F.col("_before").isNull() | (F.col("value") > F.col("_before") + margin)).alias("sure"))
+    ends = seen.groupBy("run").agg(
+        F.max("total").alias("epochs"), F.first("best_value").alias("_value"), F.first("best_epoch").alias("_epoch"), F.first("best_position").alias("_pos")
     )
-    seen = running_max(placed, [epoch], value, groups=[run], out="_seen", inclusive=False)
-    records = seen.where(F.col("_seen").isNull() | (F.col(value) > F.col("_seen")))
-    packed = records.groupBy(run).agg(
-        F.array_sort(F.collect_list(F.struct("_pos", F.col(value).alias("v"), F.col(epoch).alias("e")))).alias("_records"),
-        F.max("_n").alias("epochs"),
+    # What was kept before opens the first section.
+    opened = ends.where("_pos is not null").select("run", F.col("_epoch").alias("epoch"), F.col("_value").alias("value"), F.col("_pos").alias("pos"), F.lit(True).alias("sure"))
+    marked = kept.unionByName(opened).withColumn("_start", F.when(F.col("sure"), F.col("pos")))
+    sectioned = scanned(marked, ["pos"], groups=["run"], maxima={"section": ("_start", True), "_last": ("_start", False)})
+    sections = pin(_folded_sections(sectioned, patience, margin))
+    before = sections.select("run", F.col("section").alias("_last"), *(F.col(f"last_{c}").alias(f"_{c}") for c in ("pos", "epoch", "value")))
+    # A section is reached too late if patience ran out behind the one before it.
+    joined = sections.join(before, ["run", "_last"], "left").join(opened.select("run", F.col("pos").alias("_opened")), "run", "left")
+    earlier = F.coalesce("_pos", F.lit(0).cast("long"))
+    late = (F.col("section") - earlier > patience) & ~F.col("section").eqNullSafe(F.col("_opened"))
+    stop = F.when(late, F.struct(earlier.alias("_pos"), "_epoch", "_value")).when(
+        F.col("stopped"), F.struct(F.col("last_pos").alias("_pos"), F.col("last_epoch").alias("_epoch"), F.col("last_value").alias("_value"))
     )
-    start = F.struct(
-        F.lit(float("-inf")).alias("best"),
-        F.lit(0).cast("bigint").alias("pos"),
-        F.element_at("_records", 1)["e"].alias("e"),
-        F.lit(False).alias("stopped"),
+    last = F.struct(F.col("last_pos").alias("_pos"), F.col("last_epoch").alias("_epoch"), F.col("last_value").alias("_value"))
+    # The first stop counts; its position is the least, as kept positions only grow.
+    found = joined.groupBy("run").agg(F.coalesce(F.min(stop), F.max(last)).alias("_kept"))
+    result = ends.select("run", "epochs").join(found, "run", "left")
+    position = F.coalesce(F.col("_kept._pos"), F.lit(0).cast("long"))
+    fresh = result.select(
+        F.col("run").alias(run),
+        F.col("_kept._epoch").alias("best_epoch"),
+        F.coalesce(F.col("_kept._value"), F.lit(float("-inf"))).alias("best_value"),
+        position.alias("best_position"),
+        F.least("epochs", position + patience).alias("epochs_run"),
+        (F.col("epochs") - position >= patience).alias("stopped_early"),
     )
+    if state is None:
+        return fresh
+    rest = state.join(fresh.select(run), run, "left_anti").select(*fresh.columns)
+    return fresh.unionByName(rest)
 
-    def step(state: Column, record: Column) -> Column:
-        stopped = state["stopped"] | ((state["pos"] > 0) & (record["_pos"] - state["pos"] > patience))
-        better = ~stopped & (record["v"] > state["best"] + margin)
-        return F.struct(
-            F.when(better, record["v"]).otherwise(state["best"]).alias("best"),
-            F.when(better, record["_pos"]).otherwise(state["pos"]).alias("pos"),
-            F.when(better, record["e"]).otherwise(state["e"]).alias("e"),
-            stopped.alias("stopped"),
-        )
-
-    folded = packed.withColumn("_s", F.aggregate("_records", start, step))
-    ended = F.least(F.col("epochs"), F.col("_s.pos") + patience)
-    return folded.select(
-        run,
-        F.col("_s.e").alias("best_epoch"),
-        F.col("_s.best").alias("best_value"),
-        F.col("_s.pos").alias("best_position"),
-        ended.alias("epochs_run"),
-        (F.col("epochs") - F.col("_s.pos") >= patience).alias("stopped_early"),
-    )
+
+def _folded_sections(records: DataFrame, patience: int, margin: float) -> DataFrame:
+    """One row per section: what is kept at its end, and whether patience ran out inside.
+
+    Sections stream through their task in order with a few numbers of state each.
+    """
+    epoch_type = records.schema["epoch"].dataType.simpleString()
+    run_type = records.schema["run"].dataType.simpleString()
+    names = ["run", "section", "_last", "last_pos", "last_epoch", "last_value", "stopped"]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current: tuple | None = None
+        out: list[tuple] = []
+
+        def packed() -> pa.RecordBatch:
+            kinds = [schema.field(c).type for c in ("run", "section", "_last", "pos", "epoch", "value")]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(zip(*out, strict=True), [*kinds, pa.bool_()], strict=True)], names=names
+            )
+
+        for batch in batches:
+            schema = batch.schema
+            columns = (batch.column(c).to_pylist() for c in ("run", "section", "_last", "pos", "epoch", "value"))
+            for run, section, last, pos, epoch, value in zip(*columns, strict=True):
+                if current is None or current[:2] != (run, section):
+                    if current is not None:
+                        out.append(current)
+                    current = run, section, last, pos, epoch, value, False
+                elif not current[6]:
+                    if pos - current[3] > patience:
+                        current = (*current[:6], True)
+                    elif value > current[5] + margin:
+                        current = run, section, current[2], pos, epoch, value, False
+            if out:
+                yield packed()
+                out = []
+        if current is not None:
+            out.append(current)
+            yield packed()
+
+    dealt = records.select("run", "section", "_last", "pos", "epoch", "value").repartition("run", "section").sortWithinPartitions("run", "section", "pos")
+    return dealt.mapInArrow(fold, f"run {run_type}, section long, _last long, last_pos long, last_epoch {epoch_type}, last_value double, stopped boolean")
 
 
 def largest_image(manifest: DataFrame, id_column: str = "image_id") -> DataFrame:

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 Scorer = Callable[[pd.DataFrame], pd.DataFrame]
 
 
+#: Takes a whole tile, an array (size, size) or (size, size, channels), and returns probabilities (size, size).
+TileScorer = Callable[[np.ndarray], np.ndarray]
+
+
 def score(df: DataFrame, scorer: Scorer, schema: str) -> DataFrame:
     """Apply ``scorer`` to Arrow batches and record a status per row.
 
@@ -49,3 +54,75 @@ def score(df: DataFrame, scorer: Scorer, schema: str) -> DataFrame:
             yield out
 
     return df.mapInPandas(run, output)
+
+
+def packed_tiles(cells: DataFrame, values: Sequence[str]) -> DataFrame:
+    """One row per tile: (image_id, tile_id, y0, x0, valid_height, valid_width, and an array for each value).
+
+    ``cells`` has all cells of every tile, as ``tiling.tile_pixels`` makes them; an array holds
+    them row by row, so a tile is as large as its model's input and never more.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct("tile_y", "tile_x", *values)))
+    inside = F.col("valid")
+    packed = cells.groupBy("image_id", "tile_id").agg(
+        F.min("y").alias("y0"),
+        F.min("x").alias("x0"),
+        F.max(F.when(inside, F.col("tile_y") + 1)).alias("valid_height"),
+        F.max(F.when(inside, F.col("tile_x") + 1)).alias("valid_width"),
+        ordered.alias("_cells"),
+    )
+    arrays = [F.col("_cells").getField(v).cast("array<double>").alias(f"_{v}") for v in values]
+    return packed.select("image_id", "tile_id", "y0", "x0", "valid_height", "valid_width", *arrays)
+
+
+def score_tiles(cells: DataFrame, scorer: TileScorer, tile_size: int, values: Sequence[str] = ("value",)) -> DataFrame:
+    """Apply ``scorer`` to whole tiles and give back their cells inside the image with ``prob``.
+
+    Returns (image_id, tile_id, y, x, tile_y, tile_x, prob, status, error_type, error_message).
+    A tile whose scorer fails, or does not return one number for each cell, is one row with
+    status "error" and no cell. Tiles are packed first, so a scorer sees all cells of its
+    tile however Spark cuts its batches.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            probabilities, errors = [], []
+            for arrays in zip(*(batch[f"_{v}"] for v in values), strict=True):
+                planes = [np.asarray(a, float).reshape(tile_size, tile_size) for a in arrays]
+                try:
+                    found = np.asarray(scorer(planes[0] if len(planes) == 1 else np.stack(planes, axis=-1)), float)
+                    if found.shape != (tile_size, tile_size):
+                        raise ValueError(f"scorer returned shape {found.shape}")
+                    probabilities.append(found.ravel())
+                    errors.append(None)
+                except Exception as error:
+                    probabilities.append(None)
+                    errors.append(error)
+            out = batch.drop(columns=[f"_{v}" for v in values])
+            out["_prob"] = probabilities
+            out["status"] = ["ok" if e is None else "error" for e in errors]
+            out["error_type"] = [None if e is None else type(e).__name__ for e in errors]
+            out["error_message"] = [None if e is None else str(e) for e in errors]
+            yield out
+
+    tiles = packed_tiles(cells, values)
+    kinds = dict(tiles.dtypes)
+    named = ", ".join(f"{c} {kinds[c]}" for c in ("image_id", "tile_id", "y0", "x0", "valid_height", "valid_width"))
+    scored = tiles.mapInPandas(run, f"{named}, _prob array<double>, status string, error_type string, error_message string")
+    place = F.col("_place")
+    opened = scored.select("*", F.posexplode_outer("_prob").alias("_place", "prob")).withColumns(
+        {"tile_y": F.floor(place / tile_size).cast("int"), "tile_x": (place % tile_size).cast("int")}
+    )
+    inside = (F.col("tile_y") < F.col("valid_height")) & (F.col("tile_x") < F.col("valid_width"))
+    return opened.where(inside | (F.col("status") == "error")).select(
+        "image_id",
+        "tile_id",
+        (F.col("y0") + F.col("tile_y")).cast("int").alias("y"),
+        (F.col("x0") + F.col("tile_x")).cast("int").alias("x"),
+        "tile_y",
+        "tile_x",
+        "prob",
+        "status",
+        "error_type",
+        "error_message",
+    )

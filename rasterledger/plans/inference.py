@@ -10,26 +10,23 @@ from rasterledger.operators import components, scoring, tiling
 def tiled_inference(
     pixels: DataFrame,
     images: DataFrame,
-    scorer: scoring.Scorer,
+    scorer: scoring.TileScorer,
     *,
     tile_size: int,
     overlap: int,
     threshold: float,
     value: str = "value",
 ) -> tuple[DataFrame, DataFrame]:
-    """Score tile pixels and stitch them; returns (stitched pixels, failed rows).
+    """Score whole tiles and stitch them; returns (stitched pixels, failed tiles).
 
-    The scorer sees every pixel column of a tile and adds ``prob``. Images that
-    fit into one tile get a single window of weight one everywhere it matters.
+    The scorer sees one tile at a time, padded to its full size, and returns a probability
+    for each cell. Images that fit into one tile get a single window of weight one
+    everywhere it matters. The cells of a failed tile come from the tiles that overlap it.
     """
     cells = tiling.tile_pixels(pixels, images, tile_size=tile_size, overlap=overlap, value=value)
-    kept = ("image_id", "tile_id", "y", "x", "tile_y", "tile_x", "valid")
-    kinds = dict(cells.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in kept) + ", prob double"
-    scored = scoring.score(cells, scorer, schema)
-    ok = scored.where("status = 'ok' and valid")
-    stitched = tiling.stitch_and_threshold(ok, tile_size, threshold)
-    failed = scored.where("status <> 'ok'").select("image_id", "tile_id", "y", "x", "error_type", "error_message")
+    scored = scoring.score_tiles(cells, scorer, tile_size, [value])
+    stitched = tiling.stitch_and_threshold(scored.where("status = 'ok'"), tile_size, threshold)
+    failed = scored.where("status <> 'ok'").select("image_id", "tile_id", "error_type", "error_message")
     return stitched, failed
 
 

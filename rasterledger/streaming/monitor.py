@@ -2,67 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
-from typing import Any
+from collections.abc import Callable, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.utils import AnalysisException
 
-from rasterledger.operators.ranking import IMPROVEMENT_MARGIN
-
-_STATE = "best double, best_epoch bigint, best_position bigint, epochs bigint, stopped boolean"
-
-
-def _monitor(patience: int, margin: float) -> Callable[..., Iterator[pd.DataFrame]]:
-    def update(key: Any, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best, best_epoch, position, epochs, stopped = (
-            state.get if state.exists else (float("-inf"), -1, 0, 0, False)
-        )
-        rows = pd.concat(list(batches)).sort_values("epoch")
-        for epoch, value in zip(rows["epoch"], rows["value"]):
-            if stopped:
-                break
-            epochs += 1
-            if value > best + margin:
-                best, best_epoch, position = float(value), int(epoch), epochs
-            stopped = epochs - position >= patience
-        state.update((best, best_epoch, position, epochs, stopped))
-        yield pd.DataFrame(
-            {
-                "run": [key[0]],
-                "best_epoch": [best_epoch],
-                "best_value": [best],
-                "best_position": [position],
-                "epochs_run": [epochs],
-                "stopped_early": [stopped],
-            }
-        )
-
-    return update
-
-
-def early_stopping_stream(
-    log: DataFrame, patience: int, *, run_type: str = "bigint", margin: float = IMPROVEMENT_MARGIN
-) -> DataFrame:
-    """Best epoch and stop flag per run, updated with every batch of (run, epoch, value).
-
-    State is five numbers per run. Rows of one run are ordered by epoch inside a
-    batch; epochs of a run have to arrive in order across batches.
-    """
-    output = (
-        f"run {run_type}, best_epoch bigint, best_value double, best_position bigint, "
-        "epochs_run bigint, stopped_early boolean"
-    )
-    return (
-        log.select("run", F.col("epoch").cast("bigint").alias("epoch"), F.col("value").cast("double").alias("value"))
-        .groupBy("run")
-        .applyInPandasWithState(
-            _monitor(patience, margin), output, _STATE, "update", GroupStateTimeout.NoTimeout
-        )
-    )
-
+from rasterledger.operators.ranking import IMPROVEMENT_MARGIN, early_stopping
 
 def _stored(batch: DataFrame, path: str) -> DataFrame | None:
     try:
@@ -73,6 +18,34 @@ def _stored(batch: DataFrame, path: str) -> DataFrame | None:
         return None
 
 
+def keep_early_stopping(
+    path: str, patience: int, *, margin: float = IMPROVEMENT_MARGIN
+) -> Callable[[DataFrame, int], None]:
+    """foreachBatch writer: best epoch and stop flag per run after every batch of (run, epoch, value).
+
+    Each batch is folded by ``ranking.early_stopping`` onto the results of the batch before it,
+    which are five numbers per run, and stores the results of all runs in a folder of its
+    own; a batch that is replayed overwrites itself. A large batch of one run spreads over
+    tasks. Rows of a run may come in any order inside a batch; epochs have to arrive in
+    order across batches.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        before = _stored(batch, f"{path}/batch={batch_id - 1}") if batch_id else None
+        rows = batch.select("run", F.col("epoch").cast("bigint").alias("epoch"), "value")
+        after = early_stopping(rows, "run", "epoch", "value", patience, margin, before)
+        after.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return write
+
+
+def latest_results(spark: SparkSession, path: str) -> DataFrame:
+    """Results after the last batch that ``keep_early_stopping`` stored."""
+    stored = spark.read.parquet(path)
+    last = stored.agg(F.max("batch")).first()[0]
+    return stored.where(F.col("batch") == last).drop("batch")
+
+
 def append_new_results(path: str, keys: Sequence[str], order: str) -> Callable[[DataFrame, int], None]:
     """foreachBatch writer: append rows whose key is not stored, the first by ``order``.
 

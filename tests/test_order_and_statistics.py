@@ -157,6 +157,9 @@ def test_early_stopping_equals_the_loop(spark):
     runs = {f"r{i}": rng.random(int(rng.integers(1, 15))).round(1) for i in range(25)}
     runs["flat"] = np.full(6, 0.5)
     runs["creep"] = 0.5 + np.arange(8) * 6e-9  # gains below the margin add up
+    runs["slow"] = 0.5 + np.arange(30) * 2e-9
+    runs["steps"] = np.repeat(np.arange(6) * 0.1, [1, 2, 3, 4, 5, 6])
+    runs["late"] = np.r_[0.5, 0.1, 0.1, 0.1, 0.9]
     rows = [(k, e, float(v)) for k, values in runs.items() for e, v in enumerate(values)]
     history = spark.createDataFrame(rows, "run string, epoch bigint, v double")
     for r in ranking.early_stopping(history, "run", "epoch", "v", 3).collect():
@@ -165,6 +168,27 @@ def test_early_stopping_equals_the_loop(spark):
         assert r["best_value"] == best and r["best_epoch"] == pos - 1
 
 
+def test_early_stopping_goes_on_from_earlier_results(spark):
+    rng = np.random.default_rng(4)
+    runs = {f"r{i}": rng.random(24).round(1) + 3e-9 * np.arange(24) for i in range(12)}
+    schema = "run string, epoch bigint, v double"
+    state = None
+    for part in range(4):
+        rows = [(k, e, float(v)) for k, values in runs.items() for e, v in list(enumerate(values))[part * 6 : part * 6 + 6] if part < 3 or k != "r5"]
+        state = ranking.early_stopping(spark.createDataFrame(rows, schema), "run", "epoch", "v", 4, state=state)
+    found = {r["run"]: (r["best_value"], r["best_position"], r["epochs_run"], r["stopped_early"]) for r in state.collect()}
+    assert found == {k: early_stop(values[: 18 if k == "r5" else 24], 4) for k, values in runs.items()}
+
+
+def test_a_long_rising_run_needs_no_array(spark):
+    """Every epoch improves: each is a section of its own, and one run spreads over tasks."""
+    history = spark.range(300_000).selectExpr("'a' as run", "id as epoch", "id / 1000.0d as v").unionByName(
+        spark.range(5).selectExpr("'a' as run", "300000 + id as epoch", "0.0d as v")
+    )
+    row = ranking.early_stopping(history, "run", "epoch", "v", 3).first()
+    assert (row["best_epoch"], row["best_position"], row["epochs_run"], row["stopped_early"]) == (299_999, 300_000, 300_003, True)
+
+
 def test_unique_configurations(spark):
     rows = [(0, 0.9, "COMPLETE", {"a": "1"}), (1, 0.9, "COMPLETE", {"a": "1"}), (2, 0.8, "COMPLETE", {"a": "2"}), (3, 0.99, "FAIL", {"a": "3"}), (4, 0.7, "COMPLETE", {"a": "0"})]
     trials = spark.createDataFrame(rows, "number bigint, value double, state string, params map<string,string>")

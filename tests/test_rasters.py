@@ -11,7 +11,7 @@ from helpers import (
     mask_frame,
     to_mask,
 )
-from rasterledger.operators import components, raster, tiling
+from rasterledger.operators import components, raster, scoring, tiling
 from rasterledger.plans.inference import postprocess, tiled_inference
 
 
@@ -302,11 +302,48 @@ def test_tiled_inference_routes_failures(spark):
     )
     images = spark.createDataFrame([("a", 20, 20)], "image_id string, height int, width int")
 
-    def scorer(pdf):
-        if ((pdf["y"] == 0) & (pdf["x"] == 0)).any():
-            raise ValueError("bad cell")
-        return pdf.assign(prob=0.75)
+    def scorer(tile):
+        if tile.min() > 0:  # only the first tile lies inside the image as a whole
+            raise ValueError("bad tile")
+        return np.full(tile.shape, 0.75)
 
     stitched, failed = tiled_inference(pixels, images, scorer, tile_size=16, overlap=4, threshold=0.5)
-    assert stitched.count() == 399 and stitched.where("mask = 0").isEmpty()
-    assert failed.count() == 1 and failed.first()["error_type"] == "ValueError"
+    assert [r["error_type"] for r in failed.collect()] == ["ValueError"]
+    tiles = scoring.score_tiles(tiling.tile_pixels(pixels, images, tile_size=16, overlap=4), scorer, 16)
+    expected = {(r["y"], r["x"]) for r in tiles.where("status = 'ok'").collect()}
+    assert {(r["y"], r["x"]) for r in stitched.collect()} == expected and len(expected) < 400
+    short = scoring.score_tiles(tiling.tile_pixels(pixels, images, tile_size=16, overlap=4), lambda tile: tile[:3], 16)
+    assert {r["status"] for r in short.collect()} == {"error"}
+
+
+@pytest.mark.parametrize("rows_per_batch", ["3", "10000"])
+def test_a_scorer_sees_whole_tiles(spark, rows_per_batch):
+    """Brightness against the tile's mean: wrong if a tile is cut by a batch or seen in part."""
+    rng = np.random.default_rng(9)
+    image = rng.random((37, 29))
+    pixels = spark.createDataFrame([("a", int(y), int(x), float(v)) for (y, x), v in np.ndenumerate(image)], "image_id string, y int, x int, value double").repartition(5)
+    images = spark.createDataFrame([("a", 37, 29)], "image_id string, height int, width int")
+    changed = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows_per_batch, "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in changed}
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        stitched, failed = tiled_inference(pixels, images, lambda tile: tile - tile.mean(), tile_size=13, overlap=5, threshold=0.0)
+        found = {(r["y"], r["x"]): r["prob"] for r in stitched.collect()}
+        assert failed.isEmpty()
+        grid = tiling.tile_grid(images, tile_size=13, overlap=5).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    total, weights = np.zeros((37, 29)), np.zeros((37, 29))
+    ramp = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(13) / 12)
+    weight = np.maximum(np.outer(ramp, ramp), tiling.MINIMUM_WEIGHT)
+    for t in grid:
+        y, x, h, w = t["row_offset"], t["column_offset"], t["valid_height"], t["valid_width"]
+        tile = np.zeros((13, 13))
+        tile[:h, :w] = image[y : y + h, x : x + w]
+        total[y : y + h, x : x + w] += ((tile - tile.mean()) * weight)[:h, :w]
+        weights[y : y + h, x : x + w] += weight[:h, :w]
+    expected = total / weights
+    assert len(found) == expected.size
+    assert all(v == pytest.approx(expected[p]) for p, v in found.items())

@@ -160,15 +160,19 @@ def test_monitor_keeps_state_across_batches(spark, tmp_path):
     schema = "run bigint, epoch bigint, value double"
     log = f"{tmp_path}/log"
     os.makedirs(log)
-    stream = monitor.early_stopping_stream(spark.readStream.schema(schema).parquet(log), 2)
-    parts = [[(1, 0, 0.5), (1, 1, 0.7), (2, 0, 0.1)], [(1, 2, 0.6), (2, 1, 0.2)], [(1, 3, 0.6), (1, 4, 0.9)]]
+    stream = spark.readStream.schema(schema).parquet(log)
+    writer = monitor.keep_early_stopping(f"{tmp_path}/out", 2)
+    parts = [[(1, 1, 0.7), (1, 0, 0.5), (2, 0, 0.1), (3, 0, None)], [(1, 2, 0.6), (2, 1, 0.2)], [(1, 4, 0.9), (1, 3, 0.6), (3, 1, None)]]
     for part in parts:
         spark.createDataFrame(part, schema).write.mode("append").parquet(log)
-        run(stream, tmp_path, "update")
-    rows = spark.read.parquet(f"{tmp_path}/out")
-    last = {r["run"]: r for r in rows.groupBy("run").agg(F.max_by(F.struct("*"), "batch").alias("r")).select("r.*").collect()}
+        monitor.run_available(stream, writer, f"{tmp_path}/state", "append")
+    last = {r["run"]: r for r in monitor.latest_results(spark, f"{tmp_path}/out").collect()}
     assert (last[1]["best_epoch"], last[1]["epochs_run"], last[1]["stopped_early"]) == (1, 4, True)
     assert (last[2]["best_value"], last[2]["stopped_early"]) == (0.2, False)
+    assert (last[3]["best_position"], last[3]["epochs_run"], last[3]["stopped_early"]) == (0, 2, True)
+    before = sorted(map(tuple, last.values()))
+    writer(spark.createDataFrame(parts[2], schema), 2)  # a replay
+    assert sorted(map(tuple, monitor.latest_results(spark, f"{tmp_path}/out").collect())) == before
 
 
 def test_replayed_results_are_not_stored_twice(spark, tmp_path):
