@@ -33,12 +33,15 @@ def work_folder(spark) -> str:
 TIE_SHIFT = 1e-9
 
 _LENGTH, _DELAY = "6 hours", "1 hour"
-_WINDOWED = """, w as (select time_bucket(interval '6 hours', ts, timestamp '1970-01-01') as ws, model_version, status, total_ms from reqlog)"""
+_WINDOWED = """, w as (select time_bucket(interval '6 hours', ts, timestamp '1970-01-01') as ws, model_version, status, total_ms, request_id from reqlog)"""
 _START_MS = "epoch_us(ws)::bigint as window_us"
 
 
 def request_stream(spark, sf_dir):
-    events = requests.read_table_stream(spark, sf_dir, "events.parquet")
+    return as_requests(requests.read_table_stream(spark, sf_dir, "events.parquet"))
+
+
+def as_requests(events):
     return events.select(
         F.col("event_id").alias("request_id"),
         F.col("ts").cast("timestamp").alias("ts"),
@@ -185,6 +188,29 @@ def _st7(spark, sf_dir):
     return rows.select(F.unix_micros("window_start").alias("window_us"), "model_version", "requests")
 
 
+@query(
+    "st7_two_drops",
+    with_views(
+        "reqlog",
+        f"""{_WINDOWED}, late as (select (select max(ts) from reqlog where request_id % 4 <> 0) - interval '1 hour' as mark),
+            kept as (select w.* from w, late where request_id % 4 <> 0 or ws + interval '6 hours' > mark)
+            select {_START_MS}, model_version, count(*) as requests from kept
+            where ws + interval '6 hours' <= (select max(ts) from reqlog) - interval '1 hour' group by ws, model_version""",
+    ),
+)
+def _st7_drops(spark, sf_dir):
+    # A quarter of the log is delivered in a second drop, when most of its windows are closed.
+    folder = work_folder(spark)
+    events = table(spark, sf_dir, "events")
+    for drop in (F.col("event_id") % 4 != 0, F.col("event_id") % 4 == 0):
+        events.where(drop).write.mode("append").parquet(f"{folder}/log")
+        stream = as_requests(spark.readStream.schema(events.schema).parquet(f"{folder}/log"))
+        summary = requests.window_summary(stream, length=_LENGTH, delay=_DELAY)
+        monitor.run_available(summary, monitor.append_to(f"{folder}/out"), f"{folder}/state", "append")
+    rows = spark.read.parquet(f"{folder}/out")
+    return rows.select(F.unix_micros("window_start").alias("window_us"), "model_version", "requests")
+
+
 # --- sinks --------------------------------------------------------------------
 
 

@@ -20,7 +20,7 @@ from rasterledger.functions.hashing import (
     sha256_text,
     stable_hash32,
 )
-from rasterledger.operators import binning, fingerprints, leakage, pairing, splitting, validation
+from rasterledger.operators import binning, checks, fingerprints, leakage, pairing, splitting, validation
 from rasterledger.operators.checks import duplicates
 from rasterledger.session import pin
 from rasterledger.sources import files, sinks
@@ -214,6 +214,26 @@ def _h3(spark, sf_dir):
     return rows.withColumn("digest", sha256_text(F.col("payload")))
 
 
+_H3_NESTED = """'{"counts":{"' || lang || '":' || n_chars || '},"meta":{"lang":"' || lang || '","source":"' || source
+  || '"},"missing":null,"n_chars":' || n_chars || ',"parts":[1,' || (n_chars % 7) || ']}'"""
+
+
+@query("h3_nested_json", f"select doc_id, {_H3_NESTED} as payload, sha256({_H3_NESTED}) as digest from documents")
+def _h3_nested(spark, sf_dir):
+    rows = documents(spark, sf_dir).select(
+        "doc_id",
+        F.struct(
+            "n_chars",
+            F.struct("source", "lang").alias("meta"),
+            F.array(F.lit(1).cast("bigint"), F.col("n_chars") % 7).alias("parts"),
+            F.create_map("lang", "n_chars").alias("counts"),
+            F.lit(None).cast("string").alias("missing"),
+        ).alias("settings"),
+    )
+    payload = canonical_json(F.col("settings"), rows.schema["settings"].dataType)
+    return rows.select("doc_id", payload.alias("payload")).withColumn("digest", sha256_text(F.col("payload")))
+
+
 @query("h4_table_digest", with_views("manifest", f"{DIGEST_SQL} select digest, rows from digest"))
 def _h4(spark, sf_dir):
     return fingerprints.table_digest(manifest(spark, sf_dir), ["image_id", "split", "lang", "digest"])
@@ -282,6 +302,23 @@ def _h8(spark, sf_dir):
     return fingerprints.study_fingerprint(settings, {"manifest_sha256": rows})
 
 
+@query(
+    "h8_typed_fingerprint",
+    with_views(
+        "manifest",
+        f"""{DIGEST_SQL}, p as (select '{{"image_size":512,"manifest_sha256":"' || (select digest from digest)
+              || '","optimizer":{{"rate":0.25,"schedule":[1,2,3]}},"study":"base"}}' as payload)
+            select payload, sha256(payload) as fingerprint from p""",
+    ),
+)
+def _h8_typed(spark, sf_dir):
+    settings = spark.createDataFrame(
+        [("base", ([1, 2, 3], 0.25), 512)], "study string, optimizer struct<schedule: array<int>, rate: double>, image_size int"
+    )
+    rows = manifest(spark, sf_dir).select("image_id", "split", "lang", "digest")
+    return fingerprints.typed_study_fingerprint(settings, {"manifest_sha256": rows}).select("payload", "fingerprint")
+
+
 @query(
     "h9_digest_audit",
     """select doc_id as artefact, found is not null as present, coalesce(length(found) = 64, false) as well_formed,
@@ -516,6 +553,35 @@ def _j1(spark, sf_dir):
     return pairing.strict_pairs(images, masks)
 
 
+@query(
+    "j1_pairing_verdicts",
+    """with i as (select doc_id as image_id, count(*) as n from documents group by 1),
+         k as (select case when quality = 0 then -doc_id else doc_id end as image_id, toxic from labels),
+         m as (select image_id, sum(1 + toxic)::bigint as n from k group by 1),
+         c as (select image_id, coalesce(i.n, 0) as images, coalesce(m.n, 0) as masks from i full join m using (image_id))
+       select *, case when images > 1 or masks > 1 then 'ambiguous' when masks = 0 then 'image alone'
+         when images = 0 then 'mask alone' else 'paired' end as verdict from c""",
+)
+def _j1_verdicts(spark, sf_dir):
+    # Masks of rejected records carry another key, toxic ones are listed twice.
+    labels = table(spark, sf_dir, "labels")
+    key = F.when(F.col("quality") == 0, -F.col("doc_id")).otherwise(F.col("doc_id")).alias("image_id")
+    masks = labels.select(key, F.explode(F.sequence(F.lit(0), F.col("toxic").cast("int"))).alias("copy"))
+    return pairing.pairing_verdicts(documents(spark, sf_dir).select(F.col("doc_id").alias("image_id")), masks)
+
+
+@query(
+    "f1_schema_contract",
+    """select 'doc_id' as "column", 'bigint' as expected, 'bigint' as found, true as holds, count(*) as rows, count(*) filter (doc_id is null) as missing_values from documents
+       union all select 'text', 'string', 'string', true, count(*), count(*) filter (text is null) from documents
+       union all select 'n_chars', 'int', 'bigint', false, count(*), count(*) filter (n_chars is null) from documents
+       union all select 'license', 'string', null, false, count(*), count(*) from documents""",
+)
+def _f1(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return checks.schema_contract(docs, {"doc_id": "bigint", "text": "string", "n_chars": "int", "license": "string"})
+
+
 @query(
     "j1_pairing_report",
     """select count(*) filter (l.doc_id is not null and d.doc_id is not null) as paired,
@@ -726,10 +792,12 @@ def _d5_images(spark, sf_dir):
 @query(
     "d6_audit_metadata",
     f"""{_GROUPS}, c as (select split, count(*) as n from dochash group by split),
-        e as (select sum(a.n * b.n)::bigint as pairs from c a join c b on a.split < b.split)
-        select e.pairs as comparisons_evaluated, e.pairs as expected_cross_split_pairs,
+        e as (select sum(a.n * b.n)::bigint as pairs from c a join c b on a.split < b.split),
+        byhash as (select bits, split, count(*) as n from dochash group by bits, split),
+        compared as (select sum(a.n * b.n)::bigint as pairs from byhash a join byhash b on a.split < b.split and bit_count(xor(a.bits, b.bits)) >= 0)
+        select compared.pairs as comparisons_evaluated, e.pairs as expected_cross_split_pairs,
           (select coalesce(sum(left_images * right_images), 0)::bigint from pairs) as suspected_pairs,
-          true as audit_complete, 4::int as hamming_threshold from e""",
+          compared.pairs = e.pairs as audit_complete, 4::int as hamming_threshold from e, compared""",
 )
 def _d6(spark, sf_dir):
     hashed = pin(dochash(spark, sf_dir))

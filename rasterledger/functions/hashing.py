@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 TWO_POW_32 = 4294967296.0
 
@@ -24,9 +25,30 @@ def uniform01(value: Column, seed: int | Column = 0) -> Column:
     return stable_hash32(value, seed).cast("double") / F.lit(TWO_POW_32)
 
 
-def canonical_json(pairs: Column) -> Column:
-    """JSON text of a map with its keys in ascending order and no spaces."""
-    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(pairs))))
+def _sorted_value(value: Column, kind: DataType) -> Column:
+    """The value with the fields of its structs and the keys of its maps in ascending order, at every depth."""
+    if isinstance(kind, StructType):
+        fields = [_sorted_value(value.getField(f.name), f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda item: _sorted_value(item, kind.elementType))
+    if isinstance(kind, MapType):
+        if not isinstance(kind.keyType, StringType):
+            raise TypeError("keys of JSON objects are strings")
+        keys = F.array_sort(F.map_keys(value))
+        return F.map_from_arrays(keys, F.transform(keys, lambda key: _sorted_value(value[key], kind.valueType)))
+    return value
+
+
+def canonical_json(value: Column, kind: DataType | None = None) -> Column:
+    """JSON text with the keys of all objects in ascending order and no spaces.
+
+    ``kind`` is the type of the value: structs, maps with string keys and arrays at any
+    depth; the default is a flat map of strings. Types stay apart, so 512 is not "512", and
+    fields without a value are written as null. A missing value gives null.
+    """
+    kind = kind or MapType(StringType(), StringType())
+    return F.to_json(_sorted_value(value, kind), {"ignoreNullFields": "false"})
 
 
 def hex_to_long(hex16: Column) -> Column:

@@ -14,6 +14,26 @@ def require_columns(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     return df
 
 
+def schema_contract(df: DataFrame, expected: dict[str, str]) -> DataFrame:
+    """One row per expected column: (column, expected, found, holds, rows, missing_values).
+
+    ``found`` is null for a column that is not there. One pass counts the values.
+    """
+    kinds = dict(df.dtypes)
+    counted = df.agg(F.count(F.lit(1)).alias("rows"), *(F.count_if(F.col(c).isNull()).alias(f"_{c}") for c in expected if c in kinds))
+    parts = [
+        F.struct(
+            F.lit(name).alias("column"),
+            F.lit(kind).alias("expected"),
+            F.lit(kinds.get(name)).cast("string").alias("found"),
+            F.lit(kinds.get(name) == kind).alias("holds"),
+            (F.col(f"_{name}") if name in kinds else F.col("rows")).alias("missing_values"),
+        )
+        for name, kind in expected.items()
+    ]
+    return counted.select("rows", F.inline(F.array(*parts))).select("column", "expected", "found", "holds", "rows", "missing_values")
+
+
 def examples(df: DataFrame, column: str, limit: int = 20) -> list:
     """At most ``limit`` values for an error message, smallest first."""
     return [row[0] for row in df.select(column).orderBy(column).limit(limit).collect()]

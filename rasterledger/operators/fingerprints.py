@@ -102,6 +102,21 @@ def study_fingerprint(settings: DataFrame, digests: dict[str, DataFrame]) -> Dat
     return parts.agg(payload.alias("payload")).withColumn("fingerprint", F.sha2("payload", 256))
 
 
+def typed_study_fingerprint(settings: DataFrame, digests: dict[str, DataFrame]) -> DataFrame:
+    """SHA-256 of the canonical JSON of typed, nested settings and the digests of the study's tables.
+
+    ``settings`` has a column for each setting and a row for each study; numbers, texts, lists
+    and nested objects keep their types in the payload.
+    """
+    whole = settings.withColumn("_one", F.lit(1))
+    for name, frame in digests.items():
+        whole = whole.join(table_digest(frame).select(F.col("digest").alias(name), F.lit(1).alias("_one")), "_one")  # one row
+    whole = whole.drop("_one")
+    payload = canonical_json(F.struct(*whole.columns), whole.schema)
+    done = whole.withColumn("payload", payload).withColumn("fingerprint", F.sha2("payload", 256))
+    return done.select(*settings.columns, "payload", "fingerprint")
+
+
 def fingerprint_mismatches(current: DataFrame, stored: DataFrame) -> DataFrame:
     """Stored studies whose fingerprint differs from the current one."""
     return (

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 from math import comb
 
@@ -137,13 +138,17 @@ def close_hashes(
     agreeing: int | None = None,
     bucket_limit: int = 2000,
     refinements: int = 2,
+    settled: list[DataFrame] | None = None,
 ) -> DataFrame:
     """All pairs left < right of distinct hashes within ``distance`` bits. Exact.
 
     Hashes that meet in an over-full bucket are not compared there. They go on
     to a round with more, narrower bands, where the same pair is found in a
     smaller bucket. Both members of such a pair are in the next round, so no
-    pair is lost; the last round takes every bucket.
+    pair is lost; the last round takes every bucket. A bucket that is still over-full
+    there is cut into slabs, and every pair of slabs is a work item of its own.
+
+    ``settled`` receives for each round the hashes whose buckets were all compared in it.
     """
     pool = hashes.select(F.col(bits).alias("bits")).distinct()
     level = agreeing or agreeing_bands(pool.count(), distance)
@@ -159,20 +164,10 @@ def close_hashes(
         )
         sizes = keyed.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("_size"))
         usable = sizes.where("_size > 1" if last else f"_size between 2 and {bucket_limit}")
-        members = keyed.join(usable.select("choice", "key"), ["choice", "key"], "left_semi")
-        left, right = members.alias("l"), members.alias("r")
-        gap = hamming_distance(F.col("l.bits"), F.col("r.bits"))
-        pairs = left.join(
-            right,
-            (F.col("l.choice") == F.col("r.choice"))
-            & (F.col("l.key") == F.col("r.key"))
-            & (F.col("l.bits") < F.col("r.bits"))
-            & (gap <= distance),
-        ).select(
-            F.col("l.bits").alias("left_bits"),
-            F.col("r.bits").alias("right_bits"),
-            gap.alias("hamming_distance"),
-        )
+        pairs = _bucket_pairs(keyed.join(usable, ["choice", "key"]), distance, bucket_limit)
+        if settled is not None:
+            done = F.bool_and(F.lit(last) | (F.col("_size") <= bucket_limit))
+            settled.append(keyed.join(sizes, ["choice", "key"]).groupBy("bits").agg(done.alias("_done")).where("_done").select("bits"))
         found = pairs if found is None else found.unionByName(pairs)
         crowded = sizes.where(f"_size > {bucket_limit}").select("choice", "key")
         if last or crowded.isEmpty():
@@ -182,6 +177,26 @@ def close_hashes(
     return found.distinct()
 
 
+def _bucket_pairs(members: DataFrame, distance: int, bucket_limit: int) -> DataFrame:
+    """Close pairs inside buckets of members (bits, choice, key, _size).
+
+    A bucket has one slab for every ``bucket_limit`` members. A member of slab i meets
+    slab j in the work item (choice, key, i, j), i <= j, so no task compares more than two slabs.
+    """
+    slabs = F.ceil(F.col("_size") / bucket_limit).cast("int")
+    slabbed = members.withColumn("_slabs", slabs).withColumn("_slab", F.pmod(F.xxhash64("bits"), F.col("_slabs")).cast("int"))
+    low = slabbed.select("choice", "key", "bits", F.col("_slab").alias("i"), F.explode(F.sequence("_slab", F.col("_slabs") - 1)).alias("j"))
+    high = slabbed.select("choice", "key", "bits", F.explode(F.sequence(F.lit(0), "_slab")).alias("i"), F.col("_slab").alias("j"))
+    left, right = low.alias("l"), high.alias("r")
+    gap = hamming_distance(F.col("l.bits"), F.col("r.bits"))
+    item = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("choice", "key", "i", "j")]
+    once = F.when(F.col("l.i") == F.col("l.j"), F.col("l.bits") < F.col("r.bits")).otherwise(F.col("l.bits") != F.col("r.bits"))
+    met = left.join(right, item[0] & item[1] & item[2] & item[3] & once & (gap <= distance))
+    return met.select(
+        F.least("l.bits", "r.bits").alias("left_bits"), F.greatest("l.bits", "r.bits").alias("right_bits"), gap.alias("hamming_distance")
+    )
+
+
 def _hashed(manifest: DataFrame) -> DataFrame:
     """Rows with a hash, as signed bits; blank hashes are left out."""
     if "bits" in manifest.columns:
@@ -275,22 +290,40 @@ def expand_groups(manifest: DataFrame, groups: DataFrame) -> DataFrame:
     )
 
 
-def audit_metadata(manifest: DataFrame, groups: DataFrame, hamming_threshold: int) -> DataFrame:
-    """Pairs a full comparison has to cover, suspected pairs, completeness."""
-    # As many rows as splits: the expected pairs are the off-diagonal products.
-    counts = _hashed(manifest).groupBy("split").agg(F.count(F.lit(1)).alias("_n"))
-    expected = counts.agg(
-        ((F.pow(F.sum("_n").cast("double"), F.lit(2.0)) - F.sum(F.pow(F.col("_n").cast("double"), F.lit(2.0)))) / 2)
-        .cast("bigint")
-        .alias("expected_cross_split_pairs")
-    ).withColumn("_one", F.lit(1))
+def settled_hashes(manifest: DataFrame, hamming_threshold: int, **tuning) -> DataFrame:
+    """Hashes of which the banding rounds compared every bucket, so all pairs with them are decided."""
+    hashes = pin(_hashed(manifest).select("bits").distinct())
+    if hamming_threshold == 0:
+        return hashes  # equal hashes are grouped, which decides every pair
+    rounds: list[DataFrame] = []
+    close_hashes(hashes, hamming_threshold, settled=rounds, **tuning)
+    return reduce(DataFrame.unionByName, rounds).distinct()
+
+
+def _cross_split_pairs(rows: DataFrame, name: str) -> DataFrame:
+    """Pairs of rows of different splits: half of the square of the sum less the sum of squares."""
+    counts = rows.groupBy("split").agg(F.count(F.lit(1)).cast("decimal(38,0)").alias("_n"))
+    pairs = (F.sum("_n") * F.sum("_n") - F.sum(F.col("_n") * F.col("_n"))) / 2
+    return counts.agg(F.coalesce(pairs, F.lit(0)).cast("bigint").alias(name)).withColumn("_one", F.lit(1))
+
+
+def audit_metadata(manifest: DataFrame, groups: DataFrame, hamming_threshold: int, settled: DataFrame | None = None) -> DataFrame:
+    """Pairs a full comparison has to cover, pairs that were decided, suspected pairs, completeness.
+
+    ``settled`` has the hashes that the comparison has dealt with; the default runs the
+    banding rounds over the manifest for them. Pairs count as evaluated if both hashes are settled.
+    """
+    rows = _hashed(manifest)
+    settled = settled_hashes(manifest, hamming_threshold) if settled is None else settled
+    expected = _cross_split_pairs(rows, "expected_cross_split_pairs")
+    evaluated = _cross_split_pairs(rows.join(settled.select("bits").distinct(), "bits", "left_semi"), "comparisons_evaluated")
     suspected = groups.agg(
         F.coalesce(F.sum("image_pairs"), F.lit(0)).cast("bigint").alias("suspected_pairs")
     ).withColumn("_one", F.lit(1))
-    return expected.join(suspected, "_one").select(
-        F.col("expected_cross_split_pairs").alias("comparisons_evaluated"),
+    return expected.join(evaluated, "_one").join(suspected, "_one").select(
+        "comparisons_evaluated",
         "expected_cross_split_pairs",
         "suspected_pairs",
-        F.lit(True).alias("audit_complete"),
+        (F.col("comparisons_evaluated") == F.col("expected_cross_split_pairs")).alias("audit_complete"),
         F.lit(hamming_threshold).alias("hamming_threshold"),
     )

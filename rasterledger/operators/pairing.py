@@ -55,6 +55,17 @@ def strict_pairs(images: DataFrame, masks: DataFrame, key: str = "image_id") ->
     return images.join(masks, key)
 
 
+def pairing_verdicts(images: DataFrame, masks: DataFrame, key: str = "image_id") -> DataFrame:
+    """(key, images, masks, verdict) for every key of two listings: paired, ambiguous or alone on one side."""
+    verdict = (
+        F.when((F.col("images") > 1) | (F.col("masks") > 1), "ambiguous")
+        .when(F.col("masks") == 0, "image alone")
+        .when(F.col("images") == 0, "mask alone")
+        .otherwise("paired")
+    )
+    return side_counts(images, masks, key).withColumn("verdict", verdict)
+
+
 def pairing_report(images: DataFrame, masks: DataFrame, key: str = "image_id") -> DataFrame:
     """Number of paired and one-sided keys."""
     left = images.select(key, F.lit(1).alias("_l"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rasterledger.functions.hashing import stable_hash32, uniform01
 from rasterledger.operators.binning import bin_of, quantile_edges, rank_first_bins
@@ -172,8 +172,28 @@ def fixed_stratified_subset(
 
 
 def sample_rows(df: DataFrame, n: int, seed: int, id_column: str = "image_id") -> DataFrame:
-    """Exactly n rows in shuffle order."""
-    return df.orderBy(stable_hash32(F.col(id_column), seed), id_column).limit(n)
+    """Exactly n rows, those of the smallest draws; all rows if there are fewer.
+
+    The draw of the n-th row is found by histograms of at most 4,096 counts, each over
+    the cell that the one before it chose. Rows below it are kept where they are; only rows
+    that share this very draw are ranked, by their id.
+    """
+    drawn = df.withColumn("_draw", stable_hash32(F.col(id_column), seed))
+    low, left = 0, n
+    for shift in (20, 8, 0):
+        cell = F.shiftright("_draw", shift)
+        inside = drawn.where((F.col("_draw") >= low) & (F.col("_draw") < low + (1 << min(32, shift + 12))))
+        counts = inside.groupBy(cell.alias("_cell")).agg(F.count(F.lit(1)).alias("_n")).orderBy("_cell").collect()
+        for row in counts:
+            if row["_n"] >= left:
+                low = row["_cell"] << shift
+                break
+            left -= row["_n"]
+        else:
+            return drawn.drop("_draw")  # fewer rows than asked for
+    order = Window.partitionBy("_draw").orderBy(id_column)
+    tied = drawn.where(F.col("_draw") == low).withColumn("_place", F.row_number().over(order))
+    return drawn.where(F.col("_draw") < low).unionByName(tied.where(F.col("_place") <= left).drop("_place")).drop("_draw")
 
 
 def sample_pixels(

@@ -62,8 +62,11 @@ def append_new_results(path: str, keys: Sequence[str], order: str) -> Callable[[
     return write
 
 
-def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str) -> None:
-    """Process everything that is available and stop."""
+def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str) -> int:
+    """Process everything that is available and stop; returns the rows that stateful operators dropped as late.
+
+    Rows are counted as the operators see them: an aggregation sees one for each key of an input part.
+    """
     query = (
         stream.writeStream.foreachBatch(sink)
         .outputMode(mode)
@@ -72,6 +75,7 @@ def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], che
         .start()
     )
     query.awaitTermination()
+    return sum(s.numRowsDroppedByWatermark for p in query.recentProgress for s in p.stateOperators)
 
 
 def append_to(path: str) -> Callable[[DataFrame, int], None]:
