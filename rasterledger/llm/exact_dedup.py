@@ -12,7 +12,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -103,7 +103,8 @@ class DigestBucket:
         if self.filter.may_hold(digest):
             known = self.content.get(digest)  # the verdict is that of the stored digests
             if known is not None:
-                self.content[digest] = max(known[0], keep), known[1] + size
+                ids = [i for i in (known[0], keep) if i is not None]
+                self.content[digest] = max(ids, default=None), known[1] + size
                 return False
         self.content[digest] = keep, size
         self._enter(digest)
@@ -140,12 +141,14 @@ def index_of(marked: DataFrame, id_column: str, deleted: DataFrame | None = None
     spark = marked.sparkSession
     kind = marked.schema[id_column].dataType.simpleString()
 
-    def added_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            groups = batch.groupby("digest", sort=False)["_id"].agg(["max", "size"]).reset_index()
-            yield groups.rename(columns={"max": "keep_id", "size": "group_size"}).assign(_delete=False)
+            groups = pa.table({"digest": batch.column("digest"), "_id": batch.column("_id")}).group_by("digest")
+            sums = groups.aggregate([("_id", "max"), ("digest", "count")])
+            arrays = [sums["digest"], sums["_id_max"], sums["digest_count"], pa.array(np.zeros(len(sums), bool))]
+            yield from pa.table(arrays, names=["digest", "keep_id", "group_size", "_delete"]).to_batches()
 
-    rows = marked.select("digest", F.col(id_column).alias("_id")).mapInPandas(
+    rows = marked.select("digest", F.col(id_column).alias("_id")).mapInArrow(
         added_up, f"digest binary, keep_id {kind}, group_size long, _delete boolean"
     )
     if deleted is not None:
@@ -154,29 +157,32 @@ def index_of(marked: DataFrame, id_column: str, deleted: DataFrame | None = None
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + marked.count() // BUCKET_ROWS)
     placed = rows.repartition(partitions, "digest").sortWithinPartitions("_delete")
 
-    def enter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bucket = DigestBucket()
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, keep_type = DigestBucket(), pa.int64()
         for batch in batches:
-            for digest, keep, size, gone in zip(batch["digest"], batch["keep_id"], batch["group_size"], batch["_delete"], strict=True):
+            keep_type = batch.schema.field("keep_id").type
+            columns = (batch.column(c).to_pylist() for c in ("digest", "keep_id", "group_size", "_delete"))
+            for digest, keep, size, gone in zip(*columns, strict=True):
                 if gone:
                     bucket.delete(digest)
                 else:
                     bucket.insert(digest, keep, size)
         live = list(bucket.content.items())
-        yield pd.DataFrame(
-            {"digest": [d for d, _ in live], "keep_id": [k for _, (k, _) in live], "group_size": [n for _, (_, n) in live]}
-        ).astype({"group_size": "int64"})
+        columns = [pa.array([d for d, _ in live], pa.binary()), pa.array([k for _, (k, _) in live], keep_type), pa.array([n for _, (_, n) in live], pa.int64())]
+        if live:
+            yield pa.RecordBatch.from_arrays(columns, names=["digest", "keep_id", "group_size"])
 
-    return placed.mapInPandas(enter, f"digest binary, keep_id {kind}, group_size long")
+    return placed.mapInArrow(enter, f"digest binary, keep_id {kind}, group_size long")
 
 
 def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document: (id, keep_id, group_size, kept, text_sha256).
 
     Texts are equal if they are identical after lower-casing A-Z; of equal texts the row
-    with the largest id stays. Null and empty texts are one group. Ids are to be integers
-    without repeats; rows that repeat an id are all marked alike. Other columns are left
-    out; an empty table gives an empty one.
+    with the largest id stays. Null and empty texts are one group. Rows that repeat an id
+    are all marked alike. A row without an id counts as smaller than all others: it is kept
+    only where no row of its text has an id, and its keep_id is then null. Other columns are
+    left out; an empty table gives an empty one.
     """
     marked = pin(digests(docs, id_column, text_column))
     total = marked.count()
@@ -186,7 +192,7 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: st
         id_column,
         F.coalesce("keep_id", id_column).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-        (F.coalesce("keep_id", id_column) == F.col(id_column)).alias("kept"),
+        F.coalesce("keep_id", id_column).eqNullSafe(F.col(id_column)).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 

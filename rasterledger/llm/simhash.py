@@ -19,7 +19,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from rasterledger.llm.components import connected
 from rasterledger.llm.joins import spread_join
@@ -264,8 +264,11 @@ def near_duplicates(
 #: Counters of a sketch of how many documents have a shingle, and the parts in which it is added up.
 SKETCH = 1 << 21
 SKETCH_PARTS = 256
-#: Members of a cell after a member with which it is compared, round by round; the last round compares all.
-REACHES = (1, 32, 1024, 1 << 60)
+#: How much farther a member looks in its cell from round to round, and how many more pairs of
+#: two components a round may verify. The last round looks at all and verifies all.
+ROUND_GROWTH = 4
+#: Pairs of a round that are joined by broadcast: 32 bytes each. Beyond, the texts are shuffled.
+BROADCAST_PAIRS = 500_000
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -408,11 +411,12 @@ def _slabs(shared: DataFrame, limit: int) -> DataFrame:
     return spread.select(*shared.columns, (low * F.col("slabs") + high).alias("pair"), side.cast("long").alias("side"))
 
 
-def _proposed(cells: DataFrame, reach: int, similarity: float) -> DataFrame:
-    """Pairs (a, b) of digests of different components that meet in a cell and may have the similarity.
+def _proposed(cells: DataFrame, reach: int, cap: int, similarity: float) -> DataFrame:
+    """Pairs (a, b, low, high) of digests of different components that meet in a cell and may have the similarity.
 
     A member is compared with the ``reach`` members after it. Discarded are only pairs whose
-    sizes, or whose places in the order of shingles, rule the similarity out.
+    sizes, or whose places in the order of shingles, rule the similarity out, and put off to
+    later rounds those beyond ``cap`` for the components low and high in one cell.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -422,7 +426,7 @@ def _proposed(cells: DataFrame, reach: int, similarity: float) -> DataFrame:
             behind = np.repeat(np.cumsum(counts), counts) - np.arange(len(rows)) - 1
             side, digest, size, place, root = rows[:, 2:].T
             one = np.flatnonzero(behind > 0)
-            a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            found = [np.empty((0, 4), np.int64)]
             lag = 1
             while lag <= reach and len(one):
                 two = one + lag
@@ -432,16 +436,21 @@ def _proposed(cells: DataFrame, reach: int, similarity: float) -> DataFrame:
                 small, large = np.minimum(size[left], size[right]), np.maximum(size[left], size[right])
                 rest = np.minimum(size[left] - place[left], size[right] - place[right])
                 near = (small >= similarity * large - 1e-6) & (rest * (1 + similarity) >= similarity * (small + large) - 1e-6)
-                a.append(digest[left[near]])
-                b.append(digest[right[near]])
+                left, right = left[near], right[near]
+                swap = root[left] > root[right]
+                left, right = np.where(swap, right, left), np.where(swap, left, right)
+                found.append(np.stack([root[left], root[right], digest[left], digest[right]], axis=1))
                 lag += 1
                 one = one[behind[one] >= lag]
-            a, b = np.concatenate(a), np.concatenate(b)
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            pairs = np.unique(np.concatenate(found), axis=0)
+            fresh = np.flatnonzero(np.r_[True, (pairs[1:, :2] != pairs[:-1, :2]).any(axis=1)]) if len(pairs) else np.empty(0, np.int64)
+            place = np.arange(len(pairs)) - np.repeat(fresh, np.diff(np.r_[fresh, len(pairs)]))
+            low, high, a, b = pairs[place < cap].T
+            arrays = [np.minimum(a, b), np.maximum(a, b), low, high]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["a", "b", "low", "high"])
 
     placed = cells.repartition("key", "pair").sortWithinPartitions("key", "pair", "digest")
-    return placed.mapInArrow(run, "a long, b long").distinct()
+    return placed.mapInArrow(run, "a long, b long, low long, high long").distinct()
 
 
 def _verified(rows: DataFrame, members: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -473,6 +482,8 @@ def _verified(rows: DataFrame, members: DataFrame, pairs: DataFrame, words: int,
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("digest")).join(members, "digest")
+    if pairs.count() <= BROADCAST_PAIRS:
+        ends = F.broadcast(ends)
     sets = rows.join(ends, "_id").select("a", "b", "digest", "_text").mapInArrow(hashed, "a long, b long, digest long, shingles binary")
     return sets.repartition("a", "b").sortWithinPartitions("a", "b", "digest").mapInArrow(compared, "a long, b long")
 
@@ -480,26 +491,34 @@ def _verified(rows: DataFrame, members: DataFrame, pairs: DataFrame, words: int,
 def _linked_sets(rows: DataFrame, members: DataFrame, shared: DataFrame, words: int, similarity: float) -> DataFrame:
     """(node, root) of the digests whose sets are linked to others.
 
-    Rounds: pairs of a cell within a reach are verified, those that hold are contracted to
-    components, and then the pairs between different components are proposed with a longer
-    reach. The last round has no limit, so every pair between components has been verified.
+    Rounds: pairs of a cell within a reach are verified, a few for any two components; those
+    that hold are contracted to components, and then the pairs between different components
+    are proposed with a longer reach. The last round has no limit, so every pair between
+    components has been verified.
     """
     biggest = shared.groupBy("key").count().agg(F.max("count")).first()[0] or 0
     cells = _slabs(shared, CELL_LIMIT)
     found = tried = roots = None
-    for before, reach in zip((1, *REACHES), REACHES):
-        if biggest <= before:
-            break
+    reach, cap = 1, ROUND_GROWTH
+    while biggest > 1:
+        last = reach >= biggest
         if roots is None:
             rooted = cells.withColumn("root", F.col("digest"))
         else:
             rooted = cells.join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-        pairs = _proposed(rooted, reach, similarity)
-        pairs = pin(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        pairs = _proposed(rooted, 1 << 60 if last else reach, 1 << 60 if last else cap, similarity)
+        pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+        if not last:
+            order = Window.partitionBy("low", "high").orderBy("a", "b")
+            pairs = pairs.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= cap)
+        pairs = pin(pairs.select("a", "b"))
         tried = pairs if tried is None else tried.unionByName(pairs)
         held = pin(_verified(rows, members, pairs, words, similarity))
         found = held if found is None else found.unionByName(held)
         roots = connected(found)
+        if last:
+            break
+        reach, cap = ROUND_GROWTH * reach, ROUND_GROWTH * cap
     return roots if roots is not None else shared.select(F.col("digest").alias("node"), F.col("digest").alias("root")).limit(0)
 
 

@@ -98,6 +98,10 @@ class Cover:
         return int(last // self.period * len(self.residues) + np.searchsorted(self.residues, last % self.period, side="right"))
 
 
+#: Suffixes known as tied that a task collects before it hands them on; bounds its memory.
+KNOWN_SUFFIXES = 4_000_000
+
+
 class _CoverBlock:
     """Cover suffixes of some texts; ``rows`` gives them by bucket, equal ones once."""
 
@@ -240,37 +244,49 @@ def tied_suffixes(docs: DataFrame, cover: Cover, buckets: int, blocks: int, mark
             yield pa.RecordBatch.from_arrays(
                 [pa.array([-1], pa.int32()), pa.array([_planes(names, "<i8")]), pa.array([b""]), pa.array([b""])], names=["block", "ids", "counts", "ordinals"]
             )
-        at = 0
+        at, known = 0, []
         for row, size in zip(rows, sizes, strict=True):
             chosen = tied[at : at + size] | np.frombuffer(row["state"], np.uint8).astype(bool)
-            yield from by_block(row, chosen)
+            if chosen.any():
+                known.append(opened(row, chosen))
             at += size
+        yield from by_block(known)
 
-    def by_block(row: dict, chosen: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if not chosen.any():
-            return
+    def opened(row: dict, chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and ordinals of the chosen suffixes of a row, or of all."""
         ids, per = _from_planes(row["ids"], "<i8"), _from_planes(row["counts"]).astype(np.int64)
-        ordinals = _decoded(per, row["ordinals"])
-        owner = np.repeat(np.arange(len(ids)), per)[chosen]
-        ordinals = ordinals[chosen]
-        block = _block_of(ids, blocks)[owner]
-        order = np.argsort(block, kind="stable")
-        starts, counts = _groups(block[order])
+        ids, ordinals = np.repeat(ids, per), _decoded(per, row["ordinals"])
+        return (ids, ordinals) if chosen is None else (ids[chosen], ordinals[chosen])
+
+    def by_block(known: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        """One row for each block that has some of these suffixes."""
+        if not known:
+            return
+        ids, ordinals = (np.concatenate(x) for x in zip(*known, strict=True))
+        block = _block_of(ids, blocks)
+        order = np.lexsort((ordinals, ids, block))
+        ids, ordinals, block = ids[order], ordinals[order], block[order]
+        starts, counts = _groups(block)
         columns = [[], [], [], []]
         for a, n in zip(starts.tolist(), counts.tolist(), strict=True):
-            part = order[a : a + n]
-            doc, many = _groups(owner[part])
-            for column, value in zip(columns, (int(block[part[0]]), _planes(ids[owner[part[doc]]], "<i8"), _planes(many), _coded(many, ordinals[part])), strict=True):
+            part = slice(a, a + n)
+            doc, many = _groups(ids[part])
+            for column, value in zip(columns, (int(block[a]), _planes(ids[part][doc], "<i8"), _planes(many), _coded(many, ordinals[part])), strict=True):
                 column.append(value)
         kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["block", "ids", "counts", "ordinals"])
 
     def sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
+        known, size = [], 0
         for batch in batches:
             for row in batch.to_pylist():
                 if row["bucket"] < 0:
-                    yield from by_block(row, np.ones(len(row["met"]), bool))
+                    known.append(opened(row))
+                    size += len(row["met"])
+                    if size > KNOWN_SUFFIXES:
+                        yield from by_block(known)
+                        known, size = [], 0
                     continue
                 if held and held[0]["bucket"] != row["bucket"]:
                     yield from sorted_bucket(held)
@@ -278,6 +294,7 @@ def tied_suffixes(docs: DataFrame, cover: Cover, buckets: int, blocks: int, mark
                 held.append(row)
         if held:
             yield from sorted_bucket(held)
+        yield from by_block(known)
 
     # Rows that need no sorting are dealt out by their own content.
     spread = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("ids"), F.lit(buckets)).cast("int")).otherwise(F.col("bucket"))

@@ -55,6 +55,27 @@ def test_exact_duplicates(spark):
     assert exact_dedup.exact_duplicates(empty(spark)).count() == 0
 
 
+def test_rows_without_an_id_leave_large_ids_exact(spark):
+    big = 1 << 60
+    rows = [(big + 1, "x"), (big + 3, "X"), (None, "x"), (None, "y"), (None, "Y"), (7, "z"), (None, "z")]
+    found = exact_dedup.exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    expected = [(big + 1, big + 3, 3, False), (big + 3, big + 3, 3, True), (None, big + 3, 3, False), (None, None, 2, True), (None, None, 2, True), (7, 7, 2, True), (None, 7, 2, False)]
+    assert pairs_of(found, "doc_id", "keep_id", "group_size", "kept") == sorted(expected, key=repr)
+
+
+def test_pipeline_keeps_one_of_a_repeated_row(spark):
+    import corpus_pipeline
+
+    text = " ".join(f"word{i * i}" for i in range(60))
+    rows = [(1, text, "en", "s", 1), (1, text, "en", "s", 1), (2, "first text of an id", "en", "s", 1), (2, "second text of this id", "en", "s", 1), (3, "Second text of this id", "en", "s", 1), (None, "n", "en", "s", 1), (None, "N", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    exact = corpus_pipeline.exact(spark, docs, "")
+    left = corpus_pipeline.repeats(spark, corpus_pipeline.near(spark, exact, ""), "")
+    assert left.columns == docs.columns
+    assert pairs_of(left.where("doc_id < 3"), "doc_id", "text") == [(1, text), (2, "first text of an id")]
+    assert left.count() == 4
+
+
 def test_cuckoo_filter_forgets_what_is_deleted_and_grows():
     bucket = exact_dedup.DigestBucket()
     digests = [hashlib.sha256(str(i).encode()).digest() for i in range(3000)]
@@ -216,9 +237,9 @@ def template_family(rng, count, length=200):
     return [(i, " ".join(t)) for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize("reaches", [simhash.REACHES, (1, 4, 1 << 60)])
-def test_a_template_family_is_linked_as_by_brute_force(spark, monkeypatch, reaches):
-    monkeypatch.setattr(simhash, "REACHES", reaches)
+@pytest.mark.parametrize("growth", [simhash.ROUND_GROWTH, 2])
+def test_a_template_family_is_linked_as_by_brute_force(spark, monkeypatch, growth):
+    monkeypatch.setattr(simhash, "ROUND_GROWTH", growth)
     rows = template_family(np.random.default_rng(8), 300)
     rows += [(1000 + i, t.replace("t", "u")) for i, t in template_family(np.random.default_rng(9), 80, 60)]
     expected = linked_by_brute_force(rows)
