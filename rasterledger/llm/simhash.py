@@ -488,6 +488,17 @@ def _verified(rows: DataFrame, members: DataFrame, pairs: DataFrame, words: int,
     return sets.repartition("a", "b").sortWithinPartitions("a", "b", "digest").mapInArrow(compared, "a long, b long")
 
 
+def _open_cells(cells: DataFrame, roots: DataFrame) -> DataFrame:
+    """The cells with their members' roots of now, without the cells whose members are all of one component."""
+    known = roots.select(F.col("node").alias("digest"), F.col("root").alias("_now"))
+    if known.count() <= BROADCAST_PAIRS:
+        known = F.broadcast(known)
+    rooted = cells.join(known, "digest", "left").withColumn("root", F.coalesce("_now", "digest")).drop("_now")
+    cell = Window.partitionBy("key", "pair")
+    bounded = rooted.withColumns({"_low": F.min("root").over(cell), "_high": F.max("root").over(cell)})
+    return bounded.where("_low < _high").select(*cells.columns)
+
+
 def _linked_sets(rows: DataFrame, members: DataFrame, shared: DataFrame, words: int, similarity: float) -> DataFrame:
     """(node, root) of the digests whose sets are linked to others.
 
@@ -496,17 +507,15 @@ def _linked_sets(rows: DataFrame, members: DataFrame, shared: DataFrame, words:
     are proposed with a longer reach. The last round has no limit, so every pair between
     components has been verified.
     """
-    biggest = shared.groupBy("key").count().agg(F.max("count")).first()[0] or 0
-    cells = _slabs(shared, CELL_LIMIT)
+    cells = _slabs(shared, CELL_LIMIT).withColumn("root", F.col("digest"))
     found = tried = roots = None
     reach, cap = 1, ROUND_GROWTH
-    while biggest > 1:
+    while True:
+        biggest = cells.groupBy("key", "pair").count().agg(F.max("count")).first()[0] or 0
+        if biggest < 2:
+            break
         last = reach >= biggest
-        if roots is None:
-            rooted = cells.withColumn("root", F.col("digest"))
-        else:
-            rooted = cells.join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-        pairs = _proposed(rooted, 1 << 60 if last else reach, 1 << 60 if last else cap, similarity)
+        pairs = _proposed(cells, 1 << 60 if last else reach, 1 << 60 if last else cap, similarity)
         pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
         if not last:
             order = Window.partitionBy("low", "high").orderBy("a", "b")
@@ -518,6 +527,7 @@ def _linked_sets(rows: DataFrame, members: DataFrame, shared: DataFrame, words:
         roots = connected(found)
         if last:
             break
+        cells = pin(_open_cells(cells, roots))
         reach, cap = ROUND_GROWTH * reach, ROUND_GROWTH * cap
     return roots if roots is not None else shared.select(F.col("digest").alias("node"), F.col("digest").alias("root")).limit(0)
 
