@@ -11,13 +11,17 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from rasterledger.llm.texts import spare
+
 #: A word is a run of other than these (blank and the controls from tab to return).
 SPACES = r"[\x20\x09-\x0D]"
 #: Words of a window, and how often a window must be found.
 WINDOW = 8
 SYMBOLS = r"[#*$%&|<>]"
 
-# Frequent words of four languages. Fixed values.
+#: Languages whose frequent words are known; texts of others are not judged by them.
+LANGUAGES = ("en", "de", "es", "fr")
+# Frequent words of these languages. Fixed values.
 STOP_WORDS = (
     "a and are as at be by for from in is it of on or that the this to was with "
     "das dem den der des die ein eine im ist mit nicht sich und von zu "
@@ -27,19 +31,23 @@ STOP_WORDS = (
 
 
 class Rule(NamedTuple):
-    """Allowed range of a measure; None leaves that side open."""
+    """Allowed range of a measure; None leaves that side open.
+
+    With ``languages`` the rule applies to texts of these languages alone.
+    """
 
     name: str
     measure: str
     least: float | None
     most: float | None
+    languages: tuple[str, ...] | None = None
 
 
 #: Length, symbols, stop words and lines. A text that breaks one is not kept.
 RULES = (
     Rule("mean_word_length", "word_chars / n_words", 2.0, 20.0),
     Rule("symbols_per_word", "n_symbols / n_words", None, 0.25),
-    Rule("stop_words_per_word", "n_stop_words / n_words", 0.02, None),
+    Rule("stop_words_per_word", "n_stop_words / n_words", 0.02, None, LANGUAGES),
     Rule("duplicate_lines", "n_dup_lines / n_lines", None, 0.5),
 )
 
@@ -77,15 +85,16 @@ def with_measures(docs: DataFrame, text_column: str = "text") -> DataFrame:
 
     Columns of ``docs`` with the names of measures are overwritten.
     """
+    word_list, line_list, window_list = (spare(n, docs.columns) for n in ("_words", "_lines", "_windows"))
     text = F.coalesce(docs[text_column].cast("string"), F.lit(""))
     cut = docs.withColumns(
         {
-            "_words": F.filter(F.split(text, SPACES + "+"), lambda w: w != ""),
-            "_lines": F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")),
+            word_list: F.filter(F.split(text, SPACES + "+"), lambda w: w != ""),
+            line_list: F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")),
             "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
         }
     )
-    words = F.col("_words")
+    words = F.col(word_list)
     count = F.size(words)
     windows = F.transform(
         F.sequence(F.lit(1), count - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(words, i, F.lit(WINDOW)))
@@ -95,39 +104,50 @@ def with_measures(docs: DataFrame, text_column: str = "text") -> DataFrame:
             "n_words": count.cast("long"),
             "word_chars": F.aggregate(words, F.lit(0).cast("long"), lambda n, w: n + F.length(w)),
             "n_stop_words": F.size(F.filter(words, lambda w: F.lower(w).isin(STOP_WORDS))).cast("long"),
-            "n_lines": F.size("_lines").cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "_windows": F.when(count >= WINDOW, windows).otherwise(F.array().cast("array<bigint>")),
+            "n_lines": F.size(line_list).cast("long"),
+            "n_dup_lines": (F.size(line_list) - F.size(F.array_distinct(line_list))).cast("long"),
+            window_list: F.when(count >= WINDOW, windows).otherwise(F.array().cast("array<bigint>")),
         }
     )
     # A filter on the verdict would otherwise be moved below the projections, with all of them
     # written out in it; it stays above a column that depends on the row's place.
-    repeated = F.when(F.monotonically_increasing_id() >= 0, _repeat_words(words, F.col("_windows")))
-    return counted.withColumn("n_repeat_words", repeated.cast("long")).drop("_words", "_lines", "_windows")
+    repeated = F.when(F.monotonically_increasing_id() >= 0, _repeat_words(words, F.col(window_list)))
+    return counted.withColumn("n_repeat_words", repeated.cast("long")).drop(word_list, line_list, window_list)
 
 
-def compiled(rules: tuple[Rule, ...] = RULES) -> Column:
-    """One boolean column: no rule is broken. A ratio over nothing breaks none."""
+def compiled(rules: tuple[Rule, ...] = RULES, lang: Column | None = None) -> Column:
+    """One boolean column: no rule is broken. A ratio over nothing breaks none.
+
+    ``lang`` is the language of the text; rules of certain languages spare texts of any other and of none.
+    """
     held = F.lit(True)
     for rule in rules:
         value = F.expr(f"try_divide({rule.measure.replace(' / ', ', ')})")
+        holds = F.lit(True)
         if rule.least is not None:
-            held = held & (F.coalesce(value, F.lit(rule.least)) >= rule.least)
+            holds = holds & (F.coalesce(value, F.lit(rule.least)) >= rule.least)
         if rule.most is not None:
-            held = held & (F.coalesce(value, F.lit(rule.most)) <= rule.most)
+            holds = holds & (F.coalesce(value, F.lit(rule.most)) <= rule.most)
+        if rule.languages is not None:
+            judged = F.lit(False) if lang is None else F.coalesce(F.lower(lang).isin(*rule.languages), F.lit(False))
+            holds = ~judged | holds
+        held = held & holds
     return held
 
 
-def verdicts(docs: DataFrame, text_column: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def verdicts(docs: DataFrame, text_column: str = "text", rules: tuple[Rule, ...] = RULES, lang_column: str = "lang") -> DataFrame:
     """Rows of ``docs`` with the measures, base_failed and kept.
 
     A text of under 20 words, or with over 30 % of its words in repeated windows, fails
     the base; such a text is never kept, whatever the rules say. Null and empty texts
-    fail it. Repeated rows are judged each; an empty table gives an empty one; other
-    columns stay, those named as a measure or verdict are overwritten.
+    fail it. Stop words are asked for in texts of LANGUAGES; a text of another or of no
+    language, or a table without that column, is judged by the other rules alone. Repeated
+    rows are judged each; an empty table gives an empty one; other columns stay, those named
+    as a measure or verdict are overwritten.
     """
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return with_measures(docs, text_column).withColumns({"base_failed": failed, "kept": ~failed & compiled(rules)})
+    lang = F.col(lang_column).cast("string") if lang_column in docs.columns else None
+    return with_measures(docs, text_column).withColumns({"base_failed": failed, "kept": ~failed & compiled(rules, lang)})
 
 
 def verdict_sql(rules: tuple[Rule, ...] = RULES) -> str:
@@ -136,14 +156,16 @@ def verdict_sql(rules: tuple[Rule, ...] = RULES) -> str:
     for rule in rules:
         top, bottom = rule.measure.split(" / ")
         ratio = f"({top} / nullif({bottom}, 0)::double)"
+        listed = ", ".join(f"'{code}'" for code in rule.languages or ())
+        spared = f"coalesce(lower(lang) not in ({listed}), true) or " if listed else ""
         if rule.least is not None:
-            held.append(f"coalesce({ratio} >= {rule.least}, true)")
+            held.append(f"({spared}coalesce({ratio} >= {rule.least}, true))")
         if rule.most is not None:
-            held.append(f"coalesce({ratio} <= {rule.most}, true)")
+            held.append(f"({spared}coalesce({ratio} <= {rule.most}, true))")
     stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
     return rf"""
     with cut as (
-      select doc_id, coalesce(text, '') as t,
+      select doc_id, lang, coalesce(text, '') as t,
         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as words,
         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines
       from documents),
@@ -155,7 +177,7 @@ def verdict_sql(rules: tuple[Rule, ...] = RULES) -> str:
       select doc_id, count(distinct p) as n_repeat_words
       from (select doc_id, unnest(range(i, i + {WINDOW})) as p from repeated) group by doc_id),
     counted as (
-      select doc_id, len(words)::bigint as n_words,
+      select doc_id, lang, len(words)::bigint as n_words,
         coalesce(list_sum(list_transform(words, lambda w: length(w))), 0)::bigint as word_chars,
         len(regexp_extract_all(t, '{SYMBOLS}'))::bigint as n_symbols,
         len(lines)::bigint as n_lines, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines,

@@ -13,6 +13,14 @@ CHUNK_BYTES = 4 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+def spare(name: str, taken: list[str]) -> str:
+    """``name``, with as many underscores behind it as make it differ from the names taken."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 class Texts:
     """Some texts: their bytes one after the other and where each begins.
 

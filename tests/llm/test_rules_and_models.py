@@ -2,6 +2,7 @@
 
 import os
 import sys
+import textwrap
 
 import duckdb
 import numpy as np
@@ -15,7 +16,7 @@ from rasterledger.llm import licenses, page_text, quality_rules, queries, toxici
 
 def against_sql(df, sql, documents):
     con = duckdb.connect()
-    frame = documents.select("doc_id", "text").toArrow()
+    frame = documents.select("doc_id", "text", *[c for c in documents.columns if c == "lang"]).toArrow()
     con.register("documents", frame)
     cursor = con.execute(sql)
     names = [d[0] for d in cursor.description]
@@ -31,6 +32,31 @@ def test_quality_rules_equal_sql(spark):
     assert quality_rules.verdicts(corpus(spark)).where("n_words is null or kept is null").count() == 0
 
 
+POLISH = "Dom stał nad rzeką, jego okna patrzyły prosto w las. Wieczorem dzieci wracały ze szkoły i opowiadały babci, kogo spotkały po drodze, czego uczyła pani oraz jak długo padał deszcz."
+
+
+def test_stop_words_are_asked_for_in_known_languages_only(spark):
+    rows = [(1, POLISH, "pl"), (2, POLISH, None), (3, POLISH, "EN"), (4, "zz yy " * 15, "en"), (5, POLISH, "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = quality_rules.verdicts(docs).select("doc_id", *quality_rules.MEASURES, "base_failed", "kept")
+    against_sql(found, quality_rules.verdict_sql(), docs)
+    assert pairs_of(found, "doc_id", "kept") == [(1, True), (2, True), (3, False), (4, False), (5, False)]
+    assert pairs_of(quality_rules.verdicts(docs.drop("lang")), "doc_id", "kept")[2] == (3, True)
+
+
+def test_quality_takes_clashing_columns_and_very_long_texts(spark):
+    import corpus_pipeline
+
+    long = " ".join(f"the w{i} of" for i in range(500_000))
+    docs = spark.createDataFrame([(1, POLISH, "pl", "a", "b", "c", False, 7), (2, long, "en", "a", "b", "c", False, 7)], "doc_id long, text string, lang string, _words string, _lines string, _windows string, kept boolean, n_words int")
+    found = quality_rules.verdicts(docs)
+    assert {"_words", "_lines", "_windows"} <= set(found.columns)
+    assert pairs_of(found, "doc_id", "n_words", "n_repeat_words", "kept") == [(1, 30, 0, True), (2, 1_500_000, 0, True)]
+    kept = corpus_pipeline.quality(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert pairs_of(kept, "doc_id", "_words", "kept", "n_words") == [(1, "a", False, 7), (2, "a", False, 7)]
+
+
 def test_repeated_words_by_hand(spark):
     text = "a b c d e f g h x a b c d e f g h i"
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
@@ -68,6 +94,83 @@ def test_licenses_equal_sql(spark):
     assert licenses.scanned(empty(spark)).count() == 0
 
 
+# Notices as published. Fixed values.
+MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+    '(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, '
+    "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+    "subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or "
+    "substantial portions of the Software.\n\n"
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF '
+    "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR "
+    "ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH "
+    "THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+APACHE = (
+    'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
+    "You may obtain a copy of the License at\n\nhttp://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in "
+    'writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either '
+    "express or implied. See the License for the specific language governing permissions and limitations under the License."
+)
+GPL = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+    "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.\n\nThis program is distributed in the "
+    "hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR "
+    "PURPOSE. See the GNU General Public License for more details.\n\nYou should have received a copy of the GNU General Public License along "
+    "with this program. If not, see <https://www.gnu.org/licenses/>."
+)
+BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are "
+    "met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n"
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution.\n\n"
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+    'software without specific prior written permission.\n\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY '
+    "EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR "
+    "PURPOSE ARE DISCLAIMED."
+)
+MPL = (
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
+    "file, You can obtain one at https://mozilla.org/MPL/2.0/."
+)
+
+
+def wrapped(notice, mark, width=72):
+    lines = []
+    for paragraph in notice.split("\n\n"):
+        lines += [*textwrap.wrap(paragraph, width - len(mark), initial_indent=mark, subsequent_indent=mark), mark.rstrip()]
+    return "\n".join(lines)
+
+
+@pytest.mark.parametrize("mark", ["", "// ", " * ", "# ", "    ", ";; "])
+def test_published_notices_wrapped_in_source_files(spark, mark):
+    lgpl = GPL.replace("General", "Lesser General").replace("program", "library").replace("version 3", "version 2.1").replace("software:", "software;").replace("Foundation,", "Foundation;")
+    notices = [MIT, APACHE, GPL, BSD, BSD.replace("3. Neither the name of the copyright holder nor", "Neither nobody or"), MPL, lgpl, GPL.replace("version 3", "version 2").replace("software:", "software;").replace("Foundation,", "Foundation;")]
+    names = ["MIT", "Apache-2.0", "GPL-3.0-or-later", "BSD-3-Clause", "BSD-2-Clause", "MPL-2.0", "LGPL-2.1-or-later", "GPL-2.0-or-later"]
+    texts = [f"{mark}Copyright 2020 Somebody\n{mark.rstrip()}\n{wrapped(n, mark)}\nimport os\r\n" for n in notices]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = licenses.scanned(docs).select("doc_id", "sentence_ids", "licenses", "unmatched_ids")
+    assert [(r.licenses, r.unmatched_ids) for r in found.sort("doc_id").collect()] == [(n, "") for n in names]
+    against_sql(found, licenses.scan_sql(), docs)
+
+
+def test_short_notices_inside_sentences(spark):
+    cases = {
+        "This work is licensed under CC BY 4.0.": "CC-BY-4.0",
+        "no sign before it\nReleased under the MIT License\nnor after": "MIT",
+        "This code is not licensed under the MIT License.": "",
+        "unlicensed under the MIT Licenses": "",
+        "// SPDX-License-Identifier: Apache-2.0": "Apache-2.0",
+        "# SPDX-License-Identifier: GPL-3.0-or-later": "GPL-3.0-or-later",
+        "Licensed under CC BY-SA 4.0; licensed under CC BY 4.0": "CC-BY-SA-4.0, CC-BY-4.0",
+        "word " * 400_000 + "Licensed under CC BY-NC 4.0. " + "software " * 100_000: "CC-BY-NC-4.0",
+    }
+    docs = spark.createDataFrame([(i, t, "own", "own") for i, t in enumerate(cases)], "doc_id long, text string, _ids string, _left string")
+    found = licenses.scanned(docs)
+    assert [(r.licenses, r._ids, r._left) for r in found.sort("doc_id").collect()] == [(n, "own", "own") for n in cases.values()]
+    against_sql(found.select("doc_id", "sentence_ids", "licenses", "unmatched_ids"), licenses.scan_sql(), docs)
+
+
 def test_known_sentences_have_hints():
     assert all(any(h in s for h in licenses.HINTS) for s in licenses.SENTENCES.values())
     assert {n for _, names in licenses.RULES for n in names} <= set(licenses.SENTENCES)
@@ -177,6 +280,6 @@ def test_pipeline_takes_odd_documents(spark):
         assert stage(spark, docs.limit(0), "").count() == 0, name
 
 
-def test_queries_are_the_ten():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+def test_queries_are_the_thirteen():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert set(queries.SQL) <= set(queries.QUERIES)
