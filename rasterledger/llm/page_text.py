@@ -165,32 +165,34 @@ def fitted(pages: list[str], rounds: int = 300, penalty: float = 0.02, rate: flo
         rows = [[names.setdefault(f, len(names)) for f in (*sorted(b.above), *text_features(b, i))] for i, b in enumerate(blocks)]
         if rows:
             chains.append((rows, np.array([int(b.main) for b in blocks])))
-    size = len(names)
-    designs = []
-    for rows, labels in chains:
-        x = np.zeros((len(rows), size))
-        for i, row in enumerate(rows):
-            x[i, row] = 1
-        designs.append((x, labels))
+    if not chains:
+        return BlockLabeller({}, [[0.0, 0.0], [0.0, 0.0]])
+    # All pages side by side, padded to the longest one.
+    size, longest = len(names), max(len(rows) for rows, _ in chains)
+    real = np.arange(longest) < np.array([len(rows) for rows, _ in chains])[:, None]
+    x = np.zeros((int(real.sum()), size))
+    for i, row in enumerate(row for rows, _ in chains for row in rows):
+        x[i, row] = 1
+    truth = np.zeros((*real.shape, 2))
+    truth[real] = np.eye(2)[np.concatenate([labels for _, labels in chains])]
+    met = np.einsum("pti,ptj->ij", truth[:, :-1], truth[:, 1:])
     weights, moves = np.zeros((size, 2)), np.zeros((2, 2))
     sums_w, sums_m = np.full_like(weights, 1e-6), np.full_like(moves, 1e-6)
+    score, ahead, behind = (np.zeros_like(truth) for _ in range(3))
     for _ in range(rounds):
-        grad_w, grad_m = -penalty * weights, -penalty * moves
-        for x, labels in designs:
-            score = x @ weights
-            n = len(score)
-            ahead, behind = np.zeros((n, 2)), np.zeros((n, 2))
-            ahead[0] = score[0]
-            for t in range(1, n):
-                ahead[t] = score[t] + np.logaddexp.reduce(ahead[t - 1][:, None] + moves, axis=0)
-            for t in range(n - 2, -1, -1):
-                behind[t] = np.logaddexp.reduce(moves + (score[t + 1] + behind[t + 1])[None, :], axis=1)
-            total = np.logaddexp.reduce(ahead[-1])
-            grad_w = grad_w + x.T @ (np.eye(2)[labels] - np.exp(ahead + behind - total))
-            for t in range(1, n):
-                pair = ahead[t - 1][:, None] + moves + (score[t] + behind[t])[None, :] - total
-                grad_m = grad_m - np.exp(pair)
-                grad_m[labels[t - 1], labels[t]] += 1
+        score[real] = x @ weights
+        ahead[:, 0] = score[:, 0]
+        for t in range(1, longest):
+            step = score[:, t] + np.logaddexp.reduce(ahead[:, t - 1, :, None] + moves, axis=1)
+            ahead[:, t] = np.where(real[:, t, None], step, ahead[:, t - 1])
+        for t in range(longest - 2, -1, -1):
+            step = np.logaddexp.reduce(moves + (score[:, t + 1] + behind[:, t + 1])[:, None, :], axis=2)
+            behind[:, t] = np.where(real[:, t + 1, None], step, 0)
+        total = np.logaddexp.reduce(ahead[:, -1], axis=1)[:, None]
+        seen = np.exp(ahead + behind - total[..., None])
+        pairs = np.exp(ahead[:, :-1, :, None] + moves + (score + behind)[:, 1:, None, :] - total[..., None, None])
+        grad_w = x.T @ (truth - seen)[real] - penalty * weights
+        grad_m = met - pairs[real[:, 1:]].sum(axis=0) - penalty * moves
         sums_w += grad_w**2
         sums_m += grad_m**2
         weights = weights + rate * grad_w / np.sqrt(sums_w)

@@ -30,7 +30,64 @@ def _page(body: str, title: str) -> str:
     return "<!DOCTYPE html><html>" + _HEAD.format(t=title) + f"<body>{body}</body></html>"
 
 
+# Layouts met on the web, one to a row: names of the element that holds the text, of reader comments, notices,
+# adverts, menus, sidebars and the foot. Every name is in two rows or more. Fixed values.
+_LAYOUTS = (
+    ("article class='post'", "section class='replies'", "div class='gdpr consent'", "div class='sponsored'", "div class='navbar'", "div class='widget'", "div class='colophon'"),
+    ("div class='entry-content'", "div class='reply'", "div class='cookie-banner'", "div class='ad-slot'", "ul class='topnav'", "aside class='rail'", "div class='site-footer'"),
+    ("div class='story'", "div id='discussion'", "div class='alert'", "aside class='promotion'", "div class='breadcrumb'", "div class='related-posts'", "section class='legal'"),
+    ("main class='page'", "ol class='comment-list'", "div role='dialog' class='consent'", "div id='advertisement'", "div role='menubar'", "div class='recommended'", "div class='copyright'"),
+    ("section class='prose'", "div class='responses'", "div class='privacy-notice'", "div class='ads'", "div id='header-menu'", "div class='widget rail'", "div id='footer-links'"),
+    ("div id='story-text'", "section class='user-comments'", "p class='paywall'", "div class='ad-slot sponsored'", "nav class='breadcrumb'", "div class='trending'", "div class='colophon legal'"),
+    ("article class='entry'", "div class='discussion thread'", "div class='gdpr'", "div class='promotion'", "div class='topnav'", "section class='related'", "footer class='copyright'"),
+    ("div class='prose markdown'", "ul class='replies'", "section class='announcement'", "div class='advertisement'", "div class='navbar'", "div class='recommended trending'", "div class='site-footer'"),
+    ("section class='story'", "div class='reply'", "div class='cookie'", "div class='ads'", "div class='site-header menu'", "aside class='widget'", "div class='footer legal'"),
+    ("div class='markdown'", "div class='feedback'", "div role='alert'", "section class='sponsored'", "ol class='breadcrumbs'", "div class='rail trending'", "div class='bottom'"),
+    ("div class='post-body'", "div class='responses'", "div class='announcement'", "div class='adverts'", "div class='menubar'", "div class='sidebar'", "div class='bottom copyright'"),
+    ("div role='main'", "div class='thread'", "div class='paywall'", "div class='adverts'", "header class='site-header'", "div class='more recommended'", "div role='contentinfo'"),
+    ("article class='page-content'", "section class='feedback comments'", "div class='privacy consent'", "div class='advertisement promotion'", "ul class='breadcrumbs'", "div class='more'", "div role='contentinfo'"),
+)
+
+
+def _element(opening: str, inner: str, main: bool = False) -> str:
+    return f"<{opening}{' data-main' if main else ''}>{inner}</{opening.split()[0]}>"
+
+
+def _laid_out(layout: tuple[str, ...], turn: int) -> str:
+    """A page of this layout; on two of three what is no text stands inside the article."""
+    content, comments, notice, advert, menu, side, foot = layout
+    inside = turn % 3 != 1
+
+    def prose(*which: int) -> str:
+        return _p(*((i + turn) % len(_PROSE) for i in which))
+
+    others = _element(comments, f"<h3>{_PROSE[(7 + turn) % 11]}</h3>{prose(0, 6, 3)}"), _element(notice, prose(5)), _element(advert, prose(9, 2))
+    item = _PROSE[(8 + turn) % 11]
+    first = f"<h1 data-main>{_PROSE[turn % 11][:40]}</h1><div data-main>{prose(1, 4)}</div>"
+    last = f"<div data-main><h2>{_PROSE[(6 + turn) % 11]}</h2>{prose(2, 10)}<ul><li>{item}</li></ul></div>"
+    links = "".join(f"<li><a href=/{i}>{_PROSE[(i + turn) % 11][:18]}</a></li>" for i in range(3))
+    if turn % 3 == 2:
+        # Single paragraphs straight inside the article, each between two blocks of something else.
+        one, two, three = (f"<p data-main>{_PROSE[(i + turn) % 11]}</p>" for i in (1, 4, 2))
+        body = f"<h1 data-main>{_PROSE[turn % 11][:40]}</h1>{one}{others[1]}{two}{others[2]}{three}{others[0]}"
+    else:
+        body = first + others[1] + others[2] + last + others[0] if inside else first + last
+    page = _element(menu, f"<ul>{links}</ul>") + ("" if inside else others[1] + others[2]) + _element(content, body)
+    page += ("" if inside else others[0]) + _element(side, f"<h3>{item}</h3>{prose(3, 7)}<ul>{links}</ul>")
+    return _page(page + _element(foot, f"{_PROSE[(4 + turn) % 11]}<p>{_PROSE[(7 + turn) % 11]}</p>"), _PROSE[turn % 11][:30])
+
+
+def layout_pages() -> list[list[str]]:
+    """Three pages for each layout: comments, notices and adverts between runs of text, outside, between single paragraphs."""
+    return [[_laid_out(layout, 3 * i + kind) for kind in range(3)] for i, layout in enumerate(_LAYOUTS)]
+
+
 def labelled_pages() -> list[str]:
+    """All labelled pages: some written one by one, and those of the layouts."""
+    return _single_pages() + [page for pages in layout_pages() for page in pages]
+
+
+def _single_pages() -> list[str]:
     p, prose = _p, _PROSE
     ad = f'<div class="ad">{prose[2]}</div>'
     return [
