@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from rasterledger.catalog.evaluation import COUNTS_SQL, per_image_sql, r6
 from rasterledger.catalog.governance import dochash, documents
-from rasterledger.catalog.rasters import _STITCHED, _TILE_CELLS, SMALL_OVERLAP, SMALL_TILE, grid, images_of
+from rasterledger.catalog.rasters import _STITCHED, _TILE_CELLS, SMALL_OVERLAP, SMALL_TILE, boundary_metric_sql, cross_sql, distance_sql, grid, images_of
 from rasterledger.catalog.registry import query
 from rasterledger.catalog.results import EARLY_STOPPING_SQL
 from rasterledger.catalog.views import SPLIT, table, view, with_views
 from rasterledger.operators import scoring, tiling
-from rasterledger.plans.evaluation import evaluate_predictions
+from rasterledger.plans.evaluation import BOUNDARY_METRICS, evaluate_predictions
 from rasterledger.plans.inference import tiled_inference
 from rasterledger.plans.preparation import prepare_dataset
 from rasterledger.session import fill_cores, pin, use_checkpoint_dir
@@ -346,6 +346,20 @@ def _flow_evaluation(spark, sf_dir):
     return r6(done.macro.select("split", "images", "iou", "dice", "mcc"))
 
 
+@query(
+    "flow_boundary_evaluation",
+    f"""select image_id, {SPLIT.format(key="image_id")} as split, boundary_precision, boundary_recall, boundary_f1, boundary_iou, hd95, assd
+        from ({boundary_metric_sql(cross_sql)}) join ({distance_sql(cross_sql, "null")}) using (image_id)""",
+)
+def _flow_boundary_evaluation(spark, sf_dir):
+    cells = grid(spark, sf_dir)
+    pixels = cells.select("image_id", "y", "x", F.col("pred").cast("double").alias("prob"), "target")
+    labels = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("image_id"))
+    labels = labels.withColumn("split", F.expr(SPLIT.format(key="image_id")))
+    done = evaluate_predictions(pixels, labels, threshold=0.5, images=images_of(cells))
+    return r6(done.results.select("image_id", "split", *BOUNDARY_METRICS))
+
+
 @query(
     "flow_preparation",
     """with v as (select count(*) filter (doc_id % 50 <> 0) as n, count(*) filter (doc_id % 50 = 0) as errors from documents),

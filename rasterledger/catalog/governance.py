@@ -319,6 +319,22 @@ def _h8_typed(spark, sf_dir):
     return fingerprints.typed_study_fingerprint(settings, {"manifest_sha256": rows}).select("payload", "fingerprint")
 
 
+@query(
+    "h8_fingerprint_mismatches",
+    """select doc_id as study, sha256(text || '!') as stored_fingerprint, sha256(text) as current_fingerprint
+       from documents join labels using (doc_id) where toxic = 1""",
+)
+def _h8_mismatches(spark, sf_dir):
+    """Each document is a study; those labelled toxic were stored with another text."""
+    docs, labels = documents(spark, sf_dir), table(spark, sf_dir, "labels")
+    current = docs.select(F.col("doc_id").alias("study"), sha256_text(F.col("text")).alias("fingerprint"))
+    stored = docs.join(labels, "doc_id").select(
+        F.col("doc_id").alias("study"),
+        sha256_text(F.when(F.col("toxic") == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("fingerprint"),
+    )
+    return fingerprints.fingerprint_mismatches(current, stored)
+
+
 @query(
     "h9_digest_audit",
     """select doc_id as artefact, found is not null as present, coalesce(length(found) = 64, false) as well_formed,
@@ -1010,7 +1026,7 @@ def _d13(spark, sf_dir):
     return splitting.draw_prompt_modes(manifest(spark, sf_dir), _MODES, _WEIGHTS, SEED).select("image_id", "prompt_mode")
 
 
-def _draw_sql(name: str) -> str:
+def draw_sql(name: str) -> str:
     return f"('0x' || substr(sha256(draw_seed || ':{name}'), 9, 8))::bigint / 4294967296.0::double"
 
 
@@ -1020,10 +1036,10 @@ def _draw_sql(name: str) -> str:
         "manifest",
         f""", p as (select image_id, row_number() over (order by image_id) as r, count(*) over () as n from manifest),
             e as (select image_id, epoch::int as epoch, {SEED} + epoch * n + r - 1 as draw_seed from p, range(3) t(epoch))
-            select image_id, epoch, draw_seed::bigint as draw_seed, {_draw_sql('flip_x')} < 0.5 as flip_x,
-              {_draw_sql('flip_y')} < 0.5 as flip_y, (floor({_draw_sql('rotation')} * 4) * 90)::int as rotation,
-              round(0.9::double + 0.2::double * {_draw_sql('brightness')}, 6) as brightness,
-              round(0.9::double + 0.2::double * {_draw_sql('contrast')}, 6) as contrast from e""",
+            select image_id, epoch, draw_seed::bigint as draw_seed, {draw_sql('flip_x')} < 0.5 as flip_x,
+              {draw_sql('flip_y')} < 0.5 as flip_y, (floor({draw_sql('rotation')} * 4) * 90)::int as rotation,
+              round(0.9::double + 0.2::double * {draw_sql('brightness')}, 6) as brightness,
+              round(0.9::double + 0.2::double * {draw_sql('contrast')}, 6) as contrast from e""",
     ),
 )
 def _d14(spark, sf_dir):

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rasterledger.catalog.evaluation import r6
-from rasterledger.catalog.governance import edges_sql, bin_sql, h5, manifest
+from rasterledger.catalog.governance import SEED, bin_sql, draw_sql, edges_sql, h5, manifest
 from rasterledger.catalog.registry import query
-from rasterledger.catalog.views import view, with_views
+from rasterledger.catalog.views import table, view, with_views
 from rasterledger.functions.scalars import log_loss
-from rasterledger.operators import binning, components, raster, tiling
+from rasterledger.operators import binning, components, raster, splitting, tiling
 
 SIDE = 32
 TILE, OVERLAP = 48, 8
@@ -78,6 +78,57 @@ def _g2(spark, sf_dir):
     return tiling.tile_grid(manifest(spark, sf_dir), tile_size=TILE, overlap=OVERLAP)
 
 
+@query(
+    "g2_tile_count_mismatches",
+    with_views(
+        "manifest",
+        f""", {grid_sql('manifest', TILE, OVERLAP)},
+            s as (select parent_image_id, coalesce(l.toxic, 0) = 0 or row_offset = 0 as there from tiles left join labels l on l.doc_id = parent_image_id)
+            select parent_image_id, count(*) as planned, count(*) filter (there) as supplied from s group by 1 having count(*) <> count(*) filter (there)""",
+    ),
+)
+def _g2_mismatches(spark, sf_dir):
+    """Of images labelled toxic only the tiles of the first row are supplied."""
+    plan = tiling.tile_grid(manifest(spark, sf_dir), tile_size=TILE, overlap=OVERLAP)
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("parent_image_id"), "toxic")
+    there = (F.coalesce("toxic", F.lit(0)) == 0) | (F.col("row_offset") == 0)
+    return tiling.tile_count_mismatches(plan.join(labels, "parent_image_id", "left").where(there), plan)
+
+
+@query(
+    "g5_uncovered_images",
+    with_views(
+        "grid",
+        """select s_suppkey as image_id, 1024::bigint as expected, count(y) as cells
+           from supplier left join grid on image_id = s_suppkey group by 1 having count(y) <> 1024""",
+    ),
+)
+def _g5_uncovered(spark, sf_dir):
+    """The masks are sparse, so their cells taken as a reconstruction leave most of each image uncovered."""
+    images = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("image_id"), F.lit(SIDE).alias("height"), F.lit(SIDE).alias("width"))
+    return tiling.uncovered_images(view(spark, sf_dir, "grid"), images)
+
+
+@query(
+    "d14_augmented_pixels",
+    with_views(
+        "grid",
+        f""", p as (select image_id, row_number() over (order by image_id) as r, count(*) over () as n from (select distinct image_id from grid)),
+            e as (select image_id, epoch::int as epoch, {SEED} + epoch * n + r - 1 as draw_seed from p, range(2) t(epoch)),
+            a as (select image_id, epoch, {draw_sql('flip_x')} < 0.5 as flip_x, {draw_sql('flip_y')} < 0.5 as flip_y,
+                    (floor({draw_sql('rotation')} * 4) * 90)::int as rotation from e),
+            f as (select image_id, epoch, rotation, case when flip_x then 31 - x else x end as x, case when flip_y then 31 - y else y end as y, pred, target
+                  from grid join a using (image_id))
+            select image_id, epoch, (case rotation when 0 then y when 90 then 31 - x when 180 then 31 - y else x end)::int as y,
+              (case rotation when 0 then x when 90 then y when 180 then 31 - x else 31 - y end)::int as x, pred, target from f""",
+    ),
+)
+def _d14_pixels(spark, sf_dir):
+    cells = grid(spark, sf_dir)
+    plan = splitting.augmentation_plan(images_of(cells), epochs=2, seed=SEED, profile="moderate")
+    return splitting.apply_plan(cells, plan).select("image_id", "epoch", "y", "x", "pred", "target")
+
+
 @query(
     "g3_tiled_manifest",
     with_views(
@@ -352,7 +403,7 @@ def _r3_square(spark, sf_dir):
     return r6(raster.boundary_metrics(cells, images_of(cells), rule="square"))
 
 
-def _distance_sql(shape, lonely: str) -> str:
+def distance_sql(shape, lonely: str) -> str:
     return with_views(
         "grid",
         f"""{_SIDES}, {shape('p', 'pb')}, {shape('t', 'tb')},
@@ -369,13 +420,13 @@ def _distance_sql(shape, lonely: str) -> str:
     )
 
 
-@query("r4_surface_distance_cross", _distance_sql(cross_sql, "null"))
+@query("r4_surface_distance_cross", distance_sql(cross_sql, "null"))
 def _r4(spark, sf_dir):
     cells = grid(spark, sf_dir)
     return r6(raster.surface_distances(cells, images_of(cells)))
 
 
-@query("r4_surface_distance_square", _distance_sql(square_sql, "sqrt(2048::double)"))
+@query("r4_surface_distance_square", distance_sql(square_sql, "sqrt(2048::double)"))
 def _r4_square(spark, sf_dir):
     cells = grid(spark, sf_dir)
     return r6(raster.surface_distances(cells, images_of(cells), rule="square"))

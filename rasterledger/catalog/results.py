@@ -734,6 +734,26 @@ def _k7(spark, sf_dir):
     return governance.status_contract(expected, observed)
 
 
+@query(
+    "k8_invalid_model_records",
+    """select * from (select doc_id as model_version, case when toxic = 1 then 'checkpoint_sha256' when quality = 0 then 'split_registry_sha256'
+           when lang = 'es' then 'final_parameters_json' end as reason from documents left join labels using (doc_id)) where reason is not null""",
+)
+def _k8_invalid(spark, sf_dir):
+    """Each document is a model: a short digest, a missing digest or parameters that are no JSON, by its labels and language."""
+    joined = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    digest = F.sha2("text", 256)
+    records = joined.select(
+        F.col("doc_id").alias("model_version"),
+        F.when(F.col("toxic") == 1, F.md5("text")).otherwise(digest).alias("checkpoint_sha256"),
+        F.when(F.col("quality") == 0, F.lit(None)).otherwise(digest).alias("split_registry_sha256"),
+        F.when(F.col("lang") == "es", F.concat(F.lit("n_chars="), "n_chars"))
+        .otherwise(F.to_json(F.struct("n_chars", "lang")))
+        .alias("final_parameters_json"),
+    )
+    return governance.invalid_model_records(records)
+
+
 @query(
     "k8_model_records",
     with_views(

@@ -105,3 +105,29 @@ def test_csv_files_are_ordered(spark, tmp_path):
     names = sorted(p.name for p in (tmp_path / "out").glob("part-*"))
     text = "".join((tmp_path / "out" / n).read_text() for n in names)
     assert [line for line in text.splitlines() if line != "image_id,v"] == ["a,1", "b,2", "c,3"]
+
+
+def test_evaluation_holds_boundary_metrics(spark):
+    """A square against one moved by a cell, an image whose prediction is empty, and one without any foreground."""
+    cells = []
+    for image, shift in ((1, 1), (2, None), (3, None)):
+        for y in range(8):
+            for x in range(8):
+                target = image != 3 and 2 <= y < 6 and 2 <= x < 6
+                pred = shift is not None and 2 <= y < 6 and 2 + shift <= x < 6 + shift
+                cells.append((image, y, x, 0.9 if pred else 0.1, int(target)))
+    pixels = spark.createDataFrame(cells, "image_id long, y int, x int, prob double, target int")
+    labels = spark.createDataFrame([(1, "test"), (2, "test"), (3, "train")], "image_id long, split string")
+    images = labels.select("image_id", F.lit(8).alias("height"), F.lit(8).alias("width"))
+    for rule, lonely in (("cross", None), ("square", 128**0.5)):
+        done = evaluate_predictions(pixels, labels, threshold=0.5, images=images, boundary_rule=rule)
+        found = {r.image_id: r for r in done.results.collect()}
+        # All boundary cells are within two of the other side; the two rings of 12 cells share 6.
+        assert (found[1].boundary_f1, found[1].boundary_iou) == (1.0, pytest.approx(6 / 18))
+        assert found[1].hd95 == 1.0
+        assert (found[2].boundary_f1, found[2].boundary_recall) == (0.0, 0.0) and found[2].hd95 == lonely
+        assert (found[3].boundary_f1, found[3].boundary_iou, found[3].assd) == (1.0, 1.0, 0.0)
+        macro = {r.split: r for r in done.macro.collect()}
+        assert macro["test"].boundary_f1 == 0.5 and macro["train"].hd95 == 0.0
+    plain = evaluate_predictions(pixels, labels, threshold=0.5)
+    assert "boundary_f1" not in plain.results.columns and "hd95" not in plain.macro.columns
