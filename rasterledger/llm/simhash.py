@@ -508,7 +508,7 @@ def _linked_sets(rows: DataFrame, members: DataFrame, shared: DataFrame, words:
     components has been verified.
     """
     cells = _slabs(shared, CELL_LIMIT).withColumn("root", F.col("digest"))
-    found = tried = roots = None
+    tried = roots = None
     reach, cap = 1, ROUND_GROWTH
     while True:
         biggest = cells.groupBy("key", "pair").count().agg(F.max("count")).first()[0] or 0
@@ -523,8 +523,8 @@ def _linked_sets(rows: DataFrame, members: DataFrame, shared: DataFrame, words:
         pairs = pin(pairs.select("a", "b"))
         tried = pairs if tried is None else tried.unionByName(pairs)
         held = pin(_verified(rows, members, pairs, words, similarity))
-        found = held if found is None else found.unionByName(held)
-        roots = connected(found)
+        # What has been found so far is known by its roots.
+        roots = connected(held if roots is None else held.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
         if last:
             break
         cells = pin(_open_cells(cells, roots))

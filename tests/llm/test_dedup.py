@@ -30,7 +30,9 @@ def components(nodes, edges):
     return {n: find(n) for n in nodes}
 
 
-def test_connected(spark):
+@pytest.mark.parametrize("in_one_task", [0, 1_000_000])
+def test_connected(spark, monkeypatch, in_one_task):
+    monkeypatch.setattr("rasterledger.llm.components.TASK_LINKS", in_one_task)
     rng = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(500 + i, 501 + i) for i in range(70)] + [(1000, 1001 + i) for i in range(50)]
     nodes = {n for a, b in edges for n in (a, b) if a != b}
