@@ -23,8 +23,6 @@ from rasterledger.operators.raster import (
 )
 from rasterledger.session import pin
 
-MAX_ROUNDS = 60
-
 
 def row_runs(mask: DataFrame) -> DataFrame:
     """Maximal horizontal runs (image_id, y, x0, x1)."""
@@ -121,7 +119,7 @@ def _merge_labels(edges: DataFrame) -> DataFrame:
     """
     current = pin(edges.distinct())
     previous = None
-    for _ in range(MAX_ROUNDS):
+    while True:
         # Large star: every neighbour above the node points at the node's minimum.
         both = current.select("u", "v").unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lows = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -138,7 +136,6 @@ def _merge_labels(edges: DataFrame) -> DataFrame:
         if state == previous:
             return current.select(F.col("u").alias("label"), F.col("v").alias("root"))
         previous = state
-    raise RuntimeError("Component merge did not converge")
 
 
 def label_runs(runs: DataFrame, *, connectivity: int = 8, band_rows: int = BAND_ROWS) -> DataFrame:
