@@ -148,6 +148,16 @@ def test_near_duplicates_equal_brute_force_also_in_crowded_buckets(spark, t, lim
     assert {r[0] for r in leakage.near_duplicate_images(df, groups).select("image_id").collect()} == involved
 
 
+def test_near_duplicate_joins_are_not_sent_through_the_driver(spark):
+    rows = [(f"i{i}", ["train", "test"][i % 2], f"{i:016x}") for i in range(40)]
+    df = audit_frame(spark, rows)
+    rounds = []
+    groups = leakage.near_duplicate_groups(df, hamming_threshold=2, settled=rounds)
+    for frame in (groups, leakage.near_duplicate_images(df, groups), leakage.expand_groups(df, groups)):
+        assert "Broadcast" not in frame._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r[0] for r in leakage.decided_hashes(rounds).collect()) == list(range(40))
+
+
 def test_band_number_grows_with_the_table():
     assert leakage.agreeing_bands(1_000, 4) == 1
     assert leakage.agreeing_bands(10**9, 4) >= 3
