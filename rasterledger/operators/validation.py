@@ -181,12 +181,16 @@ def percentile_stretch(
     low: float = 0.02,
     high: float = 0.98,
 ) -> DataFrame:
-    """Scale finite values between two percentiles to 0..255; non-finite bands become 0."""
+    """Scale finite values between two percentiles to 0..255; non-finite bands become 0.
+
+    A value on the edge of two codes has the upper one: codes are cut from six decimals, as
+    the limits are interpolated in binary fractions that may lie just beside their decimal value.
+    """
     number = F.col(value).cast("double")
     finite = ~F.isnan(number) & (F.abs(number) != float("inf"))
     limits = exact_quantiles(pixels.where(finite), value, {"_low": low, "_high": high}, groups=groups)
     joined = pixels.join(limits, list(groups), "left")
     span = F.greatest(F.col("_high") - F.col("_low"), F.lit(1e-6))
     scaled = F.least(F.greatest((number - F.col("_low")) / span, F.lit(0.0)), F.lit(1.0))
-    code = F.when(F.col("_low").isNull() | F.isnan(scaled), 0).otherwise(F.floor(scaled * 255))
+    code = F.when(F.col("_low").isNull() | F.isnan(scaled), 0).otherwise(F.floor(F.round(scaled * 255, 6)))
     return joined.withColumn("stretched", code.cast("int")).drop("_low", "_high")

@@ -1,5 +1,6 @@
 import hashlib
 import json
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -340,3 +341,23 @@ def test_nothing_is_compliant_without_evidence(spark):
     )
     empty = spark.createDataFrame([], "artefact string, amount bigint")
     assert not any(r["complete"] for r in governance.compliance_table(requirements, empty).collect())
+
+
+def test_stretched_codes_do_not_hang_on_rounding_noise(spark):
+    """Against rational arithmetic; many values lie exactly on the edge of two codes."""
+    rng = np.random.default_rng(3)
+    groups = {g: [int(v) for v in rng.choice([0, 8, 16, 20, 24, 28, 32, 40, 56, 72, 80, 100], int(rng.integers(2, 260)))] for g in range(150)}
+
+    def limit(values, share):
+        at = share * (len(values) - 1)
+        low, high = values[at.__floor__()], values[at.__ceil__()]
+        return low + (high - low) * (at - at.__floor__())
+
+    expected = set()
+    for g, values in groups.items():
+        low, high = (limit(sorted(values), Fraction(q, 100)) for q in (2, 98))
+        span = max(high - low, Fraction(1, 10_000))
+        expected |= {(g, v, int(min(max((v - low) / span, 0), 1) * 255)) for v in values}
+    rows = [(g, v, v / 100) for g, values in groups.items() for v in values]
+    found = validation.percentile_stretch(spark.createDataFrame(rows, "g int, v int, value double"), ["g"], "value")
+    assert {(r["g"], r["v"], r["stretched"]) for r in found.collect()} == expected
