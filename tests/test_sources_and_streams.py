@@ -145,6 +145,23 @@ def exact_frame(spark, row):
     return spark.createDataFrame([(row["p95_ms"],)], "p95_ms double")
 
 
+def test_the_gate_knows_the_exact_percentile_of_a_large_window(spark, tmp_path):
+    schema = "request_id long, ts timestamp, model_version string, status string, total_ms double"
+    made = spark.range(60_001).select(
+        F.col("id").alias("request_id"),
+        F.when(F.col("id") < 60_000, START).otherwise(START + timedelta(hours=9)).cast("timestamp").alias("ts"),
+        F.lit("v").alias("model_version"),
+        F.lit("ok").alias("status"),
+        F.when(F.col("id") % 20_000 == 7, F.when(F.col("id") > 7, float("nan"))).otherwise((F.col("id") * 7919) % 60_000 / 7.0).alias("total_ms"),
+    )
+    made.write.parquet(f"{tmp_path}/log")
+    stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/log")
+    run(requests.value_counts(stream, length="6 hours", delay="1 hour"), tmp_path)
+    found = requests.closed_percentile(spark.read.parquet(f"{tmp_path}/out"), 95, "p95_ms").collect()
+    values = sorted(i * 7919 % 60_000 / 7.0 for i in range(60_000) if i % 20_000 != 7)
+    assert [(r["requests"], r["p95_ms"]) for r in found] == [(60_000, values[-(-len(values) * 95 // 100) - 1])]
+
+
 def test_resent_requests_count_once(spark, tmp_path):
     log = f"{tmp_path}/log"
     log_lines(f"{log}/1.jsonl", [record(0, "a"), record(0, "a"), record(1, "b")])
