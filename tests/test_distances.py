@@ -82,3 +82,18 @@ def test_one_large_image_spreads_over_tasks(spark):
     assert blocks_q.count() > 150 and pairs.count() < 25 * blocks_q.count()
     rows = distances.nearest_distance(q, t).collect()
     assert len(rows) == len(rings[1900]) and all(abs(r["distance"] - 400) < 2.5 for r in rows)
+
+
+def test_blocks_are_small_and_not_sent_through_the_driver(spark):
+    mask = np.ones((130, 70), bool)
+    mask[3, 5] = mask[64, 63] = mask[129, 69] = False
+    cells, images = mask_frame(spark, {"a": mask}), image_frame(spark, {"a": mask})
+    found = raster.farthest_background(cells, images, 3)
+    near = distances.nearest_distance(cells, cells.where("y = 0"))
+    for frame in (found, near):
+        assert "Broadcast" not in frame._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["y"], r["x"], r["distance"]) for r in found.collect()) == [(3, 5, 1.0), (64, 63, 1.0), (129, 69, 1.0)]
+    # A full block of 4,096 pixels is 64 words.
+    blocks = {(r["tby"], r["tbx"]): r["trows"] for r in distances._boxed(cells, ["image_id"], "t").collect()}
+    assert blocks[0, 1] == [(y, 63) for y in range(64)] and len(blocks[0, 0]) == 64 and blocks[1, 0][1]["bits"] == -1
+    assert blocks[1, 0][0]["bits"] == (1 << 63) - 1 and blocks[2, 1][1]["bits"] == 31
