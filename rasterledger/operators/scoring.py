@@ -6,11 +6,15 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 Scorer = Callable[[pd.DataFrame], pd.DataFrame]
 
+#: Cells of the tiles whose probabilities a task holds before it hands them on.
+CELLS_AT_ONCE = 1 << 18
+
 
 #: Takes a whole tile, an array (size, size) or (size, size, channels), and returns probabilities (size, size).
 TileScorer = Callable[[np.ndarray], np.ndarray]
@@ -81,34 +85,43 @@ def score_tiles(cells: DataFrame, scorer: TileScorer, tile_size: int, values: Se
     Returns (image_id, tile_id, y, x, tile_y, tile_x, prob, status, error_type, error_message).
     A tile whose scorer fails, or does not return one number for each cell, is one row with
     status "error" and no cell. Tiles are packed first, so a scorer sees all cells of its
-    tile however Spark cuts its batches.
+    tile however Spark cuts its batches. Results leave a task a few tiles at a time.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            probabilities, errors = [], []
-            for arrays in zip(*(batch[f"_{v}"] for v in values), strict=True):
-                planes = [np.asarray(a, float).reshape(tile_size, tile_size) for a in arrays]
-                try:
-                    found = np.asarray(scorer(planes[0] if len(planes) == 1 else np.stack(planes, axis=-1)), float)
-                    if found.shape != (tile_size, tile_size):
-                        raise ValueError(f"scorer returned shape {found.shape}")
-                    probabilities.append(found.ravel())
-                    errors.append(None)
-                except Exception as error:
-                    probabilities.append(None)
-                    errors.append(error)
-            out = batch.drop(columns=[f"_{v}" for v in values])
-            out["_prob"] = probabilities
-            out["status"] = ["ok" if e is None else "error" for e in errors]
-            out["error_type"] = [None if e is None else type(e).__name__ for e in errors]
-            out["error_message"] = [None if e is None else str(e) for e in errors]
-            yield out
+    kept = ["image_id", "tile_id", "y0", "x0", "valid_height", "valid_width"]
+    at_once = max(1, CELLS_AT_ONCE // tile_size**2)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for begin in range(0, whole.num_rows, at_once):
+                batch = whole.slice(begin, at_once)
+                planes = [
+                    batch.column(f"_{v}").flatten().to_numpy(zero_copy_only=False).reshape(-1, tile_size, tile_size) for v in values
+                ]
+                if any(len(p) != batch.num_rows for p in planes):
+                    raise ValueError(f"a tile does not have {tile_size} x {tile_size} cells")
+                probabilities, errors = [], []
+                for tile in zip(*planes, strict=True):
+                    try:
+                        found = np.asarray(scorer(tile[0].copy() if len(tile) == 1 else np.stack(tile, axis=-1)), float)
+                        if found.shape != (tile_size, tile_size):
+                            raise ValueError(f"scorer returned shape {found.shape}")
+                        probabilities.append(found.ravel())
+                        errors.append(None)
+                    except Exception as error:
+                        probabilities.append(None)
+                        errors.append(error)
+                columns = [batch.column(c) for c in kept]
+                columns.append(pa.array(probabilities, pa.list_(pa.float64())))
+                columns.append(pa.array(["ok" if e is None else "error" for e in errors]))
+                columns.append(pa.array([None if e is None else type(e).__name__ for e in errors], pa.string()))
+                columns.append(pa.array([None if e is None else str(e) for e in errors], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=[*kept, "_prob", "status", "error_type", "error_message"])
 
     tiles = packed_tiles(cells, values)
     kinds = dict(tiles.dtypes)
-    named = ", ".join(f"{c} {kinds[c]}" for c in ("image_id", "tile_id", "y0", "x0", "valid_height", "valid_width"))
-    scored = tiles.mapInPandas(run, f"{named}, _prob array<double>, status string, error_type string, error_message string")
+    named = ", ".join(f"{c} {kinds[c]}" for c in kept)
+    scored = tiles.mapInArrow(run, f"{named}, _prob array<double>, status string, error_type string, error_message string")
     place = F.col("_place")
     opened = scored.select("*", F.posexplode_outer("_prob").alias("_place", "prob")).withColumns(
         {"tile_y": F.floor(place / tile_size).cast("int"), "tile_x": (place % tile_size).cast("int")}

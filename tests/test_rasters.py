@@ -317,6 +317,17 @@ def test_tiled_inference_routes_failures(spark):
     assert {r["status"] for r in short.collect()} == {"error"}
 
 
+def test_scored_tiles_leave_a_task_a_few_at_a_time(spark, monkeypatch):
+    image = np.arange(40.0 * 40).reshape(40, 40)
+    pixels = spark.createDataFrame([("a", int(y), int(x), float(v)) for (y, x), v in np.ndenumerate(image)], "image_id string, y int, x int, value double")
+    images = spark.createDataFrame([("a", 40, 40)], "image_id string, height int, width int")
+    cells = tiling.tile_pixels(pixels.coalesce(1), images, tile_size=8, overlap=0)
+    monkeypatch.setattr(scoring, "CELLS_AT_ONCE", 3 * 64)  # 25 tiles, three at a time
+    scored = scoring.score_tiles(cells, lambda tile: tile / 1600, 8)
+    assert "MapInArrow" in scored._jdf.queryExecution().executedPlan().toString()
+    assert {(r["y"], r["x"]): r["prob"] for r in scored.collect()} == {(y, x): image[y, x] / 1600 for y in range(40) for x in range(40)}
+
+
 @pytest.mark.parametrize("rows_per_batch", ["3", "10000"])
 def test_a_scorer_sees_whole_tiles(spark, rows_per_batch):
     """Brightness against the tile's mean: wrong if a tile is cut by a batch or seen in part."""
