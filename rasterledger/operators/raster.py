@@ -22,11 +22,16 @@ _PIXEL = ("image_id", "y", "x")
 
 
 def with_bands(pixels: DataFrame, halo: int, band_rows: int = BAND_ROWS) -> DataFrame:
-    """Copy pixels into every band whose rows, widened by the halo, contain them."""
+    """Copy pixels into every band whose rows, widened by the halo, contain them.
+
+    The number of tasks is that of the session's shuffles. Left to itself, adaptive execution
+    would join small shuffle parts into few tasks before the steps in the bands multiply their rows.
+    """
     low = F.floor((F.col("y") - halo) / band_rows).cast("int")
     high = F.floor((F.col("y") + halo) / band_rows).cast("int")
     banded = pixels.withColumn("_band", F.explode(F.sequence(F.greatest(low, F.lit(0)), high)))
-    return banded.repartition("image_id", "_band")
+    tasks = int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return banded.repartition(tasks, "image_id", "_band")
 
 
 def band_core(df: DataFrame, band_rows: int = BAND_ROWS) -> DataFrame:

@@ -359,3 +359,11 @@ def test_a_scorer_sees_whole_tiles(spark, rows_per_batch):
     expected = total / weights
     assert len(found) == expected.size
     assert all(v == pytest.approx(expected[p]) for p, v in found.items())
+
+
+def test_bands_keep_the_tasks_of_the_session(spark):
+    """Adaptive execution put these few bytes into one task, whose rows the next steps multiply."""
+    mask = mask_frame(spark, {str(i): np.ones((9, 9), bool) for i in range(40)})
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert tasks > 1 and raster.with_bands(mask, 2).rdd.getNumPartitions() == tasks
+    assert raster.dilate(mask.withColumns({"height": F.lit(9), "width": F.lit(9)}), 2).rdd.getNumPartitions() == tasks
