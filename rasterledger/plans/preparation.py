@@ -59,13 +59,14 @@ def prepare_dataset(
             method=split_method,
         )
     manifest = pin(split)
-    suspects = pin(leakage.near_duplicate_groups(manifest, hamming_threshold=hamming_threshold))
+    rounds = []
+    suspects = pin(leakage.near_duplicate_groups(manifest, hamming_threshold=hamming_threshold, settled=rounds))
     registry = manifest.select("image_id", "split", "width", "height", fraction, digest)
     return PreparedDataset(
         manifest=manifest,
         errors=errors.select("image_id", "error_type", "error_message"),
         suspects=suspects,
-        audit=leakage.audit_metadata(manifest, suspects, hamming_threshold),
+        audit=leakage.audit_metadata(manifest, suspects, hamming_threshold, leakage.decided_hashes(rounds)),
         payload=registry_payload(registry, {"pairing_key": "case-insensitive filename stem"}),
     )
 

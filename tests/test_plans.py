@@ -131,3 +131,16 @@ def test_evaluation_holds_boundary_metrics(spark):
         assert macro["test"].boundary_f1 == 0.5 and macro["train"].hd95 == 0.0
     plain = evaluate_predictions(pixels, labels, threshold=0.5)
     assert "boundary_f1" not in plain.results.columns and "hd95" not in plain.macro.columns
+
+
+def test_preparation_compares_hashes_once(spark, monkeypatch):
+    """The audit takes what the search for suspects has settled instead of running the rounds again."""
+    from rasterledger.catalog import load_catalog
+    from rasterledger.catalog.registry import all_queries
+    from rasterledger.operators import leakage
+
+    calls, search = [], leakage.close_hashes
+    monkeypatch.setattr(leakage, "close_hashes", lambda *a, **k: calls.append(1) or search(*a, **k))
+    load_catalog()
+    assert all_queries()["flow_preparation"](spark, "/root/testdata/sf0.001").count() == 1
+    assert len(calls) == 1
