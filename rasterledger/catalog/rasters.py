@@ -24,6 +24,11 @@ def images_of(cells):
     return cells.select("image_id").distinct().withColumns({"height": F.lit(SIDE), "width": F.lit(SIDE)})
 
 
+def every_image(spark, sf_dir):
+    """The images of the grid, read without making its cells."""
+    return images_of(view(spark, sf_dir, "px"))
+
+
 def mask_of(spark, sf_dir, side):
     return grid(spark, sf_dir).where(F.col(side) == 1).select("image_id", "y", "x", "height", "width")
 
@@ -523,7 +528,7 @@ def _r6_jitter(spark, sf_dir):
 )
 def _r10(spark, sf_dir):
     return raster.prompt_points(
-        regions(spark, sf_dir), images_of(grid(spark, sf_dir)), positives=5, negatives=3
+        regions(spark, sf_dir), every_image(spark, sf_dir), positives=5, negatives=3
     )
 
 
@@ -681,7 +686,7 @@ def _r11(spark, sf_dir):
 def _r11_prompts(spark, sf_dir):
     cells = grid(spark, sf_dir)
     pixels = cells.select("image_id", "y", "x", F.expr(f"case when {_REGION} then 0.9D else 0.1D end as prob"))
-    prompts = components.automatic_prompts(pixels, images_of(cells), min_area=4)
+    prompts = components.automatic_prompts(pixels, every_image(spark, sf_dir), min_area=4)
     return prompts.select(
         "image_id",
         "status",

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rasterledger.functions.hashing import stable_hash32
 from rasterledger.functions.scalars import ratio
+from rasterledger.operators import words
 from rasterledger.operators.distances import farthest_cells, nearest_distance
 from rasterledger.operators.ordered import exact_quantiles, top_k_per_group
 from rasterledger.session import pin
@@ -47,74 +48,24 @@ def _column(*extra: str) -> Window:
     return Window.partitionBy("image_id", "_band", *extra, "x").orderBy("y")
 
 
-def _erode_banded(
-    banded: DataFrame, radius: int, border: str, extra: Sequence[str] = ()
-) -> DataFrame:
-    """Keep pixels whose whole square neighbourhood is foreground.
-
-    ``border`` says what lies outside the image: "background" removes border
-    pixels, "foreground" ignores what is outside; the latter needs height and width.
-    """
-
-    def expected(position: str, length: str) -> Column:
-        if border == "background":
-            return F.lit(2 * radius + 1)
-        return (
-            F.least(F.col(position) + radius, F.col(length) - 1)
-            - F.greatest(F.col(position) - radius, F.lit(0))
-            + 1
-        )
-
-    across = _row(*extra).rangeBetween(-radius, radius)
-    down = _column(*extra).rangeBetween(-radius, radius)
-    kept = banded.withColumn("_c", F.count(F.lit(1)).over(across)).where(
-        F.col("_c") == expected("x", "width" if border != "background" else "x")
-    )
-    kept = kept.withColumn("_c", F.count(F.lit(1)).over(down)).where(
-        F.col("_c") == expected("y", "height" if border != "background" else "y")
-    )
-    return kept.drop("_c")
-
-
-def _dilate_banded(banded: DataFrame, radius: int) -> DataFrame:
-    """Square dilation, clipped to the image, first along rows and then along columns."""
-    offsets = F.sequence(F.lit(-radius), F.lit(radius))
-    keys = ["image_id", "_band", "y", "x", "height", "width"]
-    wide = (
-        banded.select("image_id", "_band", "y", "x", "height", "width", F.explode(offsets).alias("_d"))
-        .withColumn("x", F.col("x") + F.col("_d"))
-        .where("x >= 0 and x < width")
-        .groupBy(*keys)
-        .agg(F.lit(1).alias("_x"))
-    )
-    return (
-        wide.withColumn("_d", F.explode(offsets))
-        .withColumn("y", F.col("y") + F.col("_d"))
-        .where("y >= 0 and y < height")
-        .groupBy(*keys)
-        .agg(F.lit(1).alias("_x"))
-        .drop("_x")
-    )
-
-
 def erode(mask: DataFrame, radius: int, *, border: str = "foreground") -> DataFrame:
     """Erosion with a (2r+1) square. ``mask`` carries height and width."""
-    return band_core(_erode_banded(with_bands(mask, radius), radius, border))
+    return words.morphology(mask, [("erode", radius)], border=border)
 
 
 def dilate(mask: DataFrame, radius: int) -> DataFrame:
-    return band_core(_dilate_banded(with_bands(mask, radius), radius))
+    return words.morphology(mask, [("dilate", radius)])
+
 
+def open_close(mask: DataFrame, kernel: int, images: DataFrame | None = None) -> DataFrame:
+    """Opening, then closing, with a square kernel; one shuffle for all four steps of a narrow one.
 
-def open_close(mask: DataFrame, kernel: int) -> DataFrame:
-    """Opening, then closing, with a square kernel; one shuffle for all four steps."""
-    if kernel <= 1:
-        return mask
+    Sizes are columns of ``mask``, or come from ``images``.
+    """
     radius = kernel // 2
-    banded = with_bands(mask.select("image_id", "y", "x", "height", "width"), 4 * radius)
-    opened = _dilate_banded(_erode_banded(banded, radius, "foreground"), radius)
-    closed = _erode_banded(_dilate_banded(opened, radius), radius, "foreground")
-    return band_core(closed)
+    if radius < 1:
+        return mask if images is None else mask.join(images.select("image_id", "height", "width"), "image_id")
+    return words.morphology(mask, [("erode", radius), ("dilate", radius), ("dilate", radius), ("erode", radius)], images=images)
 
 
 # --- boundaries ---------------------------------------------------------------
@@ -302,16 +253,36 @@ def dense_cells(images: DataFrame) -> DataFrame:
     ).select("*", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("x"))
 
 
-def background(mask: DataFrame, images: DataFrame) -> DataFrame:
-    """Cells of the images that are not foreground."""
-    return dense_cells(images).join(mask.select(*_PIXEL), list(_PIXEL), "left_anti")
+def _background_blocks(packed: DataFrame, images: DataFrame, halo: int) -> DataFrame:
+    """Blocks of all images with the cells that the mask leaves free, halo included."""
+    rows = images.where("height > 0 and width > 0").select(
+        "image_id", "height", "width", F.explode(F.sequence(F.lit(0), words.last_block("height", halo))).alias("_by")
+    )
+    every = rows.select("*", F.explode(F.sequence(F.lit(0), words.last_block("width", halo))).alias("_bx"))
+    met = every.join(packed.drop("height", "width").hint("merge"), ["image_id", "_by", "_bx"], "left")
+    held = F.coalesce("_w", F.array_repeat(F.lit(0).cast("bigint"), words.SIDE))
+    return words.dealt(met).withColumn("_w", F.transform(held, F.bitwise_not))
+
+
+def _eroded_or_whole(blocks: DataFrame) -> DataFrame:
+    """Own cells of blocks: the eroded ones ``_in``, or ``_w`` in images where nothing is left."""
+    kept = blocks.groupBy("image_id").agg((F.sum(words.cells(F.col("_in"))) > 0).alias("_kept"))
+    chosen = F.when(F.col("_kept"), F.col("_in")).otherwise(F.col("_w"))
+    return blocks.join(kept.hint("merge"), "image_id").withColumn("_w", chosen).drop("_in", "_kept")
 
 
-def _eroded_or_whole(mask: DataFrame, radius: int) -> DataFrame:
-    """Eroded mask per image, the mask itself where nothing is left."""
-    eroded = erode(mask, radius)
-    kept = eroded.select("image_id").distinct()
-    return eroded.unionByName(mask.join(kept, "image_id", "left_anti"))
+def _first_draws(blocks: DataFrame, halo: int, k: int, seed: int) -> DataFrame:
+    """The k cells with the smallest draws of each block and kind, so no more than these are ever rows."""
+
+    def row_draws(word: Column, row: Column) -> Column:
+        def draw(bit: Column) -> Column:
+            y, x = words.place(row, bit, halo)
+            return F.struct(stable_hash32(F.concat_ws(":", "image_id", y, x, "kind"), seed).alias("_draw"), y.alias("y"), x.alias("x"))
+
+        return F.transform(words.bits_of(word, halo), draw)
+
+    first = F.slice(F.array_sort(F.flatten(F.transform("_w", row_draws))), 1, k)
+    return words.dealt(blocks).select("image_id", "kind", F.explode(first).alias("_c")).select("image_id", "kind", "_c.*")
 
 
 def prompt_points(
@@ -325,31 +296,19 @@ def prompt_points(
     """
     if positives <= 0 and negatives <= 0:
         raise ValueError("positives or negatives must be positive")
-    size = ["height", "width"]
-    inner = _eroded_or_whole(mask.select(*_PIXEL, *size), 2)
-    outer = _eroded_or_whole(background(mask, images).select(*_PIXEL, *size), 3)
-    areas = mask.groupBy("image_id").agg(F.count(F.lit(1)).alias("_area"))
+    k, halo = max(positives, negatives), 3
+    packed = pin(words.pack(mask, halo, ["height", "width"]))
+    inside = pin(words.stepped(packed, [("erode", 2)], halo))
+    outside = pin(words.stepped(_background_blocks(packed, images, halo), [("erode", 3)], halo))
+    areas = inside.groupBy("image_id").agg(F.sum(words.cells(F.col("_w"))).alias("_area"))
+    inner = _first_draws(_eroded_or_whole(inside).withColumn("kind", F.lit("positive")), halo, k, seed)
     # Each background cell serves as a negative and, in an empty image, as a positive too.
-    placed = outer.join(areas, "image_id", "left").withColumn(
-        "kind",
-        F.explode(
-            F.array_compact(
-                F.array(F.lit("negative"), F.when(F.col("_area").isNull(), F.lit("positive")))
-            )
-        ),
-    )
-    pool = inner.select(*_PIXEL, F.lit("positive").alias("kind"), F.lit(1).alias("label")).unionByName(
-        placed.select(*_PIXEL, "kind", F.lit(0).alias("label"))
-    )
+    kinds = F.array_compact(F.array(F.lit("negative"), F.when(F.coalesce("_area", F.lit(0)) == 0, F.lit("positive"))))
+    outer = _eroded_or_whole(outside).join(areas.hint("merge"), "image_id", "left").withColumn("kind", F.explode(kinds))
+    drawn = pin(inner.withColumn("label", F.lit(1)).unionByName(_first_draws(outer, halo, k, seed).withColumn("label", F.lit(0))))
     wanted = F.when(F.col("kind") == "positive", positives).otherwise(negatives)
-    drawn = pool.withColumn("_draw", stable_hash32(F.concat_ws(":", *_PIXEL, "kind"), seed))
     top = top_k_per_group(
-        drawn,
-        ["image_id", "kind"],
-        [F.col("_draw"), F.col("y"), F.col("x")],
-        max(positives, negatives),
-        spread_on=["y", "x"],
-        out="_i",
+        drawn, ["image_id", "kind"], [F.col("_draw"), F.col("y"), F.col("x")], k, spread_on=["y", "x"], out="_i"
     ).where(F.col("_i") <= wanted)
     members = top.withColumn("_m", F.max("_i").over(Window.partitionBy("image_id", "kind")))
     # Row i stands for the draws i, i + m, i + 2m, ... up to the number wanted.
