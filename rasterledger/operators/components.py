@@ -290,10 +290,8 @@ def automatic_prompts(
     kernel: int = 3,
 ) -> DataFrame:
     """Status, component count, box and points per image from a coarse probability table."""
-    coarse = pixels.where(F.col("prob") >= threshold).join(
-        images.select("image_id", "height", "width"), "image_id"
-    )
-    mask = pin(open_close(coarse.select("image_id", "y", "x", "height", "width"), kernel))
+    coarse = pixels.where(F.col("prob") >= threshold).select("image_id", "y", "x")
+    mask = pin(open_close(coarse, kernel, images))
     points, counts = component_points(mask, max_points=max_points, min_area=min_area)
     positive = points.select("image_id", F.struct(F.lit(1).alias("label"), "position", "x", "y").alias("_p"))
     found = counts.select("image_id")

@@ -111,12 +111,18 @@ def _pair_minima(qy: np.ndarray, qx: np.ndarray, ty: np.ndarray, tx: np.ndarray)
 
 
 def _exact(pairs: DataFrame, queries: DataFrame, targets: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """Distances of the pixels of blocks q. A pair of blocks is at most 2 KB; its pixels exist in a task a few pairs at a time."""
+    """Distances of the pixels of blocks q. A pair of blocks is at most 2 KB; its pixels exist in a task a few pairs at a time.
+
+    Pairs are dealt over as many tasks as the session's shuffles. Adaptive execution would join them into few
+    tasks by their bytes, which each then hold the distances of all their pixels.
+    """
     g, side = list(groups), 1 << SMALL
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = (
         pairs.select(*g, "qby", "qbx", "tby", "tbx")
         .join(queries.select(*g, "qby", "qbx", "qrows").hint("merge"), [*g, "qby", "qbx"])
         .join(targets.select(*g, "tby", "tbx", "trows").hint("merge"), [*g, "tby", "tbx"])
+        .repartition(tasks, *g, "qby", "qbx", "tby", "tbx")
         .select(*g, "qbx", "tbx", "qrows", "trows")
     )
 

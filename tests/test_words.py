@@ -64,3 +64,14 @@ def test_sizes_meet_the_blocks_of_an_opening_and_closing(spark, shapes, kernel):
     for name, shape in shapes.items():
         opened = dilated(eroded(shape, r, 1), r)
         assert (to_mask(found, name, shape.shape) == eroded(dilated(opened, r), r, 1)).all(), name
+
+
+def test_pairs_of_blocks_are_dealt_over_the_tasks_before_their_pixels_exist(spark, shapes):
+    mask = mask_frame(spark, {"hollow": shapes["hollow"]})
+    found = raster.farthest_background(mask, image_frame(spark, {"hollow": shapes["hollow"]}), 1)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan.split("MapInArrow", 1)[1]
+    gaps = {(y, x): ((np.argwhere(shapes["hollow"]) - (y, x)) ** 2).sum(axis=1).min() for y, x in np.argwhere(shapes["hollow"] == 0)}
+    far = max(gaps.values())
+    top = found.first()
+    assert (top["y"], top["x"]) == min(c for c, d in gaps.items() if d == far) and top["distance"] == far**0.5
