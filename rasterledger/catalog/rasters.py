@@ -182,7 +182,7 @@ def _full_tiles(spark, sf_dir):
     cells = grid(spark, sf_dir)
     return tiling.tile_pixels(
         cells.select("image_id", "y", "x", (F.col("target") * 255).alias("value")),
-        images_of(cells),
+        every_image(spark, sf_dir),
         tile_size=SMALL_TILE,
         overlap=SMALL_OVERLAP,
         pad_value=7,

@@ -8,12 +8,16 @@ joins are keyed by pixel, never by image alone.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rasterledger.functions.scalars import binarise
 from rasterledger.operators.checks import raise_if_any
+from rasterledger.session import pin
 
+#: Cells of tiles that a task joins with their pixels.
+CELLS_A_TASK = 1 << 18
 MINIMUM_WEIGHT = 1e-3
 MINIMUM_WEIGHT_SUM = 1e-6
 
@@ -94,11 +98,14 @@ def tile_pixels(
 ) -> DataFrame:
     """Full tiles: every cell of every tile, padding outside the image.
 
-    Cells inside the image without a pixel row take ``absent_value``.
+    Cells inside the image without a pixel row take ``absent_value``. The number of tasks grows with
+    the cells, so a task's share stays the same however many tiles there are.
     """
-    grid = tile_grid(images, tile_size=tile_size, overlap=overlap)
+    grid = pin(tile_grid(images, tile_size=tile_size, overlap=overlap))
+    tasks = int(images.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = max(tasks, ceil(grid.count() * tile_size**2 / CELLS_A_TASK))
     steps = F.sequence(F.lit(0), F.lit(tile_size - 1))
-    cells = grid.withColumn("tile_y", F.explode(steps)).withColumn("tile_x", F.explode(steps))
+    cells = grid.repartition(tasks, "tile_id").withColumn("tile_y", F.explode(steps)).withColumn("tile_x", F.explode(steps))
     placed = cells.select(
         "tile_id",
         F.col("parent_image_id").alias("image_id"),
@@ -108,7 +115,8 @@ def tile_pixels(
         (F.col("column_offset") + F.col("tile_x")).alias("x"),
         ((F.col("tile_y") < F.col("valid_height")) & (F.col("tile_x") < F.col("valid_width"))).alias("valid"),
     )
-    joined = placed.join(pixels.select("image_id", "y", "x", value), ["image_id", "y", "x"], "left")
+    cell = ["image_id", "y", "x"]
+    joined = placed.repartition(dealt, *cell).join(pixels.select(*cell, value).repartition(dealt, *cell), cell, "left")
     filled = F.when(F.col("valid"), F.coalesce(F.col(value), F.lit(absent_value))).otherwise(F.lit(pad_value))
     return joined.select("tile_id", "image_id", "tile_y", "tile_x", "y", "x", "valid", filled.alias(value))
 
