@@ -361,3 +361,38 @@ def test_stretched_codes_do_not_hang_on_rounding_noise(spark):
     rows = [(g, v, v / 100) for g, values in groups.items() for v in values]
     found = validation.percentile_stretch(spark.createDataFrame(rows, "g int, v int, value double"), ["g"], "value")
     assert {(r["g"], r["v"], r["stretched"]) for r in found.collect()} == expected
+
+
+def test_document_hashes_from_one_row_of_word_counts_a_text(spark, tmp_path, monkeypatch):
+    from rasterledger.catalog import governance, views
+
+    texts = {
+        0: "Straße İSTANBUL ΟΔΟΣ the THE the\x0bthe\x0cthe\r\n\tthe\x1cx a b  c",
+        1: " ".join(f"W{i % 97}" for i in range(5000)) + " " + "Ab" * 500,
+        2: None,
+        3: " \n\t ",
+        4: "a",
+        5: "",
+        6: " ".join(f"word{i}" for i in range(300)),
+    }
+    rows = [*texts.items(), (4, "b c a"), (4, None), (6, "word1 word1")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    frame.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    words = frame.select("doc_id", F.explode(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")).alias("word")).collect()
+    expected = {}
+    for doc_id in {r["doc_id"] for r in words}:
+        counts = np.zeros(64, int)
+        for r in words:
+            if r["doc_id"] == doc_id:
+                counts[int(hashlib.sha256(f"0:{r['word']}".encode()).hexdigest()[8:16], 16) % 64] += 1
+        expected[doc_id] = "".join("1" if n >= counts.sum() / 64 else "0" for n in counts)
+    for chunk, kept in ((16 << 20, 1 << 18), (7, 3)):
+        monkeypatch.setattr(views, "CHUNK_BYTES", chunk)
+        monkeypatch.setattr(views, "WORDS_KEPT", kept)
+        hashed = governance.dochash(spark, str(tmp_path))
+        assert {r["image_id"]: f"{int(r['image_ahash'], 16):064b}" for r in hashed.collect()} == expected
+        assert {r["image_id"]: f"{r['bits'] % 2**64:064b}" for r in hashed.collect()} == expected
+    # A row for each word, or for each cell of a text, is neither made nor shuffled.
+    assert "Generate" not in hashed._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.undo()
+    assert views.word_counts(frame.where("doc_id in (1, 6)")).count() <= 3
