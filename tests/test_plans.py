@@ -144,3 +144,29 @@ def test_preparation_compares_hashes_once(spark, monkeypatch):
     load_catalog()
     assert all_queries()["flow_preparation"](spark, "/root/testdata/sf0.001").count() == 1
     assert len(calls) == 1
+
+
+def test_preparation_takes_texts_without_words(spark, tmp_path):
+    """Missing and blank texts, missing lengths and rows without an id: as many pairs as by the SQL, and nothing raised."""
+    import duckdb
+
+    import __spark_entry__ as spark_entry
+    from rasterledger.catalog import flows
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    text = F.when(F.col("doc_id") % 20 == 3, None).when(F.col("doc_id") % 20 == 4, " \n\t ").when(F.col("doc_id") % 20 == 5, "").otherwise(F.col("text"))
+    length = F.when(F.col("doc_id") % 20 != 3, F.col("n_chars"))
+    number = F.when(~F.col("doc_id").isin(7, 8), F.col("doc_id"))
+    odd = docs.select(number.alias("doc_id"), text.alias("text"), "lang", "source", length.alias("n_chars"))
+    odd.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    wanted = con.execute(spark_entry.oracle_sql()["flow_preparation"])
+    names = [d[0] for d in wanted.description]
+    found = flows._flow_preparation(spark, str(tmp_path)).select(*names).collect()
+    assert [tuple(r) for r in found] == wanted.fetchall()
+
+
+def test_flat_hash_is_that_of_equal_cells(spark):
+    cells = spark.createDataFrame([(1, i, 0) for i in range(64)], "image_id long, bucket int, n long")
+    assert [r.image_ahash for r in fingerprints.hash_of_cells(cells, "image_id", "n", 64).collect()] == [fingerprints.FLAT_HASH]
